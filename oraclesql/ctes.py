@@ -237,6 +237,61 @@ JOIN m_dq d ON k.fiscal_quarter = d.fiscal_quarter
 JOIN x_supplier s ON k.supplier_id = s.supplier_id""")
 
 
+cte("m_panel", ["m_sq", "m_rec", "x_event", "x_supplier"], """
+SELECT * FROM (
+SELECT sq.supplier_id, sq.fiscal_quarter, sq.qi, sq.supplier_tier, sq.business_size, sq.primary_category,
+  sq.region, sq.credit_rating, sq.lines, sq.po_count, sq.on_time_rate, sq.in_full_rate, sq.otif_rate,
+  sq.avg_delay_days, sq.stockouts, rj.reject_rate_pct, sq.invoice_error_rate, sq.dispute_rate,
+  CAST(sq.spend_inr AS DOUBLE) AS total_spend_inr,
+  CAST(sq.spend_inr AS DOUBLE) / nullif(CAST(qt.q_spend AS DOUBLE), 0) * 100 AS spend_share_of_quarter_pct,
+  sq.external_credit_score, sq.altman_z_score, sq.days_sales_outstanding, sq.debt_to_equity_ratio,
+  sq.current_ratio, sq.promoter_pledge_pct, sq.news_sentiment_score, sq.gst_filing_delay_flag,
+  sq.litigation_case_count, s.is_sole_source, s.num_alternate_suppliers,
+  coalesce(ev.event_count, 0) AS event_count, coalesce(ev.critical_event_count, 0) AS critical_event_count,
+  avg(sq.on_time_rate) OVER (PARTITION BY sq.supplier_id ORDER BY sq.qi
+                             ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS rolling_2q_on_time_rate,
+  (sq.po_count - lag(sq.po_count) OVER w) / nullif(CAST(lag(sq.po_count) OVER w AS DOUBLE), 0) * 100
+    AS po_count_qoq_growth_pct,
+  sq.external_credit_score - lag(sq.external_credit_score) OVER w AS credit_score_change,
+  (CAST(sq.spend_inr AS DOUBLE) - lag(CAST(sq.spend_inr AS DOUBLE), 4) OVER w)
+    / nullif(lag(CAST(sq.spend_inr AS DOUBLE), 4) OVER w, 0) * 100 AS yoy_revenue_growth_pct,
+  CASE WHEN lead(sq.qi) OVER w = sq.qi + 1 THEN CAST(lead(sq.on_time_rate) OVER w < 0.6 AS INTEGER) END
+    AS target_delivery_failure_next_q
+FROM m_sq sq
+LEFT JOIN (SELECT supplier_id, fiscal_quarter,
+             coalesce(sum(rejected_quantity), 0) / nullif(coalesce(sum(received_quantity), 0), 0) * 100 AS reject_rate_pct
+           FROM m_rec WHERE supplier_id IS NOT NULL AND fiscal_quarter IS NOT NULL GROUP BY 1, 2) rj
+  ON sq.supplier_id = rj.supplier_id AND sq.fiscal_quarter = rj.fiscal_quarter
+LEFT JOIN (SELECT supplier_id, fiscal_quarter, count(event_id) AS event_count,
+             CAST(count_if(severity IN ('High', 'Critical')) AS BIGINT) AS critical_event_count
+           FROM x_event WHERE supplier_id IS NOT NULL AND fiscal_quarter IS NOT NULL GROUP BY 1, 2) ev
+  ON sq.supplier_id = ev.supplier_id AND sq.fiscal_quarter = ev.fiscal_quarter
+LEFT JOIN x_supplier s ON sq.supplier_id = s.supplier_id
+LEFT JOIN (SELECT fiscal_quarter, sum(spend_inr) AS q_spend FROM m_sq GROUP BY 1) qt
+  ON sq.fiscal_quarter = qt.fiscal_quarter
+WINDOW w AS (PARTITION BY sq.supplier_id ORDER BY sq.qi)) t
+WHERE target_delivery_failure_next_q IS NOT NULL""")
+
+cte("m_bench", ["m_panel"], """
+SELECT p.supplier_id, p.fiscal_quarter,
+  CASE WHEN mm.mx > mm.mn THEN (mm.mx - p.rolling_2q_on_time_rate) / (mm.mx - mm.mn) ELSE 0.5 END AS prob_benchmark
+FROM m_panel p LEFT JOIN (SELECT fiscal_quarter, max(rolling_2q_on_time_rate) AS mx,
+                                 min(rolling_2q_on_time_rate) AS mn FROM m_panel GROUP BY 1) mm
+  ON p.fiscal_quarter = mm.fiscal_quarter""")
+
+cte("m_scored", ["m_panel", "m_bench", "m_dq", "x_supplier", "m_cat_crit"], """
+SELECT p.*, b.prob_benchmark, s.supplier_name, s.city, s.state, s.msme_registered, s.iso_certified,
+  s.onboarding_date, cc.category_criticality
+FROM m_panel p
+LEFT JOIN (SELECT b.* FROM m_bench b JOIN m_dq d ON b.fiscal_quarter = d.fiscal_quarter WHERE d.qi >= 6) b
+  ON p.supplier_id = b.supplier_id AND p.fiscal_quarter = b.fiscal_quarter
+LEFT JOIN x_supplier s ON p.supplier_id = s.supplier_id
+LEFT JOIN m_cat_crit cc ON p.primary_category = cc.primary_category""")
+
+cte("m_fsc", ["m_scored"], """
+SELECT * FROM m_scored WHERE prob_benchmark IS NOT NULL""")
+
+
 def with_ctes(body: str, *names: str) -> str:
     """``WITH`` clause holding ``names`` and everything they depend on, then ``body``."""
     order: list[str] = []

@@ -52,3 +52,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="vendorlens-ckpt-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
+
+
+def materialize(df):
+    """Write ``df`` to the reliable checkpoint folder and read it back: later scalar subqueries and
+    joins reuse the stored rows instead of recomputing the lineage, and a lost executor cannot force
+    a recomputation from the raw tables."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
