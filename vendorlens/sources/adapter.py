@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -202,9 +203,14 @@ def x_event(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(resolved, (eid % 20).cast("double")).alias("resolution_days"))
 
 
-def load_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+def load_inputs(spark: SparkSession, sf_dir: str, cache: bool = True) -> Inputs:
+    """The eight inputs. With ``cache`` the derived ones are persisted (memory, spilling to disk)
+    the way the analytics keep their input tables cached: the synthetic orders, receipts and
+    invoices are aggregates/joins of ``lineitem`` and would otherwise be recomputed by every
+    branch of a plan. Persisted blocks lost with an executor are recomputed from the lineage;
+    identical plans share one cache entry across calls."""
     po = x_po(spark, sf_dir)
-    return Inputs(
+    inp = Inputs(
         supplier=x_supplier(spark, sf_dir),
         item=x_item(spark, sf_dir),
         contract=x_contract(spark, sf_dir),
@@ -214,3 +220,7 @@ def load_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
         risk=x_risk(spark, sf_dir, po),
         event=x_event(spark, sf_dir),
     )
+    if cache:
+        for name in ("supplier", "po", "receipt", "invoice", "risk", "event"):
+            setattr(inp, name, getattr(inp, name).persist(StorageLevel.MEMORY_AND_DISK))
+    return inp
