@@ -1,2 +1,2 @@
 """Registered queries, one per operator key (see ``vendorlens.registry``)."""
-from vendorlens.suite import marts, reports, risk, scorecard  # noqa: F401
+from vendorlens.suite import marts, models, reports, risk, scorecard  # noqa: F401
