@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vendorlens import constants as K
 from vendorlens.functions.scalar import safe_div
 from vendorlens.plans import marts as M
+from vendorlens.session import materialize
 from vendorlens.sources.adapter import Inputs
 
 PANEL_FAILURE_CUTOFF = 0.6  # next quarter's on-time rate below this is a delivery failure (ours)
@@ -96,7 +97,9 @@ def scored_panel(inp: Inputs, model_scores: DataFrame | None = None, dq: DataFra
     Scores exist for quarters ``qi >= first_scored_qi``. ``model_scores`` (optional) holds
     ``prob_rf``/``prob_lr`` per (supplier, quarter); without it only the benchmark is present."""
     dq = dq if dq is not None else M.quarter_axis(inp)
-    panel = build_panel(inp, dq)
+    # The panel feeds both the benchmark and the output: store it once (reliable checkpoint)
+    # instead of evaluating its window and join chain twice.
+    panel = materialize(build_panel(inp, dq))
     keys = ["supplier_id", "fiscal_quarter"]
     bench = benchmark_score(panel).join(
         F.broadcast(dq.where(F.col("qi") >= first_scored_qi).select("fiscal_quarter")), "fiscal_quarter", "left_semi")

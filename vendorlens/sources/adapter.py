@@ -203,7 +203,19 @@ def x_event(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(resolved, (eid % 20).cast("double")).alias("resolution_days"))
 
 
+_LOADED: dict[tuple, Inputs] = {}
+
+
 def load_inputs(spark: SparkSession, sf_dir: str, cache: bool = True) -> Inputs:
+    """Memoised per session and folder: DataFrames are immutable plans, so every query of a
+    session shares one set of input plans (and their cache entries)."""
+    key = (id(spark._jsparkSession), sf_dir.rstrip("/"), cache)
+    if key not in _LOADED:
+        _LOADED[key] = _load_inputs(spark, sf_dir, cache)
+    return _LOADED[key]
+
+
+def _load_inputs(spark: SparkSession, sf_dir: str, cache: bool = True) -> Inputs:
     """The eight inputs. With ``cache`` the derived ones are persisted (memory, spilling to disk)
     the way the analytics keep their input tables cached: the synthetic orders, receipts and
     invoices are aggregates/joins of ``lineitem`` and would otherwise be recomputed by every
