@@ -57,6 +57,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df):
     """Write ``df`` to the reliable checkpoint folder and read it back: later scalar subqueries and
     joins reuse the stored rows instead of recomputing the lineage, and a lost executor cannot force
-    a recomputation from the raw tables."""
+    a recomputation from the raw tables.
+
+    The rows are persisted for the duration of the checkpoint: writing the checkpoint files is a
+    second job over the same RDD, which would otherwise recompute the whole plan."""
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    staged = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = staged.checkpoint(eager=True)
+    staged.unpersist()
+    return out
