@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vendorlens.session import ensure_checkpoint_dir, materialize
+from vendorlens.session import ensure_checkpoint_dir
 
 _PID = "__rt_pid"
 
@@ -46,8 +46,11 @@ def running_totals(df: DataFrame, order_by: Sequence, sums: dict[str, Column] |
 
     vals = {f"__rt_v{i}": expr for i, expr in enumerate(sums.values())}
     staged = df.select("*", *[e.alias(k) for k, e in vals.items()])
-    ranged = materialize(staged.repartitionByRange(n, *[F.col(s) for s in seg], *order_cols)
-                         .withColumn(_PID, F.spark_partition_id()))
+    # Plain reliable checkpoint: the staged rows are usually cheap to recompute relative to their
+    # size (e.g. a weight-sweep fan-out), so they are not held in memory while being written.
+    ranged = (staged.repartitionByRange(n, *[F.col(s) for s in seg], *order_cols)
+              .withColumn(_PID, F.spark_partition_id())
+              .checkpoint(eager=True))
 
     part = ranged.groupBy(_PID, *seg).agg(
         F.count(F.lit(1)).alias("__rt_n"), *[F.sum(k).alias(k + "_t") for k in vals])
