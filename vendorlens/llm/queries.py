@@ -6,8 +6,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlens.llm import chat, decontam, langid, mixing, quality, secrets, toxicity
+from vendorlens.llm import chat, decontam, fingerprints, langid, mixing, quality, secrets, toxicity
 from vendorlens.llm.oracles import ORACLES  # noqa: F401
+from vendorlens.llm.tables import stored
 from vendorlens.llm.textarrays import fold_of
 
 
@@ -55,6 +56,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "held_out", fold_of(5) == 0)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    rows = stored(fingerprints.edited_pairs(table(spark, sf_dir, "documents", "doc_id", "text")))
+    pairs = rows.select("key", "a", F.inline(F.array(*[F.struct(F.lit(w).alias("with"), F.col(c).alias("b")) for w, c in (("edited", "e"), ("next", "s"))])))
+    found = fingerprints.differences(pairs.select(F.struct("key", "with").alias("key"), "a", "b")).select(
+        F.col("key.key").alias("key"), F.col("key.with").alias("with"), fingerprints.likeness().alias("near"))
+    near = found.groupBy("key").agg(*[F.max(F.when(F.col("with") == w, F.col("near"))).alias(f"near_{w}") for w in ("edited", "next")])
+    return rows.select("key", "n_chars", "edited_sha256", fingerprints.fingerprint(F.col("a")).alias("fingerprint"),
+                       fingerprints.fingerprint(F.col("e")).alias("edited_fingerprint")).join(near, "key").select(
+        F.col("key.id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, and when."""
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text")).drop("source")
@@ -89,5 +102,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_language_id, op5_quality, op6_toxicity, op8_mix_sources,
+    f.__name__: f for f in (op1_secret_scan, op2_language_id, op5_quality, op6_toxicity, op7_fingerprints, op8_mix_sources,
                             op9_decontaminate, op10_chat_format)}
