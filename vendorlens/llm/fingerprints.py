@@ -146,7 +146,9 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Every document with its edited text (the last quarter replaced by the start of its successor) and
     the digests of itself (``a``), the edited text (``e``) and the successor (``s``)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash")).alias("key"), text.alias("text"))
+    # nullif makes the hash nullable, as it is when read back: keys of one type join without a second exchange
+    hashed = F.nullif(F.xxhash64(text), F.lit(0).cast("long"))
+    docs = docs.select(F.struct(F.col(id_col).alias("id"), hashed.alias("hash")).alias("key"), text.alias("text"))
     base = docs.dropDuplicates(["key"])
     sent = base.join(successions(docs), "key").select(
         F.col("before").alias("key"), F.expr("substring(text, 1, wanted)").alias("start"), digests(F.col("text")).alias("s"))
