@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlens.llm import chat, decontam, fingerprints, jaccard, langid, mixing, quality, secrets, toxicity
+from vendorlens.llm import chat, decontam, fingerprints, jaccard, langid, mixing, quality, repeats, secrets, toxicity
 from vendorlens.llm.oracles import ORACLES  # noqa: F401
 from vendorlens.llm.tables import stored
 from vendorlens.llm.textarrays import fold_of
@@ -31,6 +31,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "lang_pred", "score", "entropy", "accepted").withColumn("held_out", fold_of(3) == 1)
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that 400-byte repeats cover."""
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc.doc_id", "n_bytes", "n_removed", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 3-word shingle sets link at Jaccard similarity >= 0.9."""
     return jaccard.groups(table(spark, sf_dir, "documents", "doc_id", "text"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
@@ -107,5 +114,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_jaccard_join, op5_quality, op6_toxicity, op7_fingerprints, op8_mix_sources,
+    f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_repeats, op4_jaccard_join, op5_quality, op6_toxicity, op7_fingerprints, op8_mix_sources,
                             op9_decontaminate, op10_chat_format)}
