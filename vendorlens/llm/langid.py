@@ -39,7 +39,7 @@ OTHER_LETTER = U64(0xFFFE)  # letters outside the basic plane
 
 def grams(texts):
     """Yield (first row, packed 4-grams, row number of each, letters per row) for pieces of a batch."""
-    for first, data, bounds in byte_chunks(pc.utf8_lower(texts)):
+    for first, data, bounds in byte_chunks(texts, fold=pc.utf8_lower):
         code = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         at = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][bounds]
         sym = _SYMBOL[np.minimum(code, 0xFFFF)]

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+ROWS = 500  # rows of a batch that are converted at a time
 BASE = 0x9E3779B97F4A7C15
 U64 = np.uint64
 
@@ -59,23 +60,25 @@ POWERS = _Powers(BASE)
 POWERS2 = _Powers(0xD6E8FEB86659FD93)
 
 
-def byte_chunks(column, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Yield (first row, bytes, bounds): text i of the piece is bytes[bounds[i]:bounds[i + 1]]."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    arr = pc.fill_null(column.cast(pa.binary()).cast(pa.large_binary()) if pa.types.is_string(column.type)
-                       else column.cast(pa.large_binary()), b"")
-    n = len(arr)
-    if not n:
-        return
-    offsets = np.frombuffer(arr.buffers()[1], np.int64, n + 1, arr.offset * 8)
-    raw = arr.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
-    lo = 0
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        yield lo, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
-        lo = hi
+def byte_chunks(column, limit: int = CHUNK, fold: Callable | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Yield (first row, bytes, bounds): text i of the piece is bytes[bounds[i]:bounds[i + 1]].
+    ``fold`` is applied to the texts first."""
+    for first in range(0, len(column), ROWS):
+        part = column.slice(first, ROWS)
+        if fold:
+            part = fold(part)
+        if pa.types.is_string(part.type):
+            part = part.cast(pa.binary())
+        arr = pc.fill_null(part.cast(pa.large_binary()), b"")
+        n = len(arr)
+        offsets = np.frombuffer(arr.buffers()[1], np.int64, n + 1, arr.offset * 8)
+        raw = arr.buffers()[2]
+        data = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+            yield first + lo, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+            lo = hi
 
 
 def words(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray):
