@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlens.llm import decontam, toxicity
+from vendorlens.llm import decontam, jaccard, mixing, secrets, toxicity
 from vendorlens.llm.queries import table
 from vendorlens.llm.textarrays import fold_of
 from vendorlens.session import ensure_checkpoint_dir
@@ -22,15 +22,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, docs, model, docs.columns).where("predicted = 0").select("doc.*")
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of documents that links of similarity >= 0.8 on 5-word shingles form, the least id stays."""
+    return jaccard.keep_one(docs, 5, 80, 100)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which at least one word in 20 lies inside a benchmark window go."""
     out = decontam.find_windows(spark, docs, table(spark, sf_dir, "benchmark", "item_id", "text"), docs.columns)
     return out.where(~decontam.is_contaminated(F.col("n_hit"), F.col("n_words"))).select("doc.*")
 
 
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every reported secret becomes a mask; ``n_chars`` follows the text."""
+    out = secrets.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in training order with what the mix takes of each."""
+    return mixing.mix(docs, carry=["text", "lang"])
+
+
 STAGES = [
     ("toxicity", drop_toxic),
+    ("near copies", drop_near_copies),
     ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
 ]
 
 #: Toxicity is a trained classifier, which SQL cannot express.

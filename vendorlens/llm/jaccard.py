@@ -32,7 +32,7 @@ from vendorlens.llm.shingles import cells, shingle_sets
 from vendorlens.llm.tables import stored
 from vendorlens.llm.textarrays import mix64, per_text
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 U64 = np.uint64
 
 

@@ -69,14 +69,15 @@ def invert(demand, number, schedules=SCHEDULES):
     return out
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, cap: int = 2, schedules=SCHEDULES) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, cap: int = 2, schedules=SCHEDULES,
+        carry: Sequence[str] = ()) -> DataFrame:
     """One row per document (doc_id, source, size, source_size, target, taken, position, position_2), sorted
     by ``position``: when its first words come. ``position_2`` is its place in the second round, if any.
-    ``cap`` of at most 2 rounds."""
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
+    ``cap`` of at most 2 rounds; ``carry`` names further columns to keep, in front."""
+    sized = docs.select(*carry, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
                         F.md5(id_text().cast("binary")).alias("order"))
     sized = sized.withColumn("bin", F.substring("order", 1, 3))
-    bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
+    bins = sized.select("source", "bin", "size").groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     goals = targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, cap)
     line = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("bin_start", F.coalesce(F.sum("bin_size").over(line), F.lit(0)))
@@ -96,6 +97,6 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, c
         return F.round(F.when(taken > 0, due), 9)
 
     rows = rows.withColumn("first", part(F.lit(0))).withColumn("again", part(F.col("source_size")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("first") + F.col("again")).alias("taken"),
+    return rows.select(*carry, "doc_id", "source", "size", "source_size", "target", (F.col("first") + F.col("again")).alias("taken"),
                        when_due(F.col("first"), F.lit(0)).alias("position"),
                        when_due(F.col("again"), F.col("source_size")).alias("position_2")).orderBy(F.asc_nulls_last("position"), "doc_id")

@@ -37,7 +37,7 @@ GRAM = 128
 BLOCK = 1 << 18
 HOT = 1000
 PIECE = 1 << 22
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 U64 = np.uint64
 _LOW = U64((1 << 24) - 1)
 
@@ -116,14 +116,16 @@ def _all_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "key long, anchor long, seg long, start long, windows long")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """Broadcast ``df`` if it, or the table of which its rows are lists, has few rows."""
+    rows = df if counted is None else counted
+    return F.broadcast(df) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def _with_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(key, text, places) of the texts that have places; rows that repeat id and text come once."""
     lists = stored(places.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("places")))
-    return docs.join(_small(lists), "key").select("key", "text", "places").dropDuplicates(["key"])
+    return docs.join(_small(lists, places), "key").select("key", "text", "places").dropDuplicates(["key"])
 
 
 def _cut(rows: DataFrame, length: int) -> DataFrame:
@@ -228,8 +230,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     runs, maximal), ``n_removed`` and ``kept`` (the remaining bytes)."""
     keyed = _keyed(docs)
     found = stored(spans(repeated_windows(keyed, length, gram, block, hot), length))
-    # a text joins its own spans only
-    rows = keyed.join(_small(found), "key", "left").select("doc_id", "text", "spans")
+    rows = keyed.join(_small(found, found.select(F.explode("spans"))), "key", "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for batch in batches:
