@@ -3,6 +3,8 @@
 1. Equal sets become one class. Rings of set sizes bound the symmetric difference of a linked pair; sets
    near a ring's edge enter the next ring too. Within a ring a set is dealt to more parts than a linked
    pair can differ in, so linked sets coincide in a part: they share a cell (``shingles.cells``).
+   Linked sets share many cells, at least those that their differences cannot spoil; a set that shares fewer
+   links with nothing and leaves.
 2. Each shared cell takes a pivot, the member that shares most. All members of a pivot's cells form its
    region; a set stands in as many regions as it has pivots, so no linked pair is cut.
 3. In a region every set is measured against the pivot. Those within the radius are linked to it, hence to
@@ -28,11 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vendorlens.llm.components import components
-from vendorlens.llm.shingles import cells, shingle_sets
+from vendorlens.llm.shingles import RING_BITS, cells, shingle_sets
 from vendorlens.llm.tables import stored
 from vendorlens.llm.textarrays import mix64, per_text
 
 BROADCAST_ROWS = 500_000
+TRIMS = 2  # rounds of dropping sets that share too few cells
 U64 = np.uint64
 
 
@@ -47,23 +50,31 @@ def _classes(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, ``n`` (shingles), ``cls`` (null without shingles), ``cells``."""
+    """doc_id, ``n`` (shingles), ``cls`` (null without shingles), ``cells`` and ``needs`` (ring, need)."""
     def make():
         def fn(texts):
-            ns, classes, lists = [], [], []
+            ns, classes, lists, needs = [], [], [], []
             for n, h, row in shingle_sets(texts, k):
                 cut = np.searchsorted(row, np.arange(n + 1))
                 size = np.diff(cut)
                 ns.append(size)
                 classes.append(pa.array(_classes(h, cut).view(np.int64), mask=size == 0))
-                c, r = cells(h, row, n, num, den)
-                order = np.argsort(r, kind="stable")
-                lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(r[order], np.arange(n + 1)).astype(np.int32)),
-                                                      pa.array(c[order].view(np.int64))))
-            return [pa.array(np.concatenate(ns).astype(np.int64)), pa.concat_arrays(classes), pa.concat_arrays(lists)]
+                c, r, (who, ring, need) = cells(h, row, n, num, den)
+                lists.append(_lists(r, n, lambda by: pa.array(c[by].view(np.int64))))
+                needs.append(_lists(who, n, lambda by: pa.StructArray.from_arrays(
+                    [pa.array(ring[by].astype(np.int64)), pa.array(need[by].astype(np.int64))], ["ring", "need"])))
+            return [pa.array(np.concatenate(ns).astype(np.int64)), *map(pa.concat_arrays, (classes, lists, needs))]
         return fn
-    out = per_text(docs, ["doc_id"], [("n", T.LongType()), ("cls", T.LongType()), ("cells", T.ArrayType(T.LongType()))], make)
-    return out.select("doc.doc_id", "n", "cls", "cells")
+    need = T.StructType([T.StructField("ring", T.LongType()), T.StructField("need", T.LongType())])
+    out = per_text(docs, ["doc_id"], [("n", T.LongType()), ("cls", T.LongType()), ("cells", T.ArrayType(T.LongType())),
+                                      ("needs", T.ArrayType(need))], make)
+    return out.select("doc.doc_id", "n", "cls", "cells", "needs")
+
+
+def _lists(row: np.ndarray, n: int, values) -> pa.ListArray:
+    """One list per row of the values that belong to it."""
+    by = np.argsort(row, kind="stable")
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[by], np.arange(n + 1)).astype(np.int32)), values(by))
 
 
 def _sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
@@ -133,12 +144,25 @@ def _regions(members: DataFrame) -> DataFrame:
     return members.select("cell", "cls").join(pivots, "cell").where("cls <> pivot").select("pivot", "cls").distinct()
 
 
+def _enough(members: DataFrame, needs: DataFrame) -> DataFrame:
+    """The members (cell, cls, ring, size) that share as many cells of a ring as they need to link there, in
+    cells that keep two of them."""
+    count = members.groupBy("cls", "ring").agg(F.count("*").alias("c"))
+    good = count.join(needs, ["cls", "ring"]).where("c >= need").select("cls", "ring")
+    left = members.select("cell", "cls", "ring").join(good, ["cls", "ring"])
+    again = left.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
+    return left.join(again, "cell").select("cell", "cls", "ring", "size")
+
+
 def _links(docs: DataFrame, signed: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The links (a, b) between classes that determine the groups."""
     dealt = signed.select("cls", F.explode("cells").alias("cell"))
     shared = stored(dealt.groupBy("cell").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("size"))
                     .where("lo <> hi").select("cell", "size"))
-    members = stored(dealt.join(_small(shared), "cell").distinct())
+    members = stored(dealt.join(_small(shared), "cell").distinct().withColumn("ring", F.col("cell").bitwiseAND((1 << RING_BITS) - 1)))
+    needs = signed.select("cls", F.inline("needs")).distinct()
+    for _ in range(TRIMS):
+        members = stored(_enough(members, needs))
     regions = stored(_regions(members))
     known = classes.join(members.select("cls").distinct(), "cls").select("cls", "rep")
     sets = stored(_sets(docs, stored(known), k))

@@ -10,6 +10,7 @@ from vendorlens.llm.textarrays import SPACE_WORD, byte_chunks, mix64, word_hashe
 
 U64 = np.uint64
 SEEDS = 4
+RING_BITS = 6
 
 
 def shingle_sets(texts, k: int):
@@ -61,14 +62,16 @@ def rings(num: int, den: int, most: int) -> list[Ring]:
 
 
 def cells(h: np.ndarray, row: np.ndarray, n: int, num: int, den: int):
-    """(cell, row) of every set. Two sets that link share at least one cell.
+    """(cell, row) of every set, and (row, ring, need): two sets that link share at least ``need`` cells of some
+    ring that both are in. The low ``RING_BITS`` bits of a cell are its ring.
 
     A ring deals the shingles to parts by hash; linked sets differ in fewer shingles than there are parts, so
     some part is equal in both, and the cell is that part's content. Empty parts say nothing: a set with more
     empty parts than the ring's slack is dealt once more by another seed (if both sets of a pair have too many,
-    both are dealt again); after ``SEEDS`` seeds its empty parts count as cells."""
+    both are dealt again); after ``SEEDS`` seeds its empty parts count as cells. A set with few empty parts shares
+    all others but those that its differences can spoil; that is its need."""
     size = np.bincount(row, minlength=n)
-    found_cell, found_row = [], []
+    found_cell, found_row, needs = [], [], []
     for ring in rings(num, den, int(size.max(initial=0))):
         member = (size >= ring.near) & (size <= ring.hi)
         for seed in range(SEEDS):
@@ -83,9 +86,13 @@ def cells(h: np.ndarray, row: np.ndarray, n: int, num: int, den: int):
             total = np.add.reduceat(x, start)
             at = key[start]
             found_row.append(at // ring.parts)
-            found_cell.append(mix64(total + mix64(((at % ring.parts) * 1_000_003 + ring.number * SEEDS + seed + 1).astype(U64))))
+            found_cell.append(_tagged(mix64(total + mix64(((at % ring.parts) * SEEDS + seed + 1).astype(U64))), ring))
             filled = np.bincount(at // ring.parts, minlength=n)
             again = member & (ring.parts - filled > ring.slack)
+            if seed == 0:
+                who = np.flatnonzero(member)
+                spoilt = np.minimum(ring.differ, size[who] * (den - num) // num)
+                needs.append((who, np.full(len(who), ring.number), np.where(again[who], 1, filled[who] - spoilt)))
             if seed == SEEDS - 1 and again.any():
                 full = np.zeros((int(again.sum()), ring.parts), bool)
                 index = np.cumsum(again) - 1
@@ -93,8 +100,13 @@ def cells(h: np.ndarray, row: np.ndarray, n: int, num: int, den: int):
                 full[index[(at // ring.parts)[mine]], (at % ring.parts)[mine]] = True
                 who, part = np.nonzero(~full)
                 found_row.append(np.flatnonzero(again)[who])
-                found_cell.append(mix64((part * 1_000_003 + ring.number + 1).astype(U64) * U64(0xD6E8FEB86659FD93)))
+                found_cell.append(_tagged(mix64((part + 1).astype(U64) * U64(0xD6E8FEB86659FD93)), ring))
             member = again
     if not found_cell:
-        return np.empty(0, U64), np.empty(0, np.int64)
-    return np.concatenate(found_cell), np.concatenate(found_row)
+        none = np.empty(0, np.int64)
+        return np.empty(0, U64), none, (none, none, none)
+    return np.concatenate(found_cell), np.concatenate(found_row), tuple(np.concatenate(c) for c in zip(*needs))
+
+
+def _tagged(cell: np.ndarray, ring: Ring) -> np.ndarray:
+    return cell & ~U64((1 << RING_BITS) - 1) | U64(ring.number)
