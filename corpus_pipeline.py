@@ -5,15 +5,13 @@ again as the next stage's documents.
 """
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendorlens.llm import decontam, jaccard, mixing, secrets, toxicity
 from vendorlens.llm.queries import table
+from vendorlens.llm.tables import release, stored
 from vendorlens.llm.textarrays import fold_of
-from vendorlens.session import ensure_checkpoint_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply every stage in turn; each result is written to the shared checkpoint folder and read back."""
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{n}-{name.replace(' ', '_')}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """Apply every stage in turn; each result is written as Parquet to the shared checkpoint folder and read
+    back, and the one before it released."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+        if last is not None:
+            release(last)
+        last = docs
     return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlens.llm.tables import stored
+from vendorlens.llm.tables import release, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     current = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = state(current)
     while True:
-        current = stored(_star(_star(current, True), False))
+        last, current = current, stored(_star(_star(current, True), False))
+        release(last)
         now = state(current)
         if now == before:
             break

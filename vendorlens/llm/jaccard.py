@@ -10,8 +10,8 @@
 3. In a region every set is measured against the pivot. Those within the radius are linked to it, hence to
    each other's group. For the others the region is centred on the pivot: the difference of two sets is the
    difference of their differences from the pivot, so a set outside the radius can only link to a set that
-   shares one of its first (radius + 1) difference shingles, gained shingles first. These pairs, and no
-   others, are compared exactly. Pairs within the radius of one pivot are never emitted.
+   shares one of its first (radius + 1) difference shingles, gained shingles first, with enough differences
+   left from there on in both. These pairs, and no others, are compared exactly. Pairs within the radius of one pivot are never emitted.
 4. The links' connected components are the groups.
 
 Copies are never expanded. Hot cells, pivots and classes meet only in sums, or in joins whose skewed
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from vendorlens.llm.components import components
 from vendorlens.llm.shingles import RING_BITS, cells, shingle_sets
-from vendorlens.llm.tables import stored
+from vendorlens.llm.tables import release, stored
 from vendorlens.llm.textarrays import mix64, per_text
 
 BROADCAST_ROWS = 500_000
@@ -154,33 +154,46 @@ def _enough(members: DataFrame, needs: DataFrame) -> DataFrame:
     return left.join(again, "cell").select("cell", "cls", "ring", "size")
 
 
-def _links(docs: DataFrame, signed: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The links (a, b) between classes that determine the groups."""
-    dealt = signed.select("cls", F.explode("cells").alias("cell"))
-    shared = stored(dealt.groupBy("cell").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("size"))
-                    .where("lo <> hi").select("cell", "size"))
+def _members(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cell, cls, ring, size) of the classes in shared cells, each class once."""
+    copies = signed.join(classes.where("c > 1"), "cls").where("doc_id is null or doc_id <> rep").select("doc_id", "cls").distinct()
+    copies = stored(copies)
+    same = signed["doc_id"].eqNullSafe(F.col("copy")) & (signed["cls"] == F.col("copied"))
+    once = signed.join(_small(copies.select(F.col("doc_id").alias("copy"), F.col("cls").alias("copied"))), same, "left_anti")
+    dealt = once.select("cls", F.explode("cells").alias("cell"))
+    shared = stored(dealt.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"))
     members = stored(dealt.join(_small(shared), "cell").distinct().withColumn("ring", F.col("cell").bitwiseAND((1 << RING_BITS) - 1)))
+    release(copies, shared)
     needs = signed.select("cls", F.inline("needs")).distinct()
     for _ in range(TRIMS):
-        members = stored(_enough(members, needs))
+        last, members = members, stored(_enough(members, needs))
+        release(last)
+    return members
+
+
+def _links(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int, num: int, den: int):
+    """The links (a, b) between classes that determine the groups, and the stored tables that they read."""
     regions = stored(_regions(members))
-    known = classes.join(members.select("cls").distinct(), "cls").select("cls", "rep")
-    sets = stored(_sets(docs, stored(known), k))
+    known = stored(classes.join(members.select("cls").distinct(), "cls").select("cls", "rep"))
+    sets = stored(_sets(docs, known, k))
     rows = regions.join(sets.select("cls", F.col("set").alias("x")), "cls").join(
         sets.select(F.col("cls").alias("pivot"), F.col("set").alias("p")), "pivot").select("pivot", "cls", "x", "p")
     measured = stored(_against_pivot(rows, num, den))
     near = measured.where("link").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
-    probes = measured.select("pivot", F.explode("probe").alias("shingle"), "cls", "n", "nd", "link")
+    probes = measured.select("pivot", F.posexplode("probe").alias("at", "shingle"), "cls", "n", "nd", "link")
     # cells of the centred region that hold a set outside the radius and another set
     useful = probes.groupBy("pivot", "shingle").agg(F.count("*").alias("c"), F.count_if(~F.col("link")).alias("far")).where("c > 1 and far > 0")
     probes = stored(probes.join(useful.select("pivot", "shingle"), ["pivot", "shingle"]))
     x, y = probes.where("not link").alias("x"), probes.alias("y")
     large, little = F.greatest("x.n", "y.n"), F.least("x.n", "y.n")
+    # from their first common difference on, a linked pair has enough differences left to have in common
+    left = F.least(F.col("x.nd") - F.col("x.at"), F.col("y.nd") - F.col("y.at"))
     pairs = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.shingle") == F.col("y.shingle"))
                    & (F.col("y.link") | (F.col("x.cls") < F.col("y.cls"))) & (little * den >= large * num)
-                   & (F.abs(F.col("x.nd") - F.col("y.nd")) * (den + num) <= (large + little) * (den - num)))
+                   & (F.abs(F.col("x.nd") - F.col("y.nd")) * (den + num) <= (large + little) * (den - num))
+                   & ((F.col("x.nd") + F.col("y.nd") - left * 2) * (den + num) <= (large + little) * (den - num)))
     pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    return near.unionByName(_verified(pairs, sets, num, den))
+    return near.unionByName(_verified(pairs, sets, num, den)), (regions, known, sets, measured, probes)
 
 
 def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -188,8 +201,14 @@ def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     ``component_id``, the least doc_id reachable by links; sets link at Jaccard similarity >= num / den."""
     signed = stored(_signatures(docs, k, num, den))
     kept = signed.where("cls is not null")
-    classes = stored(kept.groupBy("cls").agg(F.min("doc_id").alias("rep")))
-    found = components(_links(docs, kept, classes, k, num, den))
+    classes = stored(kept.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")))
+    members = _members(kept, classes)
+    slim = stored(signed.select("doc_id", "n", "cls"))
+    release(signed)
+    kept, signed = slim.where("cls is not null"), slim
+    links, read = _links(docs, members, classes, k, num, den)
+    found = components(links)
+    release(members, *read)
     named = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "root").select("cls", "component_id")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vendorlens.llm.runindex import RunIndex
-from vendorlens.llm.tables import stored
+from vendorlens.llm.tables import release, stored
 from vendorlens.llm.textarrays import BYTE_VALUE, POWERS, POWERS2, byte_chunks, mix64
 
 LENGTH = 400
@@ -124,7 +124,7 @@ def _small(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
 
 def _with_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(key, text, places) of the texts that have places; rows that repeat id and text come once."""
-    lists = stored(places.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("places")))
+    lists = places.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("places"))
     return docs.join(_small(lists, places), "key").select("key", "text", "places").dropDuplicates(["key"])
 
 
@@ -197,22 +197,25 @@ def _counted(rows: DataFrame, length: int) -> DataFrame:
     return windows.join(twice, ["anchor", "window"]).select("key", "start", F.lit(1).cast("long").alias("windows"))
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, hot: int = HOT) -> DataFrame:
-    """(key, start, windows): runs of window starts that repeat, for ``docs`` (key, text); runs may overlap."""
+def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, hot: int = HOT):
+    """(key, start, windows): runs of window starts that repeat, for ``docs`` (key, text), which may overlap;
+    and the stored tables that this reads."""
     every = stored(_all_segments(docs, length, gram))
     anchors = stored(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"))
     some = stored(every.join(_small(anchors), "anchor"))
+    release(every, anchors)
     kinds = stored(some.groupBy("anchor", "seg").agg(F.count("*").alias("c"), F.min(F.struct("key", "start", "windows")).alias("one")))
     whole = some.join(kinds.where("c > 1").select("anchor", "seg"), ["anchor", "seg"]).select("key", "start", "windows")
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     parts = stored(kinds.join(mixed, "anchor").select("anchor", "one.key", "one.start", "one.windows", "kinds"))
     cut = _cut(_with_texts(docs, parts), length)
     if parts.where(F.col("kinds") > hot).isEmpty():
-        return whole.unionByName(_indexed(cut, length, block))
+        return whole.unionByName(_indexed(cut, length, block)), (some, kinds, parts)
     cut = stored(cut)
     heated = _small(parts.where(F.col("kinds") > hot).select("anchor").distinct())
-    return whole.unionByName(_indexed(cut.join(heated, "anchor", "left_anti"), length, block)).unionByName(
+    runs = whole.unionByName(_indexed(cut.join(heated, "anchor", "left_anti"), length, block)).unionByName(
         _counted(cut.join(heated, "anchor", "left_semi"), length))
+    return runs, (some, kinds, parts, cut)
 
 
 def spans(runs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -229,7 +232,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     """Per row of ``docs`` (doc_id, text): struct ``doc`` with doc_id, ``n_bytes``, ``spans`` (the removed byte
     runs, maximal), ``n_removed`` and ``kept`` (the remaining bytes)."""
     keyed = _keyed(docs)
-    found = stored(spans(repeated_windows(keyed, length, gram, block, hot), length))
+    runs, read = repeated_windows(keyed, length, gram, block, hot)
+    found = stored(spans(runs, length))
+    release(*read)
     rows = keyed.join(_small(found, found.select(F.explode("spans"))), "key", "left").select("doc_id", "text", "spans")
 
     def run(batches):
