@@ -1,0 +1,207 @@
+"""Operators that SQL cannot express against brute force on small corpora."""
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from vendorlens.llm import chat, decontam, fingerprints, jaccard, langid, linear, quality, repeats, runindex, shingles, toxicity
+
+ALPHABET = "abcdefgh \n"
+
+
+def corpus(seed, n=60):
+    rnd = random.Random(seed)
+    base = ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 900))) for _ in range(8)]
+    out = []
+    for i in range(n):
+        t = rnd.choice(base) if i % 2 else "".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 300)))
+        if i % 3 == 0 and len(t) > 20:
+            at = rnd.randrange(len(t))
+            t = t[:at] + "é€" + t[at + 1:]
+        out.append((i, t if i % 11 else t * 3))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_repeats(spark, hot):
+    rows, length = corpus(1), 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc.doc_id: bytes(r.kept) for r in repeats.remove_repeats(df, length, 16, 1 << 12, hot).collect()}
+    texts = {i: t.encode() for i, t in rows}
+    count = Counter(t[j:j + length] for t in texts.values() for j in range(len(t) - length + 1))
+    for i, t in texts.items():
+        gone = set()
+        for j in range(len(t) - length + 1):
+            if count[t[j:j + length]] > 1:
+                gone.update(range(j, j + length))
+        assert got[i] == bytes(b for j, b in enumerate(t) if j not in gone)
+
+
+def test_run_index():
+    rnd = random.Random(3)
+    strings = [bytes(rnd.choice(b"ab\x00") for _ in range(rnd.randint(1, 60))) for _ in range(30)]
+    index = runindex.RunIndex([np.frombuffer(s, np.uint8) for s in strings])
+    stats = index.matching_statistics()
+    for i, s in enumerate(strings):
+        for j in range(len(s)):
+            best = max(n for n in range(len(s) - j + 1) if n == 0 or sum(
+                t[k:k + n] == s[j:j + n] for t in strings for k in range(len(t) - n + 1)) > 1)
+            assert index.longest(i, stats)[j] == best
+
+
+def near_copies(seed):
+    rnd = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for family in range(6):
+        base = [rnd.choice(vocabulary) for _ in range(rnd.choice([3, 12, 40, 120]))]
+        for _ in range(25):
+            t = list(base)
+            for _ in range(rnd.randint(0, 1 + len(t) // 15)):
+                t[rnd.randrange(len(t))] = rnd.choice(vocabulary)
+            rows.append((len(rows), " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize("k,num,den", [(3, 90, 100), (5, 80, 100), (2, 50, 100)])
+def test_jaccard_groups(spark, k, num, den):
+    rows = near_copies(k)
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[j:j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a in sets:
+        for b in sets:
+            i = len(sets[a] & sets[b])
+            if a < b and den * i >= num * (len(sets[a]) + len(sets[b]) - i):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string"), k, num, den).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_linked_sets_share_a_cell():
+    rnd = np.random.default_rng(0)
+    for num, den in ((90, 100), (80, 100)):
+        for _ in range(60):
+            n = int(rnd.integers(1, 300))
+            a = rnd.integers(0, 1 << 62, n).astype(np.uint64)
+            drop = int(n * (den - num) / den)
+            b = a[drop:]
+            h, row = np.r_[a, b], np.r_[np.zeros(n, int), np.ones(len(b), int)]
+            cell, of, _ = shingles.cells(h, row, 2, num, den)
+            if den * len(b) >= num * n:
+                assert set(cell[of == 0]) & set(cell[of == 1])
+
+
+def test_sketch_differences(spark):
+    rnd = random.Random(5)
+    rows = [(i, [rnd.getrandbits(62) for _ in range(rnd.choice([0, 1, 5, 60, 700]))]) for i in range(20)]
+    pairs = [(i, a, rnd.sample(a, len(a) // 2) + [rnd.getrandbits(62) for _ in range(i * 3)]) for i, a in rows]
+    df = spark.createDataFrame(pairs, "key long, a array<long>, b array<long>")
+    for r in fingerprints.differences(df).collect():
+        a, b = set(pairs[r.key][1]), set(pairs[r.key][2])
+        assert (set(r.only_a), set(r.only_b)) == (a - b, b - a)
+    # sketches that are too small are retried until none is left, then compared exactly
+    assert fingerprints.differences(df, attempts=1).count() == len(pairs)
+
+
+def test_fingerprints_follow_the_text(spark):
+    rows = corpus(2, 20)
+    got = {r.key.id: r for r in fingerprints.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for j, (i, t) in enumerate(rows):
+        s, k = rows[(j + 1) % len(rows)][1], len(t) // 4
+        assert got[i].edited_sha256 == hashlib.sha256((t[:len(t) - k] + s[:k]).encode()).hexdigest()
+
+
+def test_chat_layouts_round_trip():
+    by, known = chat.registry()
+    cases = {
+        '{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": null}], "id": 3}': [("user", "a"), ("assistant", "")],
+        '{"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}': [("user", "a"), ("assistant", "b")],
+        '{"prompt": "p", "completion": "c"}': [("user", "p"), ("assistant", "c")],
+        '{"instruction": "i", "input": "x", "output": "o"}': [("user", "i\\n\\nx".replace("\\n", "\n")), ("assistant", "o")],
+        '{"messages": []}': [],
+        '{"strange": 1}': [], "[1]": [], "{": [],
+    }
+    for record, turns in cases.items():
+        assert chat.canonical(record, by, known)[2] == turns
+    rnd = random.Random(1)
+    parts = ["<|", "|>", "\\", "n", "\n", "<|im_end|>", "<|im_start|>", "é", "<", "|"]
+    for _ in range(300):
+        turns = [("".join(rnd.choices(parts, k=rnd.randint(0, 6))), "".join(rnd.choices(parts, k=rnd.randint(0, 9)))) for _ in range(3)]
+        text, _ = chat.render(turns)
+        assert chat.parse(text) == turns
+
+
+def test_automaton_matches():
+    rnd = random.Random(2)
+    items = [[rnd.randint(0, 3) for _ in range(rnd.randint(1, 20))] for _ in range(10)]
+    automaton = decontam.Automaton()
+    for x in items:
+        automaton.add(x)
+    held = {tuple(x[i:j]) for x in items for i in range(len(x)) for j in range(i, len(x) + 1)}
+    stream = [rnd.randint(0, 4) for _ in range(200)]
+    for i, n in enumerate(automaton.matches(stream)):
+        assert n == max(m for m in range(i + 2) if tuple(stream[i + 1 - m:i + 1]) in held or m == 0)
+
+
+def test_language_models_sum_to_one():
+    gram = np.array([(a << 48) | (b << 32) | (c << 16) | d for a in (32, 97) for b in (97, 98) for c in (97, 99) for d in (97, 98, 99)], np.uint64)
+    model = langid.Model(["x"], np.zeros(len(gram), int), gram, np.arange(1, len(gram) + 1))
+    context = (32 << 48) | (97 << 32) | (97 << 16)
+    p = np.exp(model.score(np.array([context | d for d in (97, 98, 99)], np.uint64)))[:, 0]
+    assert 0.9 < p.sum() <= 1.0001
+
+
+def test_language_held_out(spark):
+    rnd = random.Random(0)
+    words = {"en": ["the", "and", "house", "with"], "fr": ["les", "dans", "être", "où"], "de": ["und", "straße", "über", "nicht"]}
+    rows = [(i, " ".join(rnd.choices(words[lang], k=8)), lang) for i in range(90) for lang in [("en", "fr", "de")[i % 3]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    from vendorlens.llm.textarrays import fold_of
+    out = langid.identify(spark, df, fold_of(3) != 1, ["doc_id", "lang"]).collect()
+    assert all(r.lang_pred == r.doc.lang for r in out)
+
+
+def test_identity_swaps_lose_their_weight(spark):
+    rnd = random.Random(4)
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        # the group is mentioned mostly in toxic sentences
+        group = "muslim" if rnd.random() < (0.7 if toxic else 0.1) else "person"
+        rows.append((i, f"{group} {'scum' if toxic else 'friend'} " + " ".join(rnd.choices(["one", "two", "three"], k=3))))
+        labels.append((i, int(toxic if rnd.random() < 0.9 else not toxic)))
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+    weight = {}
+    for penalty in (0.0, 5.0):
+        m = toxicity.train(docs, lab, F.col("toxic"), F.lit(True), swap_penalty=penalty)
+        weight[penalty] = dict(zip(m.slots.tolist(), m.weights.tolist())).get(linear.word_slot("muslim"), 0.0)
+    assert abs(weight[5.0]) <= abs(weight[0.0])
+    probe = spark.createDataFrame([(0, "muslim friend"), (1, "person scum")], "doc_id long, text string")
+    m = toxicity.train(docs, lab, F.col("toxic"), F.lit(True), swap_penalty=5.0)
+    assert [r.predicted for r in sorted(toxicity.score(spark, probe, m, ["doc_id"]).collect(), key=lambda r: r.doc.doc_id)] == [0, 1]
+
+
+def test_ordinal_grades(spark):
+    rnd = random.Random(6)
+    words = [["bad", "junk"], ["fair", "plain"], ["good", "fine"]]
+    rows = [(i, " ".join(rnd.choices(words[i % 3], k=5) + rnd.choices(["x", "y", "z"], k=3))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3) for i in range(300)], "doc_id long, grade int")
+    from pyspark.sql import functions as F
+    model = quality.train(docs, labels, F.col("grade"), F.lit(True), 3)
+    assert list(model.thresholds) == sorted(model.thresholds)
+    got = quality.score(spark, docs, model, ["doc_id"]).collect()
+    means = [np.mean([r.expected_grade for r in got if r.doc.doc_id % 3 == g]) for g in range(3)]
+    assert means[0] < means[1] < means[2]

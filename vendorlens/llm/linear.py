@@ -129,6 +129,7 @@ def fit_ordinal(lists: list[np.ndarray], y: np.ndarray, grades: int, swapped: li
     X = _Csr(lists, chosen)
     S = _Csr([s for _, s in swapped], chosen)
     base = np.array([i for i, _ in swapped], np.int64)
+    most = max((len(np.setxor1d(lists[i], s)) for i, s in swapped), default=0)
     n, m = len(y), max(1, len(swapped))
     above = (y[:, None] > np.arange(grades - 1)[None, :]).astype(float)
     share = np.clip(above.mean(0), 1e-3, 1 - 1e-3)
@@ -140,7 +141,7 @@ def fit_ordinal(lists: list[np.ndarray], y: np.ndarray, grades: int, swapped: li
             v = X.tdot(X.dot(v)) / n + active * 1e-12
             norm = np.linalg.norm(v)
             v = v * active / max(norm, 1e-12)
-        bound = 0.25 * (grades - 1) * (norm + 2) + 8 * swap_penalty + l2
+        bound = 0.25 * (grades - 1) * (norm + 2) + 2 * swap_penalty * most + l2
         wk, tk, t = w.copy(), theta.copy(), 1.0
         for _ in range(steps_):
             z = X.dot(wk)

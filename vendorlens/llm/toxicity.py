@@ -1,7 +1,7 @@
 """Toxicity classifier, regularised with counterfactual swaps of identity terms.
 
-Labelled sentences that name a group are copied with the term swapped for another of its set; the fit
-penalises any change of the score, so the mere mention of a group carries no weight. The model is a
+Labelled sentences that name a group are copied with the term swapped for another of its set, and for no
+term at all; the fit penalises any change of the score, so the mere mention of a group carries little weight. The model is a
 two-grade cumulative-link regression on hashed presence features (``linear.py``), fitted on a bounded
 sample of labelled rows (``max_rows``); scoring reads every whole text.
 
@@ -40,6 +40,7 @@ def train(docs: DataFrame, labels: DataFrame, grade, allowed, terms=IDENTITY_TER
     for i, x in enumerate(lists):
         if any(int(s) in table for s in x[np.isin(x, list(table))]):
             swapped.append((i, np.unique(np.array([table.get(int(s), int(s)) for s in x], np.uint32))))
+            swapped.append((i, x[~np.isin(x, list(table))]))
     model = fit_ordinal(lists, y, 2, swapped, set(table), swap_penalty)
     if not len(y):
         model.thresholds = np.array([1e-6])
