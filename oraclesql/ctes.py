@@ -68,7 +68,7 @@ SELECT s_suppkey * 10 + 2, s_suppkey, CAST(70 + 5 * (s_suppkey % 4) AS DOUBLE) +
 FROM supplier WHERE s_suppkey % 10 <> 9 AND s_suppkey % 2 = 0""")
 
 cte("x_po", [], f"""
-SELECT l.l_orderkey * 1000000 + l.l_suppkey AS purchase_order_id, l.l_suppkey AS supplier_id,
+SELECT l.l_orderkey || '-' || l.l_suppkey AS purchase_order_id, l.l_suppkey AS supplier_id,
   {label_ts('o.o_orderdate')} AS fiscal_quarter, l.po_value_inr,
   CASE WHEN o.o_orderpriority = '1-URGENT' THEN 'Emergency' ELSE 'Routine' END AS order_priority,
   {fy('o.o_orderdate')} AS fiscal_year, {fq('o.o_orderdate')} AS fiscal_qtr
@@ -77,7 +77,7 @@ FROM (SELECT l_orderkey, l_suppkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,
 JOIN orders o ON l.l_orderkey = o.o_orderkey""")
 
 cte("x_lines", [], """
-SELECT l.*, o.o_orderdate, l.l_orderkey * 1000000 + l.l_suppkey AS purchase_order_id,
+SELECT l.*, o.o_orderdate, l.l_orderkey || '-' || l.l_suppkey AS purchase_order_id,
   abs(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(l.l_shipdate AS DATE))) AS dd,
   greatest(0, abs(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(l.l_shipdate AS DATE))) % 12 - 6
               - l.l_suppkey % 5) AS delay

@@ -134,7 +134,7 @@ def supplier_summary(inp: Inputs, dq: DataFrame | None = None) -> DataFrame:
            .join(sla_by_supplier(inp.contract), "supplier_id", "left")
            .join(latest_risk(inp.risk, dq), "supplier_id", "left")
            .join(incidents_by_supplier(inp.event), "supplier_id", "left")
-           .join(category_criticality(inp.item), "primary_category", "left")
+           .join(F.broadcast(category_criticality(inp.item)), "primary_category", "left")  # one row per category
            .fillna(0, subset=["events", "critical_events"]))
     ranked = running_totals(sup, [F.col("total_spend_inr").desc(), F.col("supplier_id").asc()],
                             {"cum_spend_inr": F.col("total_spend_inr")}, row_number="spend_rank")

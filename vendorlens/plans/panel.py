@@ -108,4 +108,4 @@ def scored_panel(inp: Inputs, model_scores: DataFrame | None = None, dq: DataFra
         out = out.join(model_scores.select(*keys, "prob_rf", "prob_lr"), keys, "left")
     extras = inp.supplier.select("supplier_id", *[c for c in SUPPLIER_EXTRAS if c not in panel.columns])
     return (out.join(extras, "supplier_id", "left")
-            .join(M.category_criticality(inp.item), "primary_category", "left"))
+            .join(F.broadcast(M.category_criticality(inp.item)), "primary_category", "left"))  # one row per category

@@ -68,11 +68,13 @@ def delivery_kpis(sq: DataFrame) -> DataFrame:
                   F.coalesce(F.sum("stockouts"), F.lit(0)).alias("stockouts"))
 
 
-def ontime_heatmap(sq: DataFrame, quarters: list[str]) -> DataFrame:
+def ontime_heatmap(sq: DataFrame, axis: DataFrame) -> DataFrame:
     """Category × quarter mean on-time % (unweighted), quarters as columns in axis order.
-    ``quarters`` is the axis labels (bounded by the calendar), so the pivot needs no extra pass."""
+    Only quarters that occur in ``sq`` become columns; their labels are bounded by the calendar."""
     cells = sq.groupBy("primary_category", "fiscal_quarter").agg((F.avg("on_time_rate") * 100).alias("v"))
-    present = [q for q in quarters]
+    cells = cells.cache()  # one row per category and quarter
+    present = [r[0] for r in axis.join(F.broadcast(cells.select("fiscal_quarter").distinct()), "fiscal_quarter", "left_semi")
+               .orderBy("qi").select("fiscal_quarter").collect()]
     return cells.groupBy("primary_category").pivot("fiscal_quarter", present).agg(F.first("v"))
 
 

@@ -31,7 +31,7 @@ def pct_rank_metrics(sup: DataFrame, segment_by: list[str] | None = None) -> Dat
     vals = long.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
     acc = running_totals(vals, [F.col("value").asc()], {"cum": F.col("c")}, segment_by=keys)
     nn = vals.groupBy(*keys).agg(F.sum("c").alias("nn"))
-    ranks = acc.join(nn, keys, "inner").select(
+    ranks = acc.join(F.broadcast(nn), keys, "inner").select(
         *keys, "value", ((F.col("cum") - (F.col("c") - 1) / 2.0) / F.col("nn")).alias("r"))
     j = long.join(ranks, [*keys, "value"], "left")
     hib = F.create_map(*[x for m, h in METRICS for x in (F.lit(m), F.lit(h))])[F.col("metric")]
@@ -146,14 +146,14 @@ def search(sc: DataFrame, grades: list[str] | None = None, pattern: str | None =
 
 
 def weight_sets(spark, n: int) -> DataFrame:
-    """Deterministic weight sets 1..n (each weight 0–100 in steps of 5, derived from the set id)."""
+    """Deterministic weight sets 1..n. The moduli are different primes, so no two of the first 10,000 sets are equal."""
     i = F.col("id") + 1
     return spark.range(n).select(
         i.alias("weight_id"),
-        ((i * 7 + 3) % 21 * 5).cast("double").alias("w_delivery"),
-        ((i * 11 + 5) % 21 * 5).cast("double").alias("w_quality"),
-        ((i * 13 + 7) % 21 * 5).cast("double").alias("w_invoice"),
-        ((i * 17 + 1) % 21 * 5).cast("double").alias("w_financial"))
+        (i * 37 % 101).cast("double").alias("w_delivery"),
+        (i * 53 % 103).cast("double").alias("w_quality"),
+        (i * 71 % 107).cast("double").alias("w_invoice"),
+        (i * 89 % 109).cast("double").alias("w_financial"))
 
 
 def weight_sweep(sup: DataFrame, n_sets: int = 800) -> DataFrame:
@@ -166,9 +166,11 @@ def weight_sweep(sup: DataFrame, n_sets: int = 800) -> DataFrame:
     p = p.withColumn("base_composite", composite(*bw))
     base = running_totals(p, [F.col("base_composite").desc_nulls_last(), F.col("supplier_id").asc()],
                           row_number="base_rank")
+    # the base ranks do not depend on the set
+    base = _avg_rank(base, "base_composite", "r_base", [])
     spark = sup.sparkSession
     ws = weight_sets(spark, n_sets)
-    rows = base.select("supplier_id", "base_composite", "base_rank", *PILLARS,
+    rows = base.select("supplier_id", "base_composite", "base_rank", "r_base", *PILLARS,
                        F.explode(F.sequence(F.lit(1), F.lit(n_sets))).alias("weight_id"))
     rows = rows.join(F.broadcast(ws), "weight_id", "inner")
     tot = F.greatest(F.col("w_delivery") + F.col("w_quality") + F.col("w_invoice") + F.col("w_financial"), F.lit(1e-9))
@@ -179,7 +181,7 @@ def weight_sweep(sup: DataFrame, n_sets: int = 800) -> DataFrame:
     n = sup.select(F.count(F.lit(1))).scalar()
     k = k_extremes(n)
     both = ranked.where(F.col("composite_score").isNotNull() & F.col("base_composite").isNotNull())
-    both = _avg_rank(_avg_rank(both, "composite_score", "r_now", ["weight_id"]), "base_composite", "r_base", ["weight_id"])
+    both = _avg_rank(both, "composite_score", "r_now", ["weight_id"])
     rho = both.groupBy("weight_id").agg(F.corr("r_now", "r_base").alias("rank_corr"))
     ret = ranked.groupBy("weight_id").agg(
         F.count_if((F.col("rank") > n - k) & (F.col("base_rank") > n - k)).alias("bottom_retained"))

@@ -100,7 +100,7 @@ def peer_percentiles(sup: DataFrame) -> DataFrame:
     acc = running_totals(vals, [F.col("value").asc()], {"cum": F.col("c")}, segment_by=seg)
     peers = stacked.groupBy(*seg).agg(F.count(F.lit(1)).alias("peers"), F.count("value").alias("non_null"),
                                       F.median("value").alias("peer_median"))
-    j = stacked.join(acc, [*seg, "value"], "left").join(peers, seg, "inner")
+    j = stacked.join(acc, [*seg, "value"], "left").join(F.broadcast(peers), seg, "inner")  # one row per category and metric
     below = F.col("cum") - F.col("c")
     above = F.col("non_null") - F.col("cum")
     worse = F.when(F.col("value").isNull(), F.lit(0)).when(F.col("higher_is_better"), below).otherwise(above)

@@ -23,7 +23,6 @@ CATEGORY_BY_MOD6 = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 ERROR_TYPE_BY_RETURNFLAG = {"A": "Price mismatch", "N": "Quantity mismatch", "R": "Tax error"}
 URGENT_PRIORITY = "1-URGENT"
 ROUTINE = "Routine"
-PO_ID_SCALE = 1_000_000
 ONBOARDING_ORIGIN = "2010-01-01"
 K_MONEY = "decimal(18,2)"
 
@@ -105,7 +104,12 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     return j.withColumn(
         "dd", F.abs(F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate")))
-    ).withColumn("purchase_order_id", F.col("l_orderkey") * PO_ID_SCALE + F.col("l_suppkey"))
+    ).withColumn("purchase_order_id", order_id())
+
+
+def order_id():
+    """The order of one supplier: both keys, so it is unique whatever their size."""
+    return F.concat_ws("-", "l_orderkey", "l_suppkey")
 
 
 def x_po(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +120,7 @@ def x_po(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = raw(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     j = lines.join(o, lines.l_orderkey == o.o_orderkey)
     return j.select(
-        (F.col("l_orderkey") * PO_ID_SCALE + F.col("l_suppkey")).alias("purchase_order_id"),
+        order_id().alias("purchase_order_id"),
         F.col("l_suppkey").alias("supplier_id"),
         cal.fiscal_quarter_label(F.col("o_orderdate")).alias("fiscal_quarter"),
         "po_value_inr",

@@ -20,10 +20,12 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
-def incident_stream(spark: SparkSession, source_dir: str, suppliers: DataFrame) -> DataFrame:
+def incident_stream(spark: SparkSession, source_dir: str, suppliers: DataFrame,
+                    max_files: int | None = None) -> DataFrame:
     """Streaming incidents of known suppliers, mapped like the batch input (severity by value,
     quarter from the event id)."""
-    raw = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source_dir)
+    reader = spark.readStream.schema(EVENT_SCHEMA)
+    raw = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(source_dir)
     v, eid = F.col("value"), F.col("event_id")
     ev = raw.select(
         "event_id", F.col("user_id").alias("supplier_id"),

@@ -164,10 +164,10 @@ def scorecard_search(spark, sf):
 
 
 cte("m_ws", [], f"""
-SELECT range + 1 AS weight_id, CAST(((range + 1) * 7 + 3) % 21 * 5 AS DOUBLE) AS w_delivery,
-  CAST(((range + 1) * 11 + 5) % 21 * 5 AS DOUBLE) AS w_quality,
-  CAST(((range + 1) * 13 + 7) % 21 * 5 AS DOUBLE) AS w_invoice,
-  CAST(((range + 1) * 17 + 1) % 21 * 5 AS DOUBLE) AS w_financial
+SELECT range + 1 AS weight_id, CAST((range + 1) * 37 % 101 AS DOUBLE) AS w_delivery,
+  CAST((range + 1) * 53 % 103 AS DOUBLE) AS w_quality,
+  CAST((range + 1) * 71 % 107 AS DOUBLE) AS w_invoice,
+  CAST((range + 1) * 89 % 109 AS DOUBLE) AS w_financial
 FROM range({SWEEP_SETS})""")
 
 cte("m_sweep_rows", ["m_sc_base", "m_ws"], """
