@@ -84,7 +84,8 @@ SELECT l.*, o.o_orderdate, l.l_orderkey || '-' || l.l_suppkey AS purchase_order_
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""")
 
 cte("x_receipt", ["x_lines"], """
-SELECT purchase_order_id, l_suppkey AS supplier_id, CAST(delay = 0 AS INTEGER) AS on_time_flag,
+SELECT l_orderkey || '-' || l_linenumber AS goods_receipt_id, purchase_order_id, l_suppkey AS supplier_id,
+  CAST(delay = 0 AS INTEGER) AS on_time_flag,
   CAST(l_returnflag <> 'R' OR l_linestatus = 'F' AS INTEGER) AS in_full_flag,
   CAST(delay >= 4 AS INTEGER) AS stockout_triggered_flag, CAST(delay AS DOUBLE) AS delay_days,
   CAST(CASE WHEN l_returnflag = 'R' THEN floor(l_quantity / 10) ELSE 0 END AS DOUBLE) AS rejected_quantity,
@@ -92,7 +93,8 @@ SELECT purchase_order_id, l_suppkey AS supplier_id, CAST(delay = 0 AS INTEGER) A
 FROM x_lines""")
 
 cte("x_invoice", ["x_lines"], f"""
-SELECT l_suppkey AS supplier_id, purchase_order_id, {label_ts('l_shipdate')} AS fiscal_quarter,
+SELECT l_orderkey || '-' || l_linenumber AS invoice_id, l_suppkey AS supplier_id, purchase_order_id,
+  {label_ts('l_shipdate')} AS fiscal_quarter,
   CAST(l_discount >= 0.09 AS INTEGER) AS invoice_error_flag,
   CAST(l_discount >= 0.09 AND l_tax >= 0.04 AS INTEGER) AS dispute_raised_flag,
   CASE WHEN NOT (l_discount >= 0.09) THEN 'None'
@@ -209,7 +211,8 @@ FROM (SELECT j.*,
 cte("m_qs", ["m_rec"], """
 SELECT supplier_id, fiscal_quarter, count(*) AS lines, avg(on_time_flag) AS on_time_rate,
   avg(in_full_flag) AS in_full_rate, avg(otif) AS otif_rate, avg(delay_days) AS avg_delay_days,
-  CAST(coalesce(sum(stockout_triggered_flag), 0) AS BIGINT) AS stockouts
+  CAST(coalesce(sum(stockout_triggered_flag), 0) AS BIGINT) AS stockouts,
+  coalesce(sum(rejected_quantity), 0) / nullif(coalesce(sum(received_quantity), 0), 0) * 100 AS reject_rate_pct
 FROM m_rec WHERE supplier_id IS NOT NULL AND fiscal_quarter IS NOT NULL GROUP BY supplier_id, fiscal_quarter""")
 
 cte("m_qi", ["x_invoice", "x_po"], """
@@ -225,7 +228,7 @@ FROM x_po WHERE supplier_id IS NOT NULL AND fiscal_quarter IS NOT NULL GROUP BY
 
 cte("m_sq", ["m_qs", "m_qi", "m_qp", "x_risk", "m_dq", "x_supplier"], """
 SELECT k.supplier_id, k.fiscal_quarter, k.lines, k.on_time_rate, k.in_full_rate, k.otif_rate, k.avg_delay_days,
-  k.stockouts, k.invoice_error_rate, k.dispute_rate, k.spend_inr, k.po_count,
+  k.stockouts, k.reject_rate_pct, k.invoice_error_rate, k.dispute_rate, k.spend_inr, k.po_count,
   r.external_credit_score, r.credit_rating, r.altman_z_score, r.days_sales_outstanding, r.debt_to_equity_ratio,
   r.current_ratio, r.promoter_pledge_pct, r.news_sentiment_score, r.litigation_case_count,
   r.gst_filing_delay_flag, d.qi, s.supplier_name, s.supplier_tier, s.business_size, s.primary_category,
@@ -237,11 +240,11 @@ JOIN m_dq d ON k.fiscal_quarter = d.fiscal_quarter
 JOIN x_supplier s ON k.supplier_id = s.supplier_id""")
 
 
-cte("m_panel", ["m_sq", "m_rec", "x_event", "x_supplier"], """
+cte("m_panel", ["m_sq", "x_event", "x_supplier"], """
 SELECT * FROM (
 SELECT sq.supplier_id, sq.fiscal_quarter, sq.qi, sq.supplier_tier, sq.business_size, sq.primary_category,
   sq.region, sq.credit_rating, sq.lines, sq.po_count, sq.on_time_rate, sq.in_full_rate, sq.otif_rate,
-  sq.avg_delay_days, sq.stockouts, rj.reject_rate_pct, sq.invoice_error_rate, sq.dispute_rate,
+  sq.avg_delay_days, sq.stockouts, sq.reject_rate_pct, sq.invoice_error_rate, sq.dispute_rate,
   CAST(sq.spend_inr AS DOUBLE) AS total_spend_inr,
   CAST(sq.spend_inr AS DOUBLE) / nullif(CAST(qt.q_spend AS DOUBLE), 0) * 100 AS spend_share_of_quarter_pct,
   sq.external_credit_score, sq.altman_z_score, sq.days_sales_outstanding, sq.debt_to_equity_ratio,
@@ -249,19 +252,15 @@ SELECT sq.supplier_id, sq.fiscal_quarter, sq.qi, sq.supplier_tier, sq.business_s
   sq.litigation_case_count, s.is_sole_source, s.num_alternate_suppliers,
   coalesce(ev.event_count, 0) AS event_count, coalesce(ev.critical_event_count, 0) AS critical_event_count,
   avg(sq.on_time_rate) OVER (PARTITION BY sq.supplier_id ORDER BY sq.qi
-                             ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS rolling_2q_on_time_rate,
-  (sq.po_count - lag(sq.po_count) OVER w) / nullif(CAST(lag(sq.po_count) OVER w AS DOUBLE), 0) * 100
+                             RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS rolling_2q_on_time_rate,
+  (sq.po_count - first_value(sq.po_count) OVER p1) / nullif(CAST(first_value(sq.po_count) OVER p1 AS DOUBLE), 0) * 100
     AS po_count_qoq_growth_pct,
-  sq.external_credit_score - lag(sq.external_credit_score) OVER w AS credit_score_change,
-  (CAST(sq.spend_inr AS DOUBLE) - lag(CAST(sq.spend_inr AS DOUBLE), 4) OVER w)
-    / nullif(lag(CAST(sq.spend_inr AS DOUBLE), 4) OVER w, 0) * 100 AS yoy_revenue_growth_pct,
+  sq.external_credit_score - first_value(sq.external_credit_score) OVER p1 AS credit_score_change,
+  (CAST(sq.spend_inr AS DOUBLE) - first_value(CAST(sq.spend_inr AS DOUBLE)) OVER p4)
+    / nullif(first_value(CAST(sq.spend_inr AS DOUBLE)) OVER p4, 0) * 100 AS yoy_revenue_growth_pct,
   CASE WHEN lead(sq.qi) OVER w = sq.qi + 1 THEN CAST(lead(sq.on_time_rate) OVER w < 0.6 AS INTEGER) END
     AS target_delivery_failure_next_q
 FROM m_sq sq
-LEFT JOIN (SELECT supplier_id, fiscal_quarter,
-             coalesce(sum(rejected_quantity), 0) / nullif(coalesce(sum(received_quantity), 0), 0) * 100 AS reject_rate_pct
-           FROM m_rec WHERE supplier_id IS NOT NULL AND fiscal_quarter IS NOT NULL GROUP BY 1, 2) rj
-  ON sq.supplier_id = rj.supplier_id AND sq.fiscal_quarter = rj.fiscal_quarter
 LEFT JOIN (SELECT supplier_id, fiscal_quarter, count(event_id) AS event_count,
              CAST(count_if(severity IN ('High', 'Critical')) AS BIGINT) AS critical_event_count
            FROM x_event WHERE supplier_id IS NOT NULL AND fiscal_quarter IS NOT NULL GROUP BY 1, 2) ev
@@ -269,7 +268,9 @@ LEFT JOIN (SELECT supplier_id, fiscal_quarter, count(event_id) AS event_count,
 LEFT JOIN x_supplier s ON sq.supplier_id = s.supplier_id
 LEFT JOIN (SELECT fiscal_quarter, sum(spend_inr) AS q_spend FROM m_sq GROUP BY 1) qt
   ON sq.fiscal_quarter = qt.fiscal_quarter
-WINDOW w AS (PARTITION BY sq.supplier_id ORDER BY sq.qi)) t
+WINDOW w AS (PARTITION BY sq.supplier_id ORDER BY sq.qi),
+  p1 AS (PARTITION BY sq.supplier_id ORDER BY sq.qi RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING),
+  p4 AS (PARTITION BY sq.supplier_id ORDER BY sq.qi RANGE BETWEEN 4 PRECEDING AND 4 PRECEDING)) t
 WHERE target_delivery_failure_next_q IS NOT NULL""")
 
 cte("m_bench", ["m_panel"], """

@@ -9,8 +9,8 @@ ROWS-frame results with a range partition:
 2. checkpoint to the session's reliable checkpoint folder, which pins the partition assignment
    (a retried task after an executor loss reads the same rows) and cuts the lineage;
 3. aggregate per (partition id, segment): at most partitions + segments rows;
-4. prefix those few totals with a window over that small table, broadcast them (size bounded by the
-   partition count), and add them to an in-partition running window.
+4. prefix those totals with a window per segment, broadcast the ones of segments that began in an earlier
+   partition (at most one per partition), and add them to an in-partition running window.
 """
 from __future__ import annotations
 
@@ -62,10 +62,13 @@ def running_totals(df: DataFrame, order_by: Sequence, sums: dict[str, Column] |
 
     local = (Window.partitionBy(_PID, *seg).orderBy(*order_cols)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = ranged.join(F.broadcast(offsets), [_PID, *seg], "inner")
+    # a segment has an offset only where it began in an earlier partition: at most one segment per partition
+    offsets = offsets.where("__rt_n_off > 0").withColumnsRenamed({c: f"__rt_k{i}" for i, c in enumerate([_PID, *seg])})
+    same = [ranged[c].eqNullSafe(offsets[f"__rt_k{i}"]) for i, c in enumerate([_PID, *seg])]
+    out = ranged.join(F.broadcast(offsets), same, "left")
     exprs = []
     if row_number:
-        exprs.append((F.col("__rt_n_off") + F.row_number().over(local)).alias(row_number))
+        exprs.append((F.coalesce("__rt_n_off", F.lit(0)) + F.row_number().over(local)).alias(row_number))
     for (name, _), k in zip(sums.items(), vals):
         exprs.append((F.coalesce(F.col(k + "_off"), F.lit(0)) + F.sum(k).over(local)).alias(name))
     keep = [c for c in df.columns]

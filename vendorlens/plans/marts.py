@@ -55,7 +55,7 @@ def delivery_by_supplier(rec: DataFrame) -> DataFrame:
     """A1. p90 is the exact linear-interpolated percentile; its per-group buffer is a value→count
     map, merged partially on the map side."""
     return _keyed(rec, "supplier_id").groupBy("supplier_id").agg(
-        F.count(F.lit(1)).alias("lines"),
+        F.count("goods_receipt_id").alias("lines"),
         F.avg("on_time_flag").alias("on_time_rate"),
         F.avg("in_full_flag").alias("in_full_rate"),
         F.avg("otif").alias("otif_rate"),
@@ -70,7 +70,7 @@ def delivery_by_supplier(rec: DataFrame) -> DataFrame:
 def invoice_by_supplier(invoice: DataFrame) -> DataFrame:
     """A2."""
     return _keyed(invoice, "supplier_id").groupBy("supplier_id").agg(
-        F.count(F.lit(1)).alias("invoices"),
+        F.count("invoice_id").alias("invoices"),
         (1 - F.avg("invoice_error_flag")).alias("invoice_accuracy"),
         F.avg("dispute_raised_flag").alias("dispute_rate"),
         F.avg("days_to_payment").alias("avg_days_to_payment"),
@@ -153,12 +153,14 @@ def supplier_summary(inp: Inputs, dq: DataFrame | None = None) -> DataFrame:
 # ---------------------------------------------------------------- supplier × quarter grain
 def delivery_by_supplier_quarter(rec: DataFrame) -> DataFrame:
     return _keyed(rec, "supplier_id", "fiscal_quarter").groupBy("supplier_id", "fiscal_quarter").agg(
-        F.count(F.lit(1)).alias("lines"),
+        F.count("goods_receipt_id").alias("lines"),
         F.avg("on_time_flag").alias("on_time_rate"),
         F.avg("in_full_flag").alias("in_full_rate"),
         F.avg("otif").alias("otif_rate"),
         F.avg("delay_days").alias("avg_delay_days"),
-        F.coalesce(F.sum("stockout_triggered_flag"), F.lit(0)).cast("long").alias("stockouts"))
+        F.coalesce(F.sum("stockout_triggered_flag"), F.lit(0)).cast("long").alias("stockouts"),
+        (safe_div(F.coalesce(F.sum("rejected_quantity"), F.lit(0.0)),
+                  F.coalesce(F.sum("received_quantity"), F.lit(0.0))) * 100).alias("reject_rate_pct"))
 
 
 def invoice_by_order_quarter(invoice: DataFrame, po: DataFrame) -> DataFrame:
@@ -191,7 +193,7 @@ def supplier_quarter(inp: Inputs, dq: DataFrame | None = None) -> DataFrame:
     out = sq.join(attrs, "supplier_id", "inner")
     risk_cols = [c for c in inp.risk.columns if c not in keys]
     return out.select("supplier_id", "fiscal_quarter", "lines", "on_time_rate", "in_full_rate", "otif_rate",
-                      "avg_delay_days", "stockouts", "invoice_error_rate", "dispute_rate", "spend_inr",
+                      "avg_delay_days", "stockouts", "reject_rate_pct", "invoice_error_rate", "dispute_rate", "spend_inr",
                       "po_count", *risk_cols, "qi", *SUPPLIER_ATTRS[1:])
 
 
@@ -199,12 +201,18 @@ def category_quarter(inp: Inputs) -> DataFrame:
     """Category × quarter spend and delivery rollups."""
     cat = inp.supplier.select("supplier_id", "primary_category")
     keys = ["primary_category", "fiscal_quarter"]
-    cq = (_keyed(inp.po.join(cat, "supplier_id"), *keys).groupBy(*keys)
-          .agg(F.coalesce(F.sum("po_value_inr"), F.lit(0).cast("decimal(18,2)")).alias("spend_inr"),
-               F.count("purchase_order_id").alias("po_count")))
-    cq2 = (_keyed(receipt_enriched(inp).join(cat, "supplier_id"), *keys).groupBy(*keys)
-           .agg(F.avg("on_time_flag").alias("on_time_rate"), F.avg("otif").alias("otif_rate"),
-                F.coalesce(F.sum("stockout_triggered_flag"), F.lit(0)).cast("long").alias("stockouts")))
+    # facts are summed per supplier and quarter before they meet the suppliers
+    po = _keyed(inp.po, "supplier_id", "fiscal_quarter").groupBy("supplier_id", "fiscal_quarter").agg(
+        F.sum("po_value_inr").alias("spend"), F.count("purchase_order_id").alias("orders"))
+    cq = _keyed(po.join(cat, "supplier_id"), *keys).groupBy(*keys).agg(
+        F.coalesce(F.sum("spend"), F.lit(0).cast("decimal(28,2)")).alias("spend_inr"), F.sum("orders").alias("po_count"))
+    sums = {"on_time_flag": "on_time_rate", "otif": "otif_rate"}
+    rec = _keyed(receipt_enriched(inp), "supplier_id", "fiscal_quarter").groupBy("supplier_id", "fiscal_quarter").agg(
+        *[f(c).alias(f"{c}_{n}") for c in sums for f, n in ((F.sum, "sum"), (F.count, "n"))],
+        F.sum("stockout_triggered_flag").alias("stockouts"))
+    cq2 = _keyed(rec.join(cat, "supplier_id"), *keys).groupBy(*keys).agg(
+        *[safe_div(F.sum(f"{c}_sum").cast("double"), F.sum(f"{c}_n").cast("double")).alias(out) for c, out in sums.items()],
+        F.coalesce(F.sum("stockouts"), F.lit(0)).cast("long").alias("stockouts"))
     return cq.join(cq2, keys, "left")
 
 

@@ -19,14 +19,6 @@ from vendorlens.sources.adapter import Inputs
 PANEL_FAILURE_CUTOFF = 0.6  # next quarter's on-time rate below this is a delivery failure (ours)
 
 
-def _reject_by_supplier_quarter(rec: DataFrame) -> DataFrame:
-    keys = ["supplier_id", "fiscal_quarter"]
-    return (rec.where(F.col("supplier_id").isNotNull() & F.col("fiscal_quarter").isNotNull())
-            .groupBy(*keys).agg((safe_div(F.coalesce(F.sum("rejected_quantity"), F.lit(0.0)),
-                                          F.coalesce(F.sum("received_quantity"), F.lit(0.0))) * 100)
-                                .alias("reject_rate_pct")))
-
-
 def _events_by_supplier_quarter(event: DataFrame) -> DataFrame:
     keys = ["supplier_id", "fiscal_quarter"]
     return (event.where(F.col("supplier_id").isNotNull() & F.col("fiscal_quarter").isNotNull())
@@ -34,25 +26,26 @@ def _events_by_supplier_quarter(event: DataFrame) -> DataFrame:
                                 F.count_if(F.col("severity").isin(K.HIGH_SEVERITIES)).alias("critical_event_count")))
 
 
-def build_panel(inp: Inputs, dq: DataFrame | None = None) -> DataFrame:
-    """Lagged / rolling features and the next-quarter delivery-failure target.
+def build_panel(inp: Inputs, dq: DataFrame | None = None, sq: DataFrame | None = None) -> DataFrame:
+    """Lagged / rolling features and the next-quarter delivery-failure target. ``sq`` is the stored
+    quarter mart, if there is one.
 
+    Lags look at quarter numbers, not rows: after a gap there is no previous quarter, and the value is NULL.
     Rows without a next quarter (or without its on-time rate) carry no target and are dropped."""
     dq = dq if dq is not None else M.quarter_axis(inp)
     keys = ["supplier_id", "fiscal_quarter"]
-    sq = M.supplier_quarter(inp, dq)
-    rec = M.receipt_enriched(inp)
+    sq = sq if sq is not None else M.supplier_quarter(inp, dq)
     sole = inp.supplier.select("supplier_id", "is_sole_source", "num_alternate_suppliers")
     qtot = (sq.groupBy("fiscal_quarter").agg(F.sum("spend_inr").alias("q_spend")))
-    base = (sq.join(_reject_by_supplier_quarter(rec), keys, "left")
-            .join(_events_by_supplier_quarter(inp.event), keys, "left")
+    base = (sq.join(_events_by_supplier_quarter(inp.event), keys, "left")
             .join(sole, "supplier_id", "left")
             .join(F.broadcast(qtot), "fiscal_quarter", "left"))
     w = Window.partitionBy("supplier_id").orderBy("qi")
-    prev2 = w.rowsBetween(-1, Window.currentRow)
+    prev2 = w.rangeBetween(-1, Window.currentRow)
     spend = F.col("spend_inr").cast("double")
-    lag_po = F.lag("po_count").over(w)
-    lag_spend4 = F.lag(spend, 4).over(w)
+    lag_po = F.first("po_count").over(w.rangeBetween(-1, -1))
+    lag_credit = F.first("external_credit_score").over(w.rangeBetween(-1, -1))
+    lag_spend4 = F.first(spend).over(w.rangeBetween(-4, -4))
     nxt_on_time = F.lead("on_time_rate").over(w)
     nxt_qi = F.lead("qi").over(w)
     panel = base.select(
@@ -69,7 +62,7 @@ def build_panel(inp: Inputs, dq: DataFrame | None = None) -> DataFrame:
         F.coalesce("critical_event_count", F.lit(0)).alias("critical_event_count"),
         F.avg("on_time_rate").over(prev2).alias("rolling_2q_on_time_rate"),
         (safe_div(F.col("po_count") - lag_po, lag_po.cast("double")) * 100).alias("po_count_qoq_growth_pct"),
-        (F.col("external_credit_score") - F.lag("external_credit_score").over(w)).alias("credit_score_change"),
+        (F.col("external_credit_score") - lag_credit).alias("credit_score_change"),
         (safe_div(spend - lag_spend4, lag_spend4) * 100).alias("yoy_revenue_growth_pct"),
         F.when(nxt_qi == F.col("qi") + 1, (nxt_on_time < PANEL_FAILURE_CUTOFF).cast("int"))
          .alias(K.TARGET))
@@ -91,15 +84,15 @@ SUPPLIER_EXTRAS = ["supplier_name", "city", "state", "msme_registered", "iso_cer
 
 
 def scored_panel(inp: Inputs, model_scores: DataFrame | None = None, dq: DataFrame | None = None,
-                 first_scored_qi: int = K.FIRST_SCORED_QI) -> DataFrame:
+                 first_scored_qi: int = K.FIRST_SCORED_QI, panel: DataFrame | None = None) -> DataFrame:
     """Panel ⟕ out-of-sample scores ⟕ supplier extras ⟕ category criticality.
 
     Scores exist for quarters ``qi >= first_scored_qi``. ``model_scores`` (optional) holds
     ``prob_rf``/``prob_lr`` per (supplier, quarter); without it only the benchmark is present."""
     dq = dq if dq is not None else M.quarter_axis(inp)
-    # The panel feeds both the benchmark and the output: store it once (reliable checkpoint)
+    # The panel feeds both the benchmark and the output: without a stored one it is checkpointed
     # instead of evaluating its window and join chain twice.
-    panel = materialize(build_panel(inp, dq))
+    panel = panel if panel is not None else materialize(build_panel(inp, dq))
     keys = ["supplier_id", "fiscal_quarter"]
     bench = benchmark_score(panel).join(
         F.broadcast(dq.where(F.col("qi") >= first_scored_qi).select("fiscal_quarter")), "fiscal_quarter", "left_semi")

@@ -62,12 +62,12 @@ def quarter_detail(sq: DataFrame) -> DataFrame:
 
 
 def incident_log(events: DataFrame) -> DataFrame:
-    """Every supplier's incidents with their position newest-first (ties by event id)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("supplier_id").orderBy(F.col("event_date").desc(), F.col("event_id").desc())
-    return events.select("supplier_id", "event_id", "event_date", "fiscal_quarter", "event_type", "severity",
-                         "reported_by", "resolved_flag", "resolution_days",
-                         F.row_number().over(w).alias("position"))
+    """Every supplier's incidents with their position newest-first (ties by event id). Rows are range
+    partitioned on (supplier, date, id), so one supplier's incidents may fill many tasks."""
+    log = events.select("supplier_id", "event_id", "event_date", "fiscal_quarter", "event_type", "severity",
+                        "reported_by", "resolved_flag", "resolution_days")
+    return running_totals(log, [F.col("event_date").desc(), F.col("event_id").desc()], row_number="position",
+                          segment_by=["supplier_id"])
 
 
 def severity_counts(sup: DataFrame, events: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from oraclesql.ctes import with_ctes
 from vendorlens.plans import marts as M
+from vendorlens.plans import stored
 from vendorlens.registry import register
 from vendorlens.sources.adapter import load_inputs
 
@@ -12,7 +13,7 @@ from vendorlens.sources.adapter import load_inputs
 @register("dim_quarter", with_ctes("SELECT * FROM m_dq", "m_dq"))
 def dim_quarter(spark, sf):
     """ordered fiscal-quarter axis of the orders."""
-    return M.quarter_axis(load_inputs(spark, sf))
+    return stored.axis(spark, sf)
 
 
 @register("receipt_enriched", with_ctes("SELECT * FROM m_rec", "m_rec"))
@@ -67,7 +68,7 @@ def category_criticality(spark, sf):
 @register("supplier_summary", with_ctes("SELECT * FROM m_sup", "m_sup"))
 def supplier_summary(spark, sf):
     """The supplier mart."""
-    return M.supplier_summary(load_inputs(spark, sf))
+    return stored.suppliers(spark, sf)
 
 
 @register("spend_concentration", with_ctes(
@@ -75,7 +76,7 @@ def supplier_summary(spark, sf):
     "m_sup"))
 def spend_concentration(spark, sf):
     """Rank and cumulative share by spend (ROWS frame, ties broken by id)."""
-    s = M.supplier_summary(load_inputs(spark, sf))
+    s = stored.suppliers(spark, sf)
     return s.select("supplier_id", "supplier_name", "total_spend_inr", "spend_rank", "spend_share_pct",
                     "cum_spend_pct")
 
@@ -85,7 +86,7 @@ def spend_concentration(spark, sf):
     " min(spend_rank) AS first_rank, max(spend_rank) AS last_rank FROM m_sup GROUP BY abc_class", "m_sup"))
 def abc_classes(spark, sf):
     """ABC class sizes, spend and rank span."""
-    s = M.supplier_summary(load_inputs(spark, sf))
+    s = stored.suppliers(spark, sf)
     return s.groupBy("abc_class").agg(
         F.count(F.lit(1)).alias("suppliers"), F.sum("total_spend_inr").cast("decimal(28,2)").alias("spend_inr"),
         F.min("spend_rank").alias("first_rank"), F.max("spend_rank").alias("last_rank"))
@@ -101,7 +102,7 @@ def invoice_quality_by_order_quarter(spark, sf):
 @register("supplier_quarter", with_ctes("SELECT * FROM m_sq", "m_sq"))
 def supplier_quarter(spark, sf):
     """The supplier × quarter mart."""
-    return M.supplier_quarter(load_inputs(spark, sf))
+    return stored.quarters(spark, sf)
 
 
 @register("category_quarter", with_ctes("""

@@ -15,6 +15,7 @@ from vendorlens.operators import stats as ST
 from vendorlens.plans import panel as P
 from vendorlens.plans import portfolio as G
 from vendorlens.plans import scoring as SC
+from vendorlens.plans import stored
 from vendorlens.registry import register
 from vendorlens.session import materialize
 from vendorlens.sources.adapter import load_inputs
@@ -33,7 +34,7 @@ SCENARIO = {"on_time_rate": 10.0, "external_credit_score": 5.0}
 
 
 def _panel(spark, sf):
-    return materialize(P.build_panel(load_inputs(spark, sf)))
+    return stored.panel(spark, sf)
 
 
 @register("expanding_folds", with_ctes(f"""
@@ -156,8 +157,7 @@ def feature_importance(spark, sf):
 
 
 def _latest_rows(spark, sf):
-    inp = load_inputs(spark, sf)
-    return G.latest_quarter_rows(materialize(P.scored_panel(inp)), PROB)
+    return G.latest_quarter_rows(stored.scored_panel(spark, sf), PROB)
 
 
 @register("lever_sensitivity")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from oraclesql.ctes import cte, with_ctes
 from vendorlens.plans import filters as FL
 from vendorlens.plans import marts as M
+from vendorlens.plans import stored
 from vendorlens.plans import reports as R
 from vendorlens.registry import register
-from vendorlens.session import materialize
 from vendorlens.sources.adapter import load_inputs
 from vendorlens.suite.risk import PROB, fscored
 
@@ -19,33 +19,6 @@ SEL_RANGE = FL.Filters(regions=["ASIA", "EUROPE"], quarter_range=("FY99-00-Q2",
 SEL_EVENTS = FL.Filters(abc=["A", "B"], sizes=["Large", "Medium"])
 
 
-class _Marts:
-    """Lazily built marts of one query; the supplier mart is materialised on first use."""
-
-    def __init__(self, spark, sf):
-        self.inp = load_inputs(spark, sf)
-        self.dq = M.quarter_axis(self.inp)
-        self._sup = None
-
-    def __getitem__(self, i):
-        if i == 0:
-            return self.inp
-        if i == 1:
-            return self.dq
-        if i == 2:
-            if self._sup is None:
-                self._sup = materialize(M.supplier_summary(self.inp, self.dq))
-            return self._sup
-        return M.supplier_quarter(self.inp, self.dq)
-
-    def __iter__(self):
-        return iter([self[0], self[1], self[2], self[3]])
-
-
-def _marts(spark, sf):
-    return _Marts(spark, sf)
-
-
 def _wavg(rate: str) -> str:
     return f"coalesce(sum(coalesce({rate}, 0) * coalesce(lines, 0)) / nullif(sum(coalesce(lines, 0)), 0), 0)"
 
@@ -56,7 +29,7 @@ WHERE primary_category IN ('ECONOMY', 'PROMO', 'SMALL') AND supplier_tier IN ('S
   AND is_sole_source = 0""", "m_sup"))
 def cross_filter_suppliers(spark, sf):
     """Supplier ids surviving category, tier and sourcing filters."""
-    return FL.supplier_ids(_marts(spark, sf)[2], SEL_SUPPLIERS)
+    return FL.supplier_ids(stored.suppliers(spark, sf), SEL_SUPPLIERS)
 
 
 @register("filter_quarter_range", with_ctes("""
@@ -66,8 +39,7 @@ WHERE supplier_id IN (SELECT supplier_id FROM m_sup WHERE region IN ('ASIA', 'EU
              AND (SELECT qi FROM m_dq WHERE fiscal_quarter = 'FY99-00-Q2')""", "m_sq", "m_sup", "m_dq"))
 def filter_quarter_range(spark, sf):
     """A reversed quarter range is swapped; inclusive bounds."""
-    inp, dq, sup, sq = _marts(spark, sf)
-    return FL.fsq(sq, sup, dq, SEL_RANGE).select("supplier_id", "fiscal_quarter", "qi", "on_time_rate", "spend_inr")
+    return FL.fsq(stored.quarters(spark, sf), stored.suppliers(spark, sf), stored.axis(spark, sf), SEL_RANGE).select("supplier_id", "fiscal_quarter", "qi", "on_time_rate", "spend_inr")
 
 
 @register("events_filtered", with_ctes("""
@@ -77,9 +49,8 @@ WHERE e.supplier_id IN (SELECT supplier_id FROM m_sup WHERE abc_class IN ('A', '
                         AND business_size IN ('Large', 'Medium'))""", "x_event", "m_dq", "m_sup"))
 def events_filtered(spark, sf):
     """Events of the selection; events in quarters outside the axis drop out."""
-    inp, dq, sup, _ = _marts(spark, sf)
-    return FL.fevents(inp.event, sup, dq, SEL_EVENTS).select("event_id", "supplier_id", "fiscal_quarter", "qi",
-                                                             "severity")
+    kept = FL.fevents(load_inputs(spark, sf).event, stored.suppliers(spark, sf), stored.axis(spark, sf), SEL_EVENTS)
+    return kept.select("event_id", "supplier_id", "fiscal_quarter", "qi", "severity")
 
 
 @register("overview_kpis", with_ctes(f"""
@@ -93,8 +64,7 @@ SELECT (SELECT CAST(sum(spend_inr) AS DOUBLE) FROM m_sq) AS spend, (SELECT sum(p
                                       "m_sq", "m_sup", "m_fsc"))
 def overview_kpis(spark, sf):
     """Executive KPIs (benchmark score for the at-risk figures)."""
-    inp, dq, sup, sq = _marts(spark, sf)
-    return R.overview_kpis(spark, sup, sq, fscored(spark, sf), PROB)
+    return R.overview_kpis(spark, stored.suppliers(spark, sf), stored.quarters(spark, sf), fscored(spark, sf), PROB)
 
 
 cte("m_trend", ["m_sq"], """
@@ -107,7 +77,7 @@ FROM m_sq GROUP BY fiscal_quarter, qi""")
 @register("ontime_trend", with_ctes("SELECT * FROM m_trend", "m_trend"))
 def ontime_trend(spark, sf):
     """Weighted on-time trend by quarter."""
-    return R.ontime_trend(_marts(spark, sf)[3])
+    return R.ontime_trend(stored.quarters(spark, sf))
 
 
 @register("festive_effect", with_ctes("""
@@ -115,7 +85,7 @@ SELECT avg(CASE WHEN fiscal_quarter LIKE '%Q3' THEN on_time END) AS q3_on_time,
   avg(CASE WHEN fiscal_quarter NOT LIKE '%Q3' THEN on_time END) AS other_on_time FROM m_trend""", "m_trend"))
 def festive_effect(spark, sf):
     """Festive Q3 quarters against the rest."""
-    return R.festive_effect(R.ontime_trend(_marts(spark, sf)[3]))
+    return R.festive_effect(R.ontime_trend(stored.quarters(spark, sf)))
 
 
 cte("m_catperf", ["m_sq"], """
@@ -130,7 +100,7 @@ WHERE primary_category IS NOT NULL AND spend IS NOT NULL AND on_time IS NOT NULL
 @register("category_performance", with_ctes("SELECT * FROM m_catperf", "m_catperf"))
 def category_performance(spark, sf):
     """A12/A29."""
-    return R.category_performance(_marts(spark, sf)[3])
+    return R.category_performance(stored.quarters(spark, sf))
 
 
 @register("notable_categories", with_ctes("""
@@ -139,7 +109,7 @@ SELECT DISTINCT * FROM (
   UNION ALL (SELECT * FROM m_catperf ORDER BY spend DESC, primary_category LIMIT 2)) u""", "m_catperf"))
 def notable_categories(spark, sf):
     """Union of two top-k lists, de-duplicated by key."""
-    return R.notable_categories(R.category_performance(_marts(spark, sf)[3]))
+    return R.notable_categories(R.category_performance(stored.quarters(spark, sf)))
 
 
 @register("delivery_kpis", with_ctes(f"""
@@ -147,7 +117,7 @@ SELECT {_wavg('on_time_rate')} AS on_time, {_wavg('in_full_rate')} AS in_full,
   avg(avg_delay_days) AS avg_delay_days, coalesce(sum(stockouts), 0) AS stockouts FROM m_sq""", "m_sq"))
 def delivery_kpis(spark, sf):
     """A15."""
-    return R.delivery_kpis(_marts(spark, sf)[3])
+    return R.delivery_kpis(stored.quarters(spark, sf))
 
 
 # The fiscal quarters of the test tables' orders: October 1994 on, 27 in all.
@@ -159,8 +129,7 @@ _HEAT = ", ".join(f"avg(on_time_rate) FILTER (fiscal_quarter = '{q}') * 100 AS \
 SELECT primary_category, {_HEAT} FROM m_sq GROUP BY primary_category""", "m_sq"))
 def ontime_heatmap(spark, sf):
     """Pivot category × quarter (the quarters present, in axis order)."""
-    marts = _marts(spark, sf)
-    return R.ontime_heatmap(marts[3], marts[1])
+    return R.ontime_heatmap(stored.quarters(spark, sf), stored.axis(spark, sf))
 
 
 @register("worst_performers", with_ctes("""
@@ -169,7 +138,7 @@ SELECT supplier_id, supplier_name, otif_rate * 100 AS otif_pct, avg_delay_days,
 FROM m_sup WHERE otif_rate IS NOT NULL ORDER BY otif_rate, spend_rank LIMIT 12""", "m_sup"))
 def worst_performers(spark, sf):
     """O3: twelve lowest OTIF rates."""
-    return R.worst_performers(_marts(spark, sf)[2])
+    return R.worst_performers(stored.suppliers(spark, sf))
 
 
 @register("delay_quartiles_by_tier", with_ctes("""
@@ -179,7 +148,7 @@ SELECT supplier_tier, count(avg_delay_days) AS n, min(avg_delay_days) AS min,
 FROM m_sq WHERE supplier_tier IN ('Strategic', 'Preferred', 'Transactional') GROUP BY supplier_tier""", "m_sq"))
 def delay_quartiles_by_tier(spark, sf):
     """A17."""
-    return R.delay_quartiles_by_tier(_marts(spark, sf)[3])
+    return R.delay_quartiles_by_tier(stored.quarters(spark, sf))
 
 
 @register("invoice_kpis", with_ctes("""
@@ -188,7 +157,7 @@ SELECT avg(invoice_accuracy) AS invoice_accuracy, avg(dispute_rate) AS dispute_r
 FROM m_sup""", "m_sup"))
 def invoice_kpis(spark, sf):
     """A18."""
-    return R.invoice_kpis(_marts(spark, sf)[2])
+    return R.invoice_kpis(stored.suppliers(spark, sf))
 
 
 @register("invoice_error_totals", with_ctes("""
@@ -199,7 +168,7 @@ WHERE supplier_id IN (SELECT supplier_id FROM m_sup) AND invoice_error_type <> '
 GROUP BY invoice_error_type""", "x_invoice", "m_sup"))
 def invoice_error_totals(spark, sf):
     """A19."""
-    inp, dq, sup, _ = _marts(spark, sf)
+    inp, sup = load_inputs(spark, sf), stored.suppliers(spark, sf)
     return R.invoice_error_totals(M.invoice_errors(inp), FL.supplier_ids(sup, FL.Filters()))
 
 
@@ -210,7 +179,7 @@ SELECT corr(otif_rate, invoice_accuracy) AS corr,
 FROM m_sup""", "m_sup"))
 def otif_accuracy_corr(spark, sf):
     """A20."""
-    return R.otif_accuracy_corr(_marts(spark, sf)[2])
+    return R.otif_accuracy_corr(stored.suppliers(spark, sf))
 
 
 @register("sla_kpis", with_ctes("""
@@ -220,7 +189,7 @@ SELECT count_if(sla_gap_pp < 0) AS breaches, count(*) AS suppliers, median(sla_g
 FROM m_sup""", "m_sup"))
 def sla_kpis(spark, sf):
     """A21."""
-    return R.sla_kpis(_marts(spark, sf)[2])
+    return R.sla_kpis(stored.suppliers(spark, sf))
 
 
 @register("sla_status", with_ctes("""
@@ -231,7 +200,7 @@ SELECT supplier_id, supplier_name, sla_target_pct, on_time_rate * 100 AS actual_
 FROM m_sup WHERE sla_target_pct IS NOT NULL""", "m_sup"))
 def sla_status(spark, sf):
     """A22."""
-    return R.sla_status(_marts(spark, sf)[2])
+    return R.sla_status(stored.suppliers(spark, sf))
 
 
 @register("top20_share", with_ctes("""
@@ -241,7 +210,7 @@ SELECT (SELECT sum(CAST(total_spend_inr AS DOUBLE)) FROM
   20 AS k, (SELECT count_if(abc_class = 'A') FROM m_sup) AS class_a""", "m_sup"))
 def top20_share(spark, sf):
     """Top-20 spend share of the selection."""
-    return R.top20_share(_marts(spark, sf)[2])
+    return R.top20_share(stored.suppliers(spark, sf))
 
 
 @register("format_inr", with_ctes("""
@@ -253,7 +222,7 @@ def format_inr(spark, sf):
     """money in the Indian convention. The oracle checks the unit chosen per value; the full
     text (``inr`` column) is Java-formatted and can differ from Python in a half-step last digit."""
     from vendorlens.functions.scalar import inr
-    sup = _marts(spark, sf)[2]
+    sup = stored.suppliers(spark, sf)
     a = F.abs(F.col("total_spend_inr").cast("double"))
     unit = F.when(a >= 1e7, "cr").when(a >= 1e5, "L").when(a >= 1e3, "k").otherwise("")
     return sup.select("supplier_id", F.col("total_spend_inr").cast("double").alias("total_spend_inr"), unit.alias("unit"))
@@ -263,4 +232,4 @@ def format_inr(spark, sf):
 def inr_text(spark, sf):
     """The formatted money text of every supplier's spend (not oracle-checked)."""
     from vendorlens.functions.scalar import inr
-    return _marts(spark, sf)[2].select("supplier_id", inr(F.col("total_spend_inr")).alias("inr"))
+    return stored.suppliers(spark, sf).select("supplier_id", inr(F.col("total_spend_inr")).alias("inr"))

@@ -12,11 +12,11 @@ from vendorlens import constants as K
 from vendorlens.functions.scalar import risk_band
 from vendorlens.plans import economics as E
 from vendorlens.plans import marts as M
+from vendorlens.plans import stored
 from vendorlens.plans import panel as P
 from vendorlens.plans import portfolio as G
 from vendorlens.plans import supplier360 as B
 from vendorlens.registry import register
-from vendorlens.session import materialize
 from vendorlens.sources.adapter import load_inputs
 
 PROB = "prob_benchmark"
@@ -25,7 +25,7 @@ CHOSEN_THRESHOLD = 0.5
 
 def fscored(spark, sf):
     """Scored panel restricted to rows that carry a score, materialised once per query."""
-    return materialize(P.scored_panel(load_inputs(spark, sf)).where(F.col(PROB).isNotNull()))
+    return stored.scored_panel(spark, sf).where(F.col(PROB).isNotNull())
 
 
 GRID_SQL = ("(SELECT range + 1 AS b, CAST(0.02 AS DOUBLE) + range * CAST(0.02 AS DOUBLE) AS t "
@@ -53,19 +53,19 @@ FROM m_cost_full""")
 @register("panel_features", with_ctes("SELECT * FROM m_panel", "m_panel"))
 def panel_features(spark, sf):
     """Rolling, lag and share features with the next-quarter failure target."""
-    return P.build_panel(load_inputs(spark, sf))
+    return stored.panel(spark, sf)
 
 
 @register("benchmark_score", with_ctes("SELECT * FROM m_bench", "m_bench"))
 def benchmark_score(spark, sf):
     """Inverse min-max scaling of the rolling on-time rate within each quarter."""
-    return P.benchmark_score(P.build_panel(load_inputs(spark, sf)))
+    return P.benchmark_score(stored.panel(spark, sf))
 
 
 @register("scored_panel", with_ctes("SELECT * FROM m_scored", "m_scored"))
 def scored_panel(spark, sf):
     """J10/J11 with the benchmark score (scores from qi >= 6)."""
-    return P.scored_panel(load_inputs(spark, sf))
+    return stored.scored_panel(spark, sf)
 
 
 @register("latest_quarter_rows", with_ctes(
@@ -83,7 +83,7 @@ SELECT supplier_id, fiscal_quarter, prob_benchmark,
 FROM m_scored""", "m_scored"))
 def risk_bands(spark, sf):
     """F2: bands for every panel row (NULL score → Low)."""
-    s = P.scored_panel(load_inputs(spark, sf))
+    s = stored.scored_panel(spark, sf)
     return s.select("supplier_id", "fiscal_quarter", PROB, risk_band(F.col(PROB)).alias("risk_band"))
 
 
@@ -228,7 +228,7 @@ SELECT supplier_id, supplier_name,
 FROM m_sup""", "m_sup"))
 def attention_flags(spark, sf):
     """B1: attention flags of every supplier."""
-    return B.attention_flags(M.supplier_summary(load_inputs(spark, sf)))
+    return B.attention_flags(stored.suppliers(spark, sf))
 
 
 @register("latest_prediction", with_ctes("""
@@ -236,7 +236,7 @@ SELECT supplier_id, arg_max(prob_benchmark, qi) AS latest_prob, max(qi) AS lates
 FROM m_scored WHERE prob_benchmark IS NOT NULL GROUP BY supplier_id""", "m_scored"))
 def latest_prediction(spark, sf):
     """W11."""
-    return B.latest_prediction(P.scored_panel(load_inputs(spark, sf)), PROB)
+    return B.latest_prediction(stored.scored_panel(spark, sf), PROB)
 
 
 @register("supplier360", with_ctes("""
@@ -251,8 +251,7 @@ FROM m_sup s LEFT JOIN (SELECT supplier_id, arg_max(prob_benchmark, qi) AS lates
   ON s.supplier_id = lp.supplier_id""", "m_sup", "m_scored"))
 def supplier360(spark, sf):
     """B2: the 360 record of every supplier."""
-    inp = load_inputs(spark, sf)
-    return B.supplier360(M.supplier_summary(inp), P.scored_panel(inp), PROB)
+    return B.supplier360(stored.suppliers(spark, sf), stored.scored_panel(spark, sf), PROB)
 
 
 @register("quarter_detail", with_ctes("""
@@ -264,7 +263,7 @@ SELECT supplier_id, fiscal_quarter, qi, lines, po_count, spend_inr / 1e7 AS spen
 FROM m_sq""", "m_sq"))
 def quarter_detail(spark, sf):
     """Per-quarter detail and signals of every supplier."""
-    return B.quarter_detail(M.supplier_quarter(load_inputs(spark, sf)))
+    return B.quarter_detail(stored.quarters(spark, sf))
 
 
 @register("incident_log", with_ctes("""
@@ -283,8 +282,7 @@ LEFT JOIN (SELECT supplier_id, severity, count(*) AS n FROM x_event GROUP BY 1,
   ON s.supplier_id = c.supplier_id AND d.severity = c.severity""", "m_sup", "x_event"))
 def severity_counts(spark, sf):
     """Incidents per supplier and severity, zeros included."""
-    inp = load_inputs(spark, sf)
-    return B.severity_counts(M.supplier_summary(inp), inp.event)
+    return B.severity_counts(stored.suppliers(spark, sf), load_inputs(spark, sf).event)
 
 
 @register("events_quarter_severity", with_ctes("""
@@ -311,7 +309,7 @@ FROM m_peer_stack a JOIN (SELECT primary_category, metric, count(*) AS peers, me
   ON a.primary_category = m.primary_category AND a.metric = m.metric""", "m_peer_stack"))
 def peer_percentiles(spark, sf):
     """Percentile against category peers, six metrics."""
-    return B.peer_percentiles(M.supplier_summary(load_inputs(spark, sf)))
+    return B.peer_percentiles(stored.suppliers(spark, sf))
 
 
 @register("supplier_history", with_ctes("""
@@ -319,6 +317,6 @@ SELECT supplier_id, fiscal_quarter, qi, on_time_rate * 100 AS on_time_pct, exter
   prob_benchmark * 100 AS risk_pct FROM m_scored""", "m_scored"))
 def supplier_history(spark, sf):
     """Every supplier's ordered history (order by qi when reading)."""
-    s = P.scored_panel(load_inputs(spark, sf))
+    s = stored.scored_panel(spark, sf)
     return s.select("supplier_id", "fiscal_quarter", "qi", (F.col("on_time_rate") * 100).alias("on_time_pct"),
                     "external_credit_score", (F.col(PROB) * 100).alias("risk_pct"))

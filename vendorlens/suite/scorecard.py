@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from oraclesql.ctes import cte, with_ctes
 from vendorlens import constants as K
 from vendorlens.plans import marts as M
+from vendorlens.plans import stored
 from vendorlens.plans import scorecard as S
 from vendorlens.registry import register
 from vendorlens.session import materialize
@@ -18,7 +19,7 @@ SWEEP_SETS = 800
 
 
 def _sup(spark, sf):
-    return materialize(M.supplier_summary(load_inputs(spark, sf)))
+    return stored.suppliers(spark, sf)
 
 
 def _pillars(spark, sf):
