@@ -20,17 +20,22 @@ from vendorlens.sources.io import write_table
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """The stored table ``name`` of ``sf_dir``; ``build()`` makes it on first use."""
+def once_at(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """The path of what ``write(path)`` wrote for ``sf_dir`` on first use."""
     app = spark.sparkContext.applicationId
     for key in [k for k in _STORED if k[0] != app]:
         del _STORED[key]
     key = (app, sf_dir.rstrip("/"), name)
     if key not in _STORED:
         path = f"{ensure_checkpoint_dir(spark)}/mart-{name}-{uuid.uuid4().hex}"
-        write_table(build(), path)
+        write(path)
         _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+    return _STORED[key]
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """The stored table ``name`` of ``sf_dir``; ``build()`` makes it on first use."""
+    return spark.read.parquet(once_at(spark, sf_dir, name, lambda path: write_table(build(), path)))
 
 
 def forget(sf_dir: str) -> None:

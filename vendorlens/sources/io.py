@@ -13,6 +13,7 @@ _FILES = {
     "po": "fact_purchase_order", "receipt": "fact_goods_receipt", "invoice": "fact_invoice",
     "risk": "dim_supplier_quarterly_risk", "event": "fact_supplier_event",
 }
+PANEL = "ml_supplier_quarter_panel"
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -27,25 +28,43 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header and a declared schema. Empty cells, 'NaN' and 'None' read as NULL,
-    except in string columns where 'None' is a value (an invoice without error)."""
+    """CSV with a header and a declared schema. Empty cells and 'NaN' numbers read as NULL; 'None' in a string
+    column is a value (an invoice without error). A cell that does not fit its type reads as NULL too;
+    ``rejected_rows`` counts the rows that hold one."""
     df = (spark.read.schema(schema).option("header", True).option("nanValue", "NaN")
           .option("mode", "PERMISSIVE").csv(path))
     return nan_to_null(df)
 
 
+def rejected_rows(spark: SparkSession, path: str, schema: T.StructType) -> int:
+    """Rows of a CSV table with a cell that does not fit the declared schema."""
+    every = T.StructType([*schema.fields, T.StructField("_rejected", T.StringType())])
+    rows = (spark.read.schema(every).option("header", True).option("nanValue", "NaN").option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_rejected").csv(path))
+    # every column is read, else the reader would only parse and judge the ones it needs
+    return rows.agg(F.count_if(F.col("_rejected").isNotNull()).alias("n"), F.bit_xor(F.xxhash64(*schema.names))).first()["n"]
+
+
+def read_panel(spark: SparkSession, folder: str, fmt: str = "csv") -> DataFrame:
+    """The ready-made supplier x quarter panel, from which folds and models can start."""
+    return _read(spark, f"{folder.rstrip('/')}/{PANEL}.{fmt}", schemas.ML_SUPPLIER_QUARTER_PANEL, fmt)
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
+    if fmt == "csv":
+        return read_csv_table(spark, path, schema)
+    return nan_to_null(spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]))
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON records such as the metrics record, with a declared schema."""
+    return spark.read.schema(schema).json(path)
+
+
 def read_inputs(spark: SparkSession, folder: str, fmt: str = "csv") -> Inputs:
     """Read the eight procurement inputs from ``folder/<name>.<fmt>``."""
-    tables = {}
-    for attr, name in _FILES.items():
-        schema = schemas.INPUTS[name]
-        path = f"{folder.rstrip('/')}/{name}.{fmt}"
-        if fmt == "csv":
-            tables[attr] = read_csv_table(spark, path, schema)
-        else:
-            df = spark.read.parquet(path)
-            tables[attr] = nan_to_null(df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]))
-    return Inputs(**tables)
+    return Inputs(**{attr: _read(spark, f"{folder.rstrip('/')}/{name}.{fmt}", schemas.INPUTS[name], fmt)
+                     for attr, name in _FILES.items()})
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:

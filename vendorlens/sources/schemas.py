@@ -47,6 +47,21 @@ FACT_SUPPLIER_EVENT = _schema(
     ("event_id", L), ("supplier_id", L), ("event_date", DT), ("fiscal_quarter", S), ("event_type", S),
     ("severity", S), ("reported_by", S), ("resolved_flag", I), ("resolution_days", D))
 
+ML_SUPPLIER_QUARTER_PANEL = _schema(
+    ("supplier_id", L), ("fiscal_quarter", S), ("qi", I),
+    *[(c, S) for c in ("supplier_tier", "business_size", "primary_category", "region", "credit_rating")],
+    ("lines", L), ("po_count", L),
+    *[(c, D) for c in ("on_time_rate", "in_full_rate", "otif_rate", "avg_delay_days")], ("stockouts", L),
+    *[(c, D) for c in ("reject_rate_pct", "invoice_error_rate", "dispute_rate", "total_spend_inr",
+                       "spend_share_of_quarter_pct", "external_credit_score", "altman_z_score",
+                       "days_sales_outstanding", "debt_to_equity_ratio", "current_ratio", "promoter_pledge_pct",
+                       "news_sentiment_score")],
+    *[(c, I) for c in ("gst_filing_delay_flag", "litigation_case_count", "is_sole_source", "num_alternate_suppliers")],
+    ("event_count", L), ("critical_event_count", L),
+    *[(c, D) for c in ("rolling_2q_on_time_rate", "po_count_qoq_growth_pct", "credit_score_change",
+                       "yoy_revenue_growth_pct")],
+    ("target_delivery_failure_next_q", I))
+
 INPUTS = {
     "dim_supplier": DIM_SUPPLIER,
     "dim_item": DIM_ITEM,

@@ -219,17 +219,19 @@ SELECT supplier_id, CAST(total_spend_inr AS DOUBLE) AS total_spend_inr,
        WHEN CAST(total_spend_inr AS DOUBLE) >= 1e3 THEN 'k' ELSE '' END AS unit
 FROM m_sup""", "m_sup"))
 def format_inr(spark, sf):
-    """money in the Indian convention. The oracle checks the unit chosen per value; the full
-    text (``inr`` column) is Java-formatted and can differ from Python in a half-step last digit."""
-    from vendorlens.functions.scalar import inr
+    """the unit of the Indian money convention per value (``format_inr_text`` gives the text)."""
     sup = stored.suppliers(spark, sf)
     a = F.abs(F.col("total_spend_inr").cast("double"))
     unit = F.when(a >= 1e7, "cr").when(a >= 1e5, "L").when(a >= 1e3, "k").otherwise("")
     return sup.select("supplier_id", F.col("total_spend_inr").cast("double").alias("total_spend_inr"), unit.alias("unit"))
 
 
-@register("format_inr_text")
+@register("format_inr_text", with_ctes("""
+SELECT supplier_id, CASE WHEN v < 0 THEN '-' ELSE '' END || CASE
+    WHEN abs(v) >= 1e7 THEN format('₹{:,.1f} cr', abs(v) / 1e7) WHEN abs(v) >= 1e5 THEN format('₹{:,.1f} L', abs(v) / 1e5)
+    WHEN abs(v) >= 1e3 THEN format('₹{:,.0f}k', abs(v) / 1e3) ELSE format('₹{:,.0f}', abs(v)) END AS inr
+FROM (SELECT supplier_id, CAST(total_spend_inr AS DOUBLE) AS v FROM m_sup) t""", "m_sup"))
 def inr_text(spark, sf):
-    """The formatted money text of every supplier's spend (not oracle-checked)."""
+    """the formatted money text of every supplier's spend."""
     from vendorlens.functions.scalar import inr
     return stored.suppliers(spark, sf).select("supplier_id", inr(F.col("total_spend_inr")).alias("inr"))
