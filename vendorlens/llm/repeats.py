@@ -36,7 +36,7 @@ LENGTH = 400
 GRAM = 128
 BLOCK = 1 << 18
 HOT = 1000
-PIECE = 1 << 22
+PIECE = 1 << 20
 BROADCAST_ROWS = 500_000
 U64 = np.uint64
 _LOW = U64((1 << 24) - 1)
@@ -240,20 +240,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     def run(batches):
         for batch in batches:
             doc = batch.column(0)
-            held, n, cut, kept = doc.field("spans").to_pylist(), [], [], []
             for row, data, bounds in byte_chunks(doc.field("text")):
+                n, cut, kept = [], [], []
+                part = doc.slice(row, len(bounds) - 1)
+                held = part.field("spans").to_pylist()
                 for i in range(len(bounds) - 1):
                     text, at, parts = data[bounds[i]:bounds[i + 1]], 0, []
-                    for s in held[row + i] or []:
+                    for s in held[i] or []:
                         parts.append(text[at:s["start"]].tobytes())
                         at = s["end"]
                     parts.append(text[at:].tobytes())
                     n.append(len(text))
                     kept.append(b"".join(parts))
                     cut.append(len(text) - len(kept[-1]))
-            inner = pa.StructArray.from_arrays([doc.field("doc_id")], ["doc_id"])
-            yield pa.RecordBatch.from_arrays([inner, pa.array(n, pa.int64()), pa.array(cut, pa.int64()), doc.field("spans"), pa.array(kept, pa.binary())],
-                                             ["doc", "n_bytes", "n_removed", "spans", "kept"])
+                inner = pa.StructArray.from_arrays([part.field("doc_id")], ["doc_id"])
+                yield pa.RecordBatch.from_arrays([inner, pa.array(n, pa.int64()), pa.array(cut, pa.int64()), part.field("spans"), pa.array(kept, pa.binary())],
+                                                 ["doc", "n_bytes", "n_removed", "spans", "kept"])
 
     out = T.StructType([T.StructField("doc", T.StructType([rows.schema["doc_id"]])), T.StructField("n_bytes", T.LongType()),
                         T.StructField("n_removed", T.LongType()), rows.schema["spans"], T.StructField("kept", T.BinaryType())])
