@@ -126,7 +126,7 @@ SELECT e.event_id, e.user_id AS supplier_id, CAST(e.ts AS DATE) AS event_date,
        ELSE 'Low' END AS severity,
   e.event_type AS reported_by, CAST(e.event_id % 3 <> 0 AS INTEGER) AS resolved_flag,
   CASE WHEN e.event_id % 3 <> 0 THEN CAST(e.event_id % 20 AS DOUBLE) END AS resolution_days
-FROM events e JOIN supplier s ON e.user_id = s.s_suppkey""")
+FROM events e""")
 
 # ---------------------------------------------------------------- marts
 cte("m_dq", ["x_po"], """

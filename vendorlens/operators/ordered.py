@@ -75,6 +75,39 @@ def running_totals(df: DataFrame, order_by: Sequence, sums: dict[str, Column] |
     return out.select(*keep, *exprs)
 
 
+def quantiles_of(acc: DataFrame, probs: dict[str, float], segment_by: Sequence[str], value: str = "value",
+                 count: str = "c", cum: str = "cum") -> DataFrame:
+    """Exact linearly interpolated quantiles, one column per entry of ``probs``, of every segment of ``acc``: one
+    row per distinct ``value`` with its ``count`` and running count ``cum``. No group is held in one buffer: the
+    two rows next to each position are picked by their running counts. One row per segment is broadcast, so
+    there must be few segments (categories, tiers, features)."""
+    keys = {c: f"__q_k{i}" for i, c in enumerate(segment_by)}
+    totals = acc.groupBy(*segment_by).agg(F.max(cum).alias("__q_n")).withColumnsRenamed(keys)
+    rows = acc.join(F.broadcast(totals), [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+    picks, out = [F.max("__q_n").alias("__q_n")], []
+    for i, (name, p) in enumerate(probs.items()):
+        at = F.lit(float(p)) * (F.col("__q_n") - 1)
+        for end, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            here = (F.col(cum) - F.col(count) <= place) & (place < F.col(cum))
+            picks.append(F.max(F.when(here, F.col(value))).alias(f"__q_{end}{i}"))
+        lo, hi = F.col(f"__q_lo{i}"), F.col(f"__q_hi{i}")
+        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+    return rows.groupBy(*segment_by).agg(*picks).select(*segment_by, *out)
+
+
+def quantiles(df: DataFrame, columns: dict[str, Column], probs: dict[str, float],
+              segment_by: Sequence[str] = ()) -> DataFrame:
+    """(metric, segment columns, one column per entry of ``probs``): exact quantiles of each of ``columns``, NULLs
+    left out; a segment without values has no row. Values are counted before they are shuffled, and ranked in
+    range partitions."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), c.cast("double").alias("value")) for n, c in columns.items()])
+    counts = (df.select(*segment_by, F.inline(pairs)).where(F.col("value").isNotNull())
+              .groupBy("metric", *segment_by, "value").agg(F.count(F.lit(1)).alias("c")))
+    segments = ["metric", *segment_by]
+    acc = running_totals(counts, [F.col("value").asc()], {"cum": F.col("c")}, segment_by=segments)
+    return quantiles_of(acc, probs, segments)
+
+
 def average_rank(df: DataFrame, value: str, out: str, segment_by: Sequence[str] = (),
                  descending: bool = False, count_out: str | None = None) -> DataFrame:
     """pandas ``rank(method='average')`` of ``value`` within ``segment_by``: ties share the mean of

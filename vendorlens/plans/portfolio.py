@@ -5,26 +5,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendorlens import constants as K
+from vendorlens.operators.ordered import quantiles
 
 
 def latest_quarter_rows(scored: DataFrame, prob: str) -> DataFrame:
-    """P10: rows of the latest quarter that carries a score (one-row max, then equality filter)."""
+    """P10: rows of the latest quarter that carries a score (one-row max, then equality filter). For a selection
+    without the latest scored quarter that is the greatest scored quarter it holds."""
     latest = scored.where(F.col(prob).isNotNull()).select(F.max("qi")).scalar()
     return scored.where(F.col(prob).isNotNull() & (F.col("qi") == latest))
 
 
 def kraljic_quadrants(scored: DataFrame, prob: str, risk_cut: float = 70, impact_cut: float = 70) -> DataFrame:
     """G1: supply risk = .6p + .2·sole + .2/(1+alternates); profit impact = share·criticality (0.5
-    when unknown); cut-offs are exact linear quantiles of the segment (a one-row aggregate)."""
+    when unknown); cut-offs are exact linear quantiles of the segment."""
     seg = latest_quarter_rows(scored, prob)
     seg = seg.withColumns({
         "supply_risk": F.col(prob) * 0.6 + F.col("is_sole_source") * 0.20
                        + (1 / (1 + F.col("num_alternate_suppliers"))) * 0.20,
         "profit_impact": F.col("spend_share_of_quarter_pct") * F.coalesce("category_criticality", F.lit(0.5)),
     })
-    cuts = seg.agg(F.percentile("supply_risk", risk_cut / 100.0).alias("rq"),
-                   F.percentile("profit_impact", impact_cut / 100.0).alias("iq"))
-    rq, iq = cuts.select("rq").scalar(), cuts.select("iq").scalar()
+    cuts = quantiles(seg, {c: F.col(c) for c in ("supply_risk", "profit_impact")},
+                     {"rq": risk_cut / 100.0, "iq": impact_cut / 100.0})
+    rq = cuts.where("metric = 'supply_risk'").select("rq").scalar()
+    iq = cuts.where("metric = 'profit_impact'").select("iq").scalar()
     hi_r, hi_i = F.col("supply_risk") >= rq, F.col("profit_impact") >= iq
     lo_r, lo_i = F.col("supply_risk") < rq, F.col("profit_impact") < iq
     quadrant = (F.when(hi_r & hi_i, "Strategic").when(hi_r & lo_i, "Bottleneck")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vendorlens import constants as K
 from vendorlens.functions.scalar import weighted_mean
+from vendorlens.operators.ordered import quantiles
 
 
 def _weighted_or_zero(rate: str, weight: str = "lines"):
@@ -89,9 +90,10 @@ def worst_performers(sup: DataFrame, n: int = 12) -> DataFrame:
 def delay_quartiles_by_tier(sq: DataFrame) -> DataFrame:
     """Box statistics of quarterly average delay per tier (linear quantiles)."""
     d = F.col("avg_delay_days")
-    return (sq.where(F.col("supplier_tier").isin(K.TIERS)).groupBy("supplier_tier").agg(
-        F.count(d).alias("n"), F.min(d).alias("min"), F.percentile(d, 0.25).alias("q1"),
-        F.percentile(d, 0.5).alias("median"), F.percentile(d, 0.75).alias("q3"), F.max(d).alias("max")))
+    rows = sq.where(F.col("supplier_tier").isin(K.TIERS))
+    box = quantiles(rows, {"delay": d}, {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["supplier_tier"]).drop("metric")
+    ends = rows.groupBy("supplier_tier").agg(F.count(d).alias("n"), F.min(d).alias("min"), F.max(d).alias("max"))
+    return ends.join(F.broadcast(box), "supplier_tier", "left")  # one row per tier
 
 
 def invoice_kpis(sup: DataFrame) -> DataFrame:
@@ -117,10 +119,12 @@ def otif_accuracy_corr(sup: DataFrame, strong: float = 0.6) -> DataFrame:
 def sla_kpis(sup: DataFrame) -> DataFrame:
     """Breaches, median and worst gap, spend held in breach."""
     gap = F.col("sla_gap_pp")
-    return sup.agg(F.count_if(gap < 0).alias("breaches"), F.count(F.lit(1)).alias("suppliers"),
-                   F.median(gap).alias("median_gap"), F.min(gap).alias("worst_gap"),
-                   F.coalesce(F.sum(F.when(gap < 0, F.col("total_spend_inr"))), F.lit(0)).cast("double")
-                   .alias("spend_in_breach"))
+    median = quantiles(sup, {"gap": gap}, {"median": 0.5}).select("median").scalar()
+    out = sup.agg(F.count_if(gap < 0).alias("breaches"), F.count(F.lit(1)).alias("suppliers"),
+                  F.min(gap).alias("worst_gap"),
+                  F.coalesce(F.sum(F.when(gap < 0, F.col("total_spend_inr"))), F.lit(0)).cast("double")
+                  .alias("spend_in_breach"))
+    return out.withColumn("median_gap", median)
 
 
 def sla_status(sup: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vendorlens import constants as K
 from vendorlens.functions.scalar import risk_band
-from vendorlens.operators.ordered import running_totals
+from vendorlens.operators.ordered import quantiles_of, running_totals
 
 # FIXED VALUES — the peer metrics and whether higher is better.
 PEER_METRICS = [("otif_rate", "OTIF rate", True), ("on_time_rate", "On-time rate", True),
@@ -98,8 +98,8 @@ def peer_percentiles(sup: DataFrame) -> DataFrame:
     seg = ["primary_category", "metric"]
     vals = stacked.where(F.col("value").isNotNull()).groupBy(*seg, "value").agg(F.count(F.lit(1)).alias("c"))
     acc = running_totals(vals, [F.col("value").asc()], {"cum": F.col("c")}, segment_by=seg)
-    peers = stacked.groupBy(*seg).agg(F.count(F.lit(1)).alias("peers"), F.count("value").alias("non_null"),
-                                      F.median("value").alias("peer_median"))
+    peers = stacked.groupBy(*seg).agg(F.count(F.lit(1)).alias("peers"), F.count("value").alias("non_null"))
+    peers = peers.join(F.broadcast(quantiles_of(acc, {"peer_median": 0.5}, seg)), seg, "left")
     j = stacked.join(acc, [*seg, "value"], "left").join(F.broadcast(peers), seg, "inner")  # one row per category and metric
     below = F.col("cum") - F.col("c")
     above = F.col("non_null") - F.col("cum")

@@ -2,7 +2,7 @@
 
 The batch analytics count incidents per supplier, quarter and severity (A5/A24). When incident
 events arrive as a stream of files, the same aggregation runs incrementally: a file source with a
-declared schema, the supplier filter as a stream-static join, and a keyed count kept in the state
+declared schema, the known-supplier flag by a stream-static join, and a keyed count kept in the state
 store. ``foreachBatch`` hands each updated result to a sink (for example a table the reports read).
 """
 from __future__ import annotations
@@ -22,8 +22,8 @@ EVENT_SCHEMA = T.StructType([
 
 def incident_stream(spark: SparkSession, source_dir: str, suppliers: DataFrame,
                     max_files: int | None = None) -> DataFrame:
-    """Streaming incidents of known suppliers, mapped like the batch input (severity by value,
-    quarter from the event id)."""
+    """All streaming incidents, mapped like the batch input (severity by value, quarter from the event id);
+    ``known`` tells whether the supplier id is in ``suppliers``."""
     reader = spark.readStream.schema(EVENT_SCHEMA)
     raw = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(source_dir)
     v, eid = F.col("value"), F.col("event_id")
@@ -31,13 +31,14 @@ def incident_stream(spark: SparkSession, source_dir: str, suppliers: DataFrame,
         "event_id", F.col("user_id").alias("supplier_id"),
         cal.label_of_quarter_number(eid % 30).alias("fiscal_quarter"),
         F.when(v >= 110, "Critical").when(v >= 70, "High").when(v >= 35, "Medium").otherwise("Low").alias("severity"))
-    return ev.join(suppliers.select("supplier_id"), "supplier_id", "inner")
+    known = suppliers.select("supplier_id", F.lit(True).alias("known"))
+    return ev.join(known, "supplier_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def incident_counts(events: DataFrame) -> DataFrame:
     """A5/A24 as a stateful streaming aggregate (complete or update output mode)."""
     return events.groupBy("supplier_id", "fiscal_quarter", "severity").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n"), F.max("known").alias("known"),
         F.count_if(F.col("severity").isin(K.HIGH_SEVERITIES)).alias("high_or_critical"))
 
 

@@ -185,8 +185,9 @@ def auc_models(spark, sf):
 def capacity_triage_models(spark, sf):
     """E4 across the three scores, as on the prediction page."""
     from vendorlens.plans import economics as E
-    return E.capacity_triage(_oos_panel(spark, sf), {"Random Forest": "prob_rf", "Logistic Regression": "prob_lr",
-                                      "Single column rule": PROB})
+    triage = E.capacity_triage(_oos_panel(spark, sf), {"Random Forest": "prob_rf", "Logistic Regression": "prob_lr",
+                                                       "Single column rule": PROB})
+    return E.capacity_gain(triage, "Single column rule")
 
 
 @register("feature_importance")

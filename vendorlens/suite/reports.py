@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from oraclesql.ctes import cte, with_ctes
 from vendorlens.plans import filters as FL
 from vendorlens.plans import marts as M
+from vendorlens.plans import portfolio as G
 from vendorlens.plans import stored
 from vendorlens.plans import reports as R
 from vendorlens.registry import register
@@ -16,6 +17,8 @@ from vendorlens.suite.risk import PROB, fscored
 SEL_SUPPLIERS = FL.Filters(categories=["ECONOMY", "PROMO", "SMALL"], tiers=["Strategic", "Preferred"],
                            sourcing=FL.ALTERNATIVES_ONLY)
 SEL_RANGE = FL.Filters(regions=["ASIA", "EUROPE"], quarter_range=("FY99-00-Q2", "FY97-98-Q1"))
+SEL_SCORED = FL.Filters(tiers=["Strategic", "Preferred"], sourcing=FL.ALTERNATIVES_ONLY,
+                        quarter_range=("FY97-98-Q1", "FY99-00-Q2"))
 SEL_EVENTS = FL.Filters(abc=["A", "B"], sizes=["Large", "Medium"])
 
 
@@ -42,6 +45,32 @@ def filter_quarter_range(spark, sf):
     return FL.fsq(stored.quarters(spark, sf), stored.suppliers(spark, sf), stored.axis(spark, sf), SEL_RANGE).select("supplier_id", "fiscal_quarter", "qi", "on_time_rate", "spend_inr")
 
 
+cte("m_fsc_sel", ["m_fsc", "m_sup", "m_dq"], """
+SELECT * FROM m_fsc
+WHERE supplier_id IN (SELECT supplier_id FROM m_sup WHERE supplier_tier IN ('Strategic', 'Preferred') AND is_sole_source = 0)
+  AND qi BETWEEN (SELECT qi FROM m_dq WHERE fiscal_quarter = 'FY97-98-Q1')
+             AND (SELECT qi FROM m_dq WHERE fiscal_quarter = 'FY99-00-Q2')""")
+
+
+def selected_scores(spark, sf):
+    return FL.fscored(stored.scored_panel(spark, sf), stored.suppliers(spark, sf), stored.axis(spark, sf), SEL_SCORED, PROB)
+
+
+@register("scored_filtered", with_ctes("SELECT supplier_id, fiscal_quarter, qi, prob_benchmark FROM m_fsc_sel", "m_fsc_sel"))
+def scored_filtered(spark, sf):
+    """Scored rows of the selected suppliers and quarters."""
+    return selected_scores(spark, sf).select("supplier_id", "fiscal_quarter", "qi", PROB)
+
+
+@register("latest_rows_filtered", with_ctes("""
+SELECT supplier_id, fiscal_quarter, qi, prob_benchmark FROM m_fsc_sel
+WHERE qi = (SELECT coalesce(max(qi) FILTER (WHERE qi = (SELECT max(qi) FROM m_fsc)), max(qi)) FROM m_fsc_sel)""",
+                                            "m_fsc_sel", "m_fsc"))
+def latest_rows_filtered(spark, sf):
+    """P10: the selection ends before the latest scored quarter, so its own last quarter is taken."""
+    return G.latest_quarter_rows(selected_scores(spark, sf), PROB).select("supplier_id", "fiscal_quarter", "qi", PROB)
+
+
 @register("events_filtered", with_ctes("""
 SELECT e.event_id, e.supplier_id, e.fiscal_quarter, d.qi, e.severity
 FROM x_event e JOIN m_dq d ON e.fiscal_quarter = d.fiscal_quarter

@@ -153,6 +153,31 @@ def capacity_triage(spark, sf):
     return E.capacity_triage(fscored(spark, sf), {"Single column rule": PROB})
 
 
+def _reviewed(model: str, score: str) -> str:
+    return f"""
+SELECT '{model}' AS model, count(*) AS reviewed, CAST(coalesce(sum(y), 0) AS BIGINT) AS caught
+FROM (SELECT target_delivery_failure_next_q AS y,
+        row_number() OVER (PARTITION BY fiscal_quarter ORDER BY {score} DESC, supplier_id) AS r
+      FROM m_fsc WHERE {score} IS NOT NULL) t WHERE r <= {K.DEFAULT_CAPACITY}"""
+
+
+cte("m_two_rules", ["m_fsc"], _reviewed("Single column rule", "prob_benchmark") + " UNION ALL "
+    + _reviewed("This quarter only", "(1 - on_time_rate)"))
+
+
+@register("capacity_gain", with_ctes(f"""
+SELECT model, reviewed, caught, caught / greatest(reviewed, 1) AS precision,
+  caught / greatest((SELECT coalesce(sum(target_delivery_failure_next_q), 0) FROM m_fsc), 1) AS recall,
+  {K.DEFAULT_CAPACITY} AS capacity, caught - base AS extra_caught, abs(caught - base) * {K.DEFAULT_COST_MISS!r} AS extra_worth
+FROM (SELECT *, (SELECT caught FROM m_two_rules WHERE model = 'Single column rule') AS base FROM m_two_rules) t""",
+                                     "m_two_rules", "m_fsc"))
+def capacity_gain(spark, sf):
+    """The catches of another score (this quarter's late rate) beyond the one-column rule, and their worth."""
+    scored = fscored(spark, sf).withColumn("this_quarter", 1 - F.col("on_time_rate"))
+    triage = E.capacity_triage(scored, {"Single column rule": PROB, "This quarter only": "this_quarter"})
+    return E.capacity_gain(triage, "Single column rule")
+
+
 @register("watchlist", with_ctes("""
 SELECT supplier_id, supplier_name, supplier_tier, primary_category, fiscal_quarter,
   prob_benchmark AS failure_probability,
