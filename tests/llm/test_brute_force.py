@@ -4,7 +4,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vendorlens.llm import chat, decontam, fingerprints, jaccard, langid, linear, quality, repeats, runindex, shingles, toxicity
 
@@ -172,6 +174,23 @@ def test_language_held_out(spark):
     assert all(r.lang_pred == r.doc.lang for r in out)
 
 
+def test_language_models_keep_every_gram(spark):
+    rnd = random.Random(3)
+    # a large language whose grams are all more frequent than those of a small one
+    rows = [(i, " ".join(rnd.choices(["ab", "ba", "abba", "baab"], k=60)), "big") for i in range(20)]
+    rows += [(20 + i, "".join(rnd.choices("缀缁缂缃缄缅", k=30)), "small") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(spark, df, max_grams=40)
+    assert model.languages == ["big", "small"] and len(model.held) > 3
+    held = langid.count_grams(df).collect()
+    whole = langid.Model(["big", "small"], np.array([("big", "small").index(r.lang) for r in held]),
+                         np.array([r.gram for r in held]).view(np.uint64), np.array([r.n for r in held]))
+    asked = np.unique(np.concatenate([g for _, g, _, _ in langid.grams(pa.array([t for _, t, _ in rows] + ["xyz ab缀 缁a"]))]))
+    assert np.allclose(model.score(asked), whole.score(asked), atol=1e-4)
+    out = langid.identify(spark, df, F.lit(True), ["doc_id", "lang"], max_grams=40).collect()
+    assert all(r.lang_pred == r.doc.lang for r in out)
+
+
 def test_identity_swaps_lose_their_weight(spark):
     rnd = random.Random(4)
     rows, labels = [], []
