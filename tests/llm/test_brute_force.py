@@ -124,6 +124,22 @@ def test_fingerprints_follow_the_text(spark):
         assert got[i].edited_sha256 == hashlib.sha256((t[:len(t) - k] + s[:k]).encode()).hexdigest()
 
 
+def test_likeness_follows_the_whole_text(spark):
+    rnd = random.Random(8)
+
+    def prose(n, letters="abcdefghijklmnopqrstuvwxyz"):
+        return " ".join("".join(rnd.choices(letters, k=rnd.randint(2, 9))) for _ in range(n))
+
+    one, far, few = prose(600), prose(300, "缀缁缂猫狗дом"), "".join(rnd.choices("ACGT", k=4000))
+    pairs = [(0, one, "x" + one), (1, one[:256] + prose(600), one[:256] + prose(600)), (2, one, one[:1500] + "!" + one[1500:]),
+             (3, far, "x" + far), (7, few, "A" + few), (4, "7" * 5000, "7" * 5000), (5, "", ""), (6, one, "\n".join([one[:900], one[900:]]))]
+    df = spark.createDataFrame(pairs, "key long, x string, y string").select(
+        "key", fingerprints.digests(F.col("x")).alias("a"), fingerprints.digests(F.col("y")).alias("b"))
+    sizes = {r.key: len(r.a) for r in df.collect()}
+    near = {r.key: r.near for r in fingerprints.differences(df, lists=False).select("key", fingerprints.likeness().alias("near")).collect()}
+    assert sizes[0] > 20 and min(near[0], near[2], near[3], near[6], near[7]) > 0.8 and near[1] < 0.3 and near[4] == near[5] == 1
+
+
 def test_chat_layouts_round_trip():
     by, known = chat.registry()
     cases = {

@@ -1,7 +1,10 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame operations.
 
-A text's parts are its distinct lines, and its first 256 characters in pieces of 16, so that short texts
-have several parts too. Each part's 64-bit digest falls into one cell of each of three sub-tables; a cell
+A text's parts are the distinct pieces that its line ends and its own content cut: a piece ends after two
+bytes of given classes (about every 75 bytes of prose, every 32 of random bytes), wherever it stands, so an
+edit changes the pieces that it touches and no others. A stretch without such an end, as texts of few different
+characters have, is cut where two bytes recur three bytes later, and by length (``LONGEST`` bytes) only if
+that does not occur either. Each part's 64-bit digest falls into one cell of each of three sub-tables; a cell
 holds a count, the xor of the digests and the xor of their checks. Sketches of two texts subtract cell by
 cell; a cell left with one digest gives it away, and taking it out of its other cells frees more (peeling).
 If anything remains, the pair is retried with sketches four times larger; pairs that still fail after
@@ -31,15 +34,25 @@ TABLES = 3
 CELLS = 24
 GROWTH = 4
 ROUNDS = 4
-HEAD, PIECE = 256, 16
+LONGEST = 512
+
+
+def _class(*rests: int) -> str:
+    """The bytes with these rests modulo 8, as a class of characters of the first 256."""
+    return "[" + "".join(f"\\x{c:02X}" for c in range(256) if c % 8 in rests and c != 10) + "]"
+
+
+_ANY = rf"[^\x0A]{{1,{LONGEST}}}"
+_BYTE = r"[^\x0A]"
+_RECUR = rf"{_BYTE}{{32,{LONGEST - 5}}}?({_BYTE})({_BYTE}){_BYTE}\1\2"
+PIECES = rf"{_ANY}?(?<={_class(6)}{_class(1, 2)})|{_RECUR}|{_ANY}"
 
 
 def digests(text):
     """The distinct 64-bit digests of a text's parts."""
-    lines = F.filter(F.split(text, r"\n+", -1), lambda x: x != "")
-    head = F.regexp_extract_all(F.substring(text, 1, HEAD), F.lit(rf"(?s).{{1,{PIECE}}}"), 0)
-    return F.array_distinct(F.concat(F.transform(lines, lambda x: F.xxhash64(x, F.lit(0))),
-                                     F.transform(head, lambda x: F.xxhash64(x, F.lit(1)))))
+    # one character per byte, so that the classes serve every script
+    data = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    return F.array_distinct(F.transform(F.regexp_extract_all(data, F.lit(PIECES), 0), lambda x: F.xxhash64(x, F.lit(0))))
 
 
 def check(digest):
@@ -105,9 +118,10 @@ def _attempt(pairs: DataFrame) -> DataFrame:
         F.coalesce("only_a", none).alias("only_a"), F.coalesce("only_b", none).alias("only_b"))
 
 
-def differences(pairs: DataFrame, attempts: int = 6) -> DataFrame:
+def differences(pairs: DataFrame, attempts: int = 6, lists: bool = True) -> DataFrame:
     """Per pair (key, a, b): ``key``, ``n_a``, ``n_b``, and the digests that only one side has, ``only_a``
-    and ``only_b``, recovered from subtracted sketches."""
+    and ``only_b``, recovered from subtracted sketches; without ``lists`` how many they are."""
+    only = ["only_a", "only_b"] if lists else [F.size(c).cast("long").alias(c) for c in ("only_a", "only_b")]
     sizes = [F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b")]
     half = (F.size("a") + F.size("b")) / 2
     grown = F.pow(F.lit(float(GROWTH)), F.greatest(F.lit(0.0), F.ceil(F.log(float(GROWTH), F.greatest(half / CELLS, F.lit(1.0))))))
@@ -116,19 +130,20 @@ def differences(pairs: DataFrame, attempts: int = 6) -> DataFrame:
     for _ in range(attempts):
         over = F.col("left") == 0
         keep = F.when(~over, F.col("a")).alias("a"), F.when(~over, F.col("b")).alias("b")
-        result = stored(_attempt(todo).select("key", "m", "left", *sizes, *keep, "only_a", "only_b"))
+        result = stored(_attempt(todo).select("key", "m", "left", *sizes, *keep, *only))
         done.append(result.where(over).select("key", "n_a", "n_b", "only_a", "only_b"))
         todo = result.where(~over).select("key", "a", "b", (F.col("m") * GROWTH).alias("m"))
         if todo.isEmpty():
             break
     else:
-        done.append(todo.select("key", *sizes, F.array_except("a", "b").alias("only_a"), F.array_except("b", "a").alias("only_b")))
+        rest = todo.select("key", *sizes, F.array_except("a", "b").alias("only_a"), F.array_except("b", "a").alias("only_b"))
+        done.append(rest.select("key", "n_a", "n_b", *only))
     return reduce(DataFrame.union, done)
 
 
 def likeness():
-    """Jaccard similarity from set sizes and the recovered differences."""
-    total, differ = F.col("n_a") + F.col("n_b"), F.size("only_a") + F.size("only_b")
+    """Jaccard similarity from set sizes and the numbers of recovered differences."""
+    total, differ = F.col("n_a") + F.col("n_b"), F.col("only_a") + F.col("only_b")
     return F.when(total == 0, 1.0).otherwise((total - differ) / (total + differ))
 
 

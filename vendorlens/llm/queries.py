@@ -72,7 +72,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness."""
     rows = stored(fingerprints.edited_pairs(table(spark, sf_dir, "documents", "doc_id", "text")))
     pairs = rows.select("key", "a", F.inline(F.array(*[F.struct(F.lit(w).alias("with"), F.col(c).alias("b")) for w, c in (("edited", "e"), ("next", "s"))])))
-    found = fingerprints.differences(pairs.select(F.struct("key", "with").alias("key"), "a", "b")).select(
+    found = fingerprints.differences(pairs.select(F.struct("key", "with").alias("key"), "a", "b"), lists=False).select(
         F.col("key.key").alias("key"), F.col("key.with").alias("with"), fingerprints.likeness().alias("near"))
     near = found.groupBy("key").agg(*[F.max(F.when(F.col("with") == w, F.col("near"))).alias(f"near_{w}") for w in ("edited", "next")])
     return rows.select("key", "n_chars", "edited_sha256", fingerprints.fingerprint(F.col("a")).alias("fingerprint"),
