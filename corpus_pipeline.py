@@ -26,9 +26,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which at least one word in 20 lies inside a benchmark window go."""
-    out = decontam.find_windows(spark, docs, table(spark, sf_dir, "benchmark", "item_id", "text"), docs.columns)
-    return out.where(~decontam.is_contaminated(F.col("n_hit"), F.col("n_words"))).select("doc.*")
+    """Documents of which at least one word in 20 lies inside a benchmark window go; the others lose the
+    words inside windows, and their ``n_chars`` follows."""
+    out = decontam.cut_windows(spark, docs, table(spark, sf_dir, "benchmark", "item_id", "text"), docs.columns)
+    out = out.where(~decontam.is_contaminated(F.col("n_hit"), F.col("n_words")))
+    cut = F.col("n_cut") > 0
+    new = {"text": F.when(cut, F.col("cut_text")).otherwise(F.col("doc.text"))}
+    if "n_chars" in docs.columns:
+        length = F.length("cut_text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(cut, length).otherwise(F.col("doc.n_chars"))
+    return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,24 @@ def test_pipeline(spark, odd, empty):
     assert {r.doc_id for r in rows} >= {1, None, 8} and 5 not in {r.doc_id for r in rows}
     assert all("abcdef123456" not in (r.text or "") for r in rows)
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_pipeline_cuts_windows_of_documents_that_stay(spark, tmp_path):
+    item = " ".join(f"item{i}" for i in range(200))
+    words = [f"word{i}é" for i in range(9800)]
+    plain = "Some words, and no more."
+    other = " ".join(f"other{i}" for i in range(13))
+    # without the run between them the two halves are a window themselves
+    nested = " ".join([*words[:4000], *[f"other{i}" for i in range(6)], item[:item.index(" item20")], *[f"other{i}" for i in range(6, 13)], *words[4000:]])
+    docs = [(1, " ".join(words[:5000]) + ". " + item.upper() + " - " + " ".join(words[5000:]), "en", "a"), (2, plain, "en", "a"),
+            (3, item, "en", "a"), (4, None, "en", "a"), (5, nested, "en", "a")]
+    folder = write(spark, tmp_path, docs, [], [(1, item), (2, other)], [], False)
+    from pyspark.sql import functions as F
+    df = spark.read.parquet(f"{folder}/documents.parquet").withColumn("n_chars", F.length("text"))
+    out = corpus_pipeline.drop_contaminated(spark, df, folder)
+    assert out.columns == df.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert sorted(got) == [1, 2, 4, 5] and got[2].text == plain and got[4].text is None
+    assert got[1].text == " ".join(words[:5000]) + ".  - " + " ".join(words[5000:])
+    assert got[5].text.split() == words
+    assert all(r.n_chars == (r.text and len(r.text)) for r in got.values())

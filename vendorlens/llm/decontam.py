@@ -7,6 +7,9 @@ at each word: a match of ``window`` words means that a window of some item ends
 than a window is one window as a whole. Only stretches whose every word pair occurs in the items can
 hold a window, so all other words are passed over with array operations.
 
+``cut_windows`` takes the hit runs out of the texts. Taking one out brings the words on both sides together,
+so a text is searched again until no run beyond the limits is left.
+
 Defined results: a null or empty text has no words and is never contaminated; repeated rows are judged
 each for itself; items without words or without id are ignored; rows that share an item id are one item.
 """
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vendorlens.llm.textarrays import ALNUM_WORD, byte_chunks, mix64, per_text, word_hashes
+from vendorlens.llm.textarrays import ALNUM_WORD, LOWER, byte_chunks, mix64, per_text, span_hashes, word_hashes, words
 
 WINDOW = 13
 SHARD_WORDS = 200_000
@@ -154,6 +157,29 @@ def shards(benchmark: DataFrame, window: int, shard_words: int):
         yield Shard(held, window)
 
 
+def _marked(held, data: np.ndarray, bounds: np.ndarray):
+    """Per text of a piece the number of its first word (and of all), per word its start and end in the piece and
+    whether a window covers it, and the items found by text."""
+    low = LOWER[data]
+    starts, ends, doc = words(low, bounds, ALNUM_WORD)
+    w = span_hashes(low, starts, ends)
+    marks = np.zeros(len(w) + 1, np.int32)
+    found: dict[int, set] = {}
+    for b in held:
+        for lo, hi, owners in b.value.find(w, doc):
+            marks[lo] += 1
+            marks[hi] -= 1
+            found.setdefault(int(doc[lo]), set()).update(owners)
+    return np.searchsorted(doc, np.arange(len(bounds))), starts, ends, np.cumsum(marks[:-1]) > 0, found
+
+
+def _runs(inside: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal runs of covered words."""
+    part = np.r_[False, inside, False]
+    edges = np.flatnonzero(part[1:] != part[:-1])
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
 def find_windows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str],
                  window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Per row of ``docs``: struct ``doc`` with the kept columns, ``n_words``, ``n_hit`` (words inside an
@@ -165,16 +191,7 @@ def find_windows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, kee
         def fn(texts):
             n_words, n_hit, hits, items = [], [], [], []
             for _, data, bounds in byte_chunks(texts):
-                w, doc = word_hashes(data, bounds, ALNUM_WORD)
-                cut = np.searchsorted(doc, np.arange(len(bounds)))
-                marks = np.zeros(len(w) + 1, np.int32)
-                found: dict[int, set] = {}
-                for b in held:
-                    for lo, hi, owners in b.value.find(w, doc):
-                        marks[lo] += 1
-                        marks[hi] -= 1
-                        found.setdefault(int(doc[lo]), set()).update(owners)
-                inside = np.cumsum(marks[:-1]) > 0
+                cut, _, _, inside, found = _marked(held, data, bounds)
                 n_words += np.diff(cut).tolist()
                 for d, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist())):
                     if d not in found:
@@ -182,10 +199,8 @@ def find_windows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, kee
                         hits.append([])
                         items.append([])
                         continue
-                    part = np.r_[False, inside[a:b], False]
-                    edges = np.flatnonzero(part[1:] != part[:-1])
                     n_hit.append(int(inside[a:b].sum()))
-                    hits.append([{"start": int(x), "end": int(y)} for x, y in zip(edges[::2], edges[1::2])])
+                    hits.append([{"start": x, "end": y} for x, y in _runs(inside[a:b])])
                     items.append(sorted(found[d]))
             run = pa.struct([("start", pa.int64()), ("end", pa.int64())])
             return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hits, pa.list_(run)),
@@ -197,6 +212,46 @@ def find_windows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, kee
                                  ("items", T.ArrayType(T.StringType()))], make)
 
 
+def cut_windows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str], max_words: int = 0,
+                max_share: float = 1.0, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Per row of ``docs``: struct ``doc`` with the kept columns, ``n_words`` and ``n_hit`` as in ``find_windows``,
+    ``n_cut`` (words taken out) and ``cut_text`` (null where nothing was cut): the text without the hit runs of
+    more than ``max_words`` words or more than the share ``max_share`` of the text's words."""
+    held = [spark.sparkContext.broadcast(s) for s in shards(benchmark, window, shard_words)]
+
+    def cut_out(text: np.ndarray, n: int) -> tuple[int, bytes]:
+        """How many words went, and what is left of a text of ``n`` words."""
+        gone = 0
+        while True:
+            _, starts, ends, inside, _ = _marked(held, text, np.array([0, len(text)]))
+            over = [(a, b) for a, b in _runs(inside) if b - a > max_words or b - a > max_share * n]
+            if not over:
+                return gone, text.tobytes()
+            left = np.ones(len(text), bool)
+            for a, b in over:
+                left[starts[a]:ends[b - 1]] = False
+                gone += b - a
+            text = text[left]
+
+    def make():
+        def fn(texts):
+            n_words, n_hit, n_cut, out = [], [], [], []
+            for _, data, bounds in byte_chunks(texts):
+                cut, _, _, inside, found = _marked(held, data, bounds)
+                n_words += np.diff(cut).tolist()
+                for d, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist())):
+                    gone, text = cut_out(data[bounds[d]:bounds[d + 1]], b - a) if d in found else (0, b"")
+                    n_hit.append(int(inside[a:b].sum()) if d in found else 0)
+                    n_cut.append(gone)
+                    # word bytes include all beyond ASCII, so no character is cut in two
+                    out.append(text.decode("utf-8", "replace") if gone else None)
+            return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_cut, pa.int64()), pa.array(out, pa.string())]
+        return fn
+
+    return per_text(docs, keep, [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_cut", T.LongType()),
+                                 ("cut_text", T.StringType())], make)
+
+
 def is_contaminated(n_hit, n_words, per: int = 20):
     """The coverage limit: at least one word in ``per`` is hit."""
     return (n_hit > 0) & (n_hit * per >= n_words)
