@@ -102,3 +102,17 @@ def test_pipeline_cuts_windows_of_documents_that_stay(spark, tmp_path):
     assert got[1].text == " ".join(words[:5000]) + ".  - " + " ".join(words[5000:])
     assert got[5].text.split() == words
     assert all(r.n_chars == (r.text and len(r.text)) for r in got.values())
+
+
+def test_parts_after_long_secrets_are_linked(spark):
+    from vendorlens.llm import secrets
+    key = "0123456789abcdef" * 25
+    texts = [f"token={key} user=bob", f"{key.upper()} {'-' * 238} login=ann", f"{key.upper()} {'-' * 239} login=ann",
+             f"token=abcdef {'-' * 300} user=far", f"login=eve{'-' * 239} ssh://host/{'x' * 300} {key}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = [k[0] for k in secrets.KINDS]
+    got = {r.key.id: {kinds[s.kind] for s in r.spans} for r in secrets.linked(df).collect()}
+    assert got[0] == {"assign", "hex", "login", "key"} and got[1] == {"login", "key"} and got[2] == set()
+    assert got[3] == {"assign"} and got[4] >= {"hex", "host"}
+    masked = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert "bob" not in masked[0] and "ann" not in masked[1] and "user=far" in masked[3]

@@ -1,10 +1,11 @@
 """Secret scan with multipart credential linking, in DataFrame operations only.
 
 Base kinds are reported wherever they match. Weak kinds (login names, long opaque keys, endpoints) are
-parts of a credential and count only together: an interval join over start positions, expressed as a
-range window within each document, looks for parts of the complementary roles at most ``scope`` code
-points away. A login needs a secret near it, an opaque key an identifier, an endpoint both. The window
-emits one row per part, never pairs.
+parts of a credential and count only together: an interval join, expressed as windows within each
+document, looks for parts of the complementary roles at most ``scope`` code points away, measured from the
+end of the one to the start of the other (overlapping parts are 0 apart). Of the parts that start earlier
+the greatest end decides, of those that start later the least start. A login needs a secret near it, an
+opaque key an identifier, an endpoint both. The windows emit one row per part, never pairs.
 
 Positions come from the pieces that ``split`` leaves between the matches: a running sum of their lengths
 per document. Only (document, kind, lengths) rows are shuffled, never texts.
@@ -74,9 +75,14 @@ def _in(column, names) -> F.Column:
 
 def linked(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document and text: ``key`` and ``spans``, the sorted array of (start, kind number, end)."""
-    near = Window.partitionBy("key").orderBy("start").rangeBetween(-scope, scope)
-    has = {r: F.max(_in(F.col("kind"), [r])).over(near) for r in ("id", "secret")}
-    rows = parts(docs, id_col, text_col).withColumns({f"near_{r}": c for r, c in has.items()})
+    earlier = Window.partitionBy("key").orderBy("start")
+    later = Window.partitionBy("key").orderBy(F.desc("start"))
+    rows = parts(docs, id_col, text_col)
+    roles = {r: _in(F.col("kind"), [r]) for r in ("id", "secret")}
+    rows = rows.withColumns({f"end_{r}": F.max(F.when(c, F.col("end"))).over(earlier) for r, c in roles.items()})
+    rows = rows.withColumns({f"start_{r}": F.min(F.when(c, F.col("start"))).over(later) for r, c in roles.items()})
+    rows = rows.withColumns({f"near_{r}": F.coalesce(F.col(f"end_{r}") >= F.col("start") - scope, F.lit(False))
+                             | F.coalesce(F.col(f"start_{r}") <= F.col("end") + scope, F.lit(False)) for r in roles})
     need = (F.when(_in(F.col("kind"), ["login"]), F.col("near_secret"))
             .when(_in(F.col("kind"), ["key"]), F.col("near_id"))
             .when(_in(F.col("kind"), ["host"]), F.col("near_id") & F.col("near_secret"))
