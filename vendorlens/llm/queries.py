@@ -1,4 +1,4 @@
-"""Thin queries op1 to op10 over the given tables, each through its operator in this subpackage."""
+"""Thin queries op1 to op13 over the given tables, each through its operator in this subpackage."""
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlens.llm import chat, decontam, fingerprints, jaccard, langid, mixing, quality, repeats, secrets, toxicity
+from vendorlens.llm import chat, decontam, fingerprints, jaccard, langid, merkle, mixing, quality, repeats, secrets, toxicity
 from vendorlens.llm.oracles import ORACLES  # noqa: F401
 from vendorlens.llm.tables import stored
 from vendorlens.llm.textarrays import fold_of
@@ -113,6 +113,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "doc.formatted_chars")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root of all documents by language, each document's proof, and whether it still folds to the root after the
+    tampering: where 7 divides crc32 of the decimal id, ``n_chars`` grows by 1 (nulls stay, and so do null ids)."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    others = [F.col(c) for c in ("doc_id", "source", "lang")]
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    claim = F.when(tampered, merkle.digest(*others, F.col("n_chars").cast("decimal(20,0)") + 1, F.col("text")))
+    made = merkle.build(docs, F.col("lang"), F.col("doc_id"), merkle.digest(*others, F.col("n_chars"), F.col("text")), ["doc_id"], claim)
+    text = {c: F.lower(F.hex(c)) for c in ("leaf", "subroot")}
+    root = F.lit(made.root.hex() if made.root else None).cast("string")
+    return merkle.prove(made).select("doc.doc_id", *[text[c].alias(c) for c in text], root.alias("root"), F.lower(F.hex("proof")).alias("proof_sha256"),
+                                     F.lower(F.hex("folded")).alias("folded_root"), (F.lower(F.hex("folded")) == root).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_repeats, op4_jaccard_join, op5_quality, op6_toxicity, op7_fingerprints, op8_mix_sources,
-                            op9_decontaminate, op10_chat_format)}
+                            op9_decontaminate, op10_chat_format, op11_merkle_manifest)}
