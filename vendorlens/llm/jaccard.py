@@ -171,11 +171,9 @@ def _members(signed: DataFrame, classes: DataFrame) -> DataFrame:
     return members
 
 
-def _links(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int, num: int, den: int):
-    """The links (a, b) between classes that determine the groups, and the stored tables that they read."""
-    regions = stored(_regions(members))
-    known = stored(classes.join(members.select("cls").distinct(), "cls").select("cls", "rep"))
-    sets = stored(_sets(docs, known, k))
+def region_links(regions: DataFrame, sets: DataFrame, num: int, den: int):
+    """The links (a, b) that determine the groups, between the sets (cls, set) that meet in a region (pivot, cls),
+    and the stored tables that they read."""
     rows = regions.join(sets.select("cls", F.col("set").alias("x")), "cls").join(
         sets.select(F.col("cls").alias("pivot"), F.col("set").alias("p")), "pivot").select("pivot", "cls", "x", "p")
     measured = stored(_against_pivot(rows, num, den))
@@ -193,7 +191,16 @@ def _links(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int, num:
                    & (F.abs(F.col("x.nd") - F.col("y.nd")) * (den + num) <= (large + little) * (den - num))
                    & ((F.col("x.nd") + F.col("y.nd") - left * 2) * (den + num) <= (large + little) * (den - num)))
     pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    return near.unionByName(_verified(pairs, sets, num, den)), (regions, known, sets, measured, probes)
+    return near.unionByName(_verified(pairs, sets, num, den)), (measured, probes)
+
+
+def _links(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int, num: int, den: int):
+    """The links (a, b) between classes that determine the groups, and the stored tables that they read."""
+    regions = stored(_regions(members))
+    known = stored(classes.join(members.select("cls").distinct(), "cls").select("cls", "rep"))
+    sets = stored(_sets(docs, known, k))
+    links, read = region_links(regions, sets, num, den)
+    return links, (regions, known, sets, *read)
 
 
 def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

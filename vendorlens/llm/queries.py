@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlens.llm import chat, decontam, fingerprints, jaccard, langid, merkle, mixing, quality, repeats, secrets, toxicity
+from vendorlens.llm import chat, decontam, fingerprints, jaccard, langid, merkle, minhash, mixing, negatives, quality, repeats, secrets, toxicity
 from vendorlens.llm.oracles import ORACLES  # noqa: F401
 from vendorlens.llm.tables import stored
 from vendorlens.llm.textarrays import fold_of
@@ -127,6 +127,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.lower(F.hex("folded")).alias("folded_root"), (F.lower(F.hex("folded")) == root).alias("verified"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every row of ``embeddings`` whose id is divisible by 100, against all rows."""
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding")
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(negatives.quantised(rows, "vec_id", moved, "embedding"), F.col("id") % 100 == 0)
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 2-word shingle sets link at Jaccard similarity >= 0.8; one of each is kept."""
+    return minhash.near_copies(table(spark, sf_dir, "documents", "doc_id", "text"), 2, 80, 100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_repeats, op4_jaccard_join, op5_quality, op6_toxicity, op7_fingerprints, op8_mix_sources,
-                            op9_decontaminate, op10_chat_format, op11_merkle_manifest)}
+                            op9_decontaminate, op10_chat_format, op11_merkle_manifest, op12_hard_negatives, op13_minhash)}
