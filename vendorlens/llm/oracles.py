@@ -116,25 +116,84 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(length(er) + length(et) + length('<|im_start|><|im_end|>') + 2)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
 
-_OP4 = rf"""
+def _jaccard(k: int, percent: int, more: str = "") -> str:
+    """Groups of documents that links of k-word shingle sets form, by comparing all pairs that share a shingle."""
+    return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{WORDS}') AS w FROM documents),
 sh AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') AS t
-  FROM w, LATERAL unnest(generate_series(1, len(w) - least(len(w), 3) + 1)) AS u(i) WHERE len(w) > 0),
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), {k}) - 1], ' ') AS t
+  FROM w, LATERAL unnest(generate_series(1, len(w) - least(len(w), {k}) + 1)) AS u(i) WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (
-  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= {percent} * (x.n + y.n - i)),
 reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM documents
   UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
-SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id{more}
 FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
 
+
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _row(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(v) for v in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+_FOLDED = "sha256(CASE WHEN s.d IS NULL THEN f.h WHEN s.i < f.i THEN s.d || f.h ELSE f.h || s.d END), f.p || coalesce(s.d, '')"
+_OP11 = f"""
+WITH RECURSIVE leaf AS (
+  SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+    {_row("n_chars")} AS d, CASE WHEN {_CRC32} % 7 = 0 THEN {_row("(n_chars + 1)")} ELSE {_row("n_chars")} END AS claim FROM documents),
+nodes(lang, level, i, d, n) AS (
+  SELECT lang, 0, i, d, n FROM leaf
+  UNION ALL SELECT lang, level + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, level, i // 2, n),
+subs AS (SELECT lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, i, d, n) AS (
+  SELECT 0, i, d, n FROM subs
+  UNION ALL SELECT level + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, i // 2, n),
+lower(doc_id, lang, leaf, level, i, n, h, p) AS (
+  SELECT doc_id, lang, d, 0, i, n, claim, '' FROM leaf
+  UNION ALL SELECT f.doc_id, f.lang, f.leaf, f.level + 1, f.i // 2, (f.n + 1) // 2, {_FOLDED}
+  FROM lower f LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM f.lang AND s.level = f.level AND s.i = xor(f.i, 1) WHERE f.n > 1),
+upper(doc_id, leaf, subroot, level, i, n, h, p) AS (
+  SELECT doc_id, leaf, subs.d, 0, subs.i, subs.n, h, p FROM lower JOIN subs ON subs.lang IS NOT DISTINCT FROM lower.lang WHERE lower.n = 1
+  UNION ALL SELECT f.doc_id, f.leaf, f.subroot, f.level + 1, f.i // 2, (f.n + 1) // 2, {_FOLDED}
+  FROM upper f LEFT JOIN tops s ON s.level = f.level AND s.i = xor(f.i, 1) WHERE f.n > 1)
+SELECT doc_id, leaf, subroot, tops.d AS root, sha256(p) AS proof_sha256, h AS folded_root, h = tops.d AS verified
+FROM upper JOIN tops ON upper.n = 1 AND tops.n = 1"""
+
+_OP12 = """
+WITH v AS (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+pos AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5"""
+
 ORACLES: dict[str, str] = {
     "op1_secret_scan": _OP1,
-    "op4_jaccard_join": _OP4,
+    "op4_jaccard_join": _jaccard(3, 90),
     "op8_mix_sources": _OP8,
     "op9_decontaminate": _OP9,
     "op10_chat_format": _OP10,
+    "op11_merkle_manifest": _OP11,
+    "op12_hard_negatives": _OP12,
+    "op13_minhash": _jaccard(2, 80, ", min(other) = doc_id AS kept"),
 }
