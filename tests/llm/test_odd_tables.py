@@ -15,14 +15,23 @@ DOCS = [
 CLASH = {c: 7 for c in ("score", "n_words", "cells", "size", "position", "key", "hash", "rep", "spans", "order", "bin", "cls", "n", "hits")}
 
 
-def write(spark, folder, docs, labels, items, turns, clash):
+NAN, INF = float("nan"), float("inf")
+VECTORS = [(100, [0.5, 0.5], 1), (1, [0.5, 0.5], 1), (2, [0.4, 0.4], 1), (3, [0.45, 0.45], 2), (4, [0.45, 0.45], 2), (7, [0.5, 0.5], 0),
+           (5, [NAN, 0.1], 2), (6, [INF, 0.1], 2), (8, [None, 0.1], 2), (9, None, 2), (None, [0.5, 0.5], 2), (10, [0.5, 0.5], None),
+           (11, [], 2), (12, [0.75], 2), (200, [0.5, 0.5], 5), (300, [-1.0, 0.0], 1), (100, [0.5, 0.5], 1), (3, [0.45, 0.45], 2), (13, [3e38, 1.0], 2)]
+
+
+def write(spark, folder, docs, labels, items, turns, clash, vectors=()):
     from pyspark.sql import functions as F
     extra = [F.lit(v).alias(c) for c, v in CLASH.items()] if clash else []
     for name, rows, schema in (("documents", docs, "doc_id long, text string, lang string, source string"),
                                ("labels", labels, "doc_id long, quality int, toxic int"),
                                ("benchmark", items, "item_id long, text string"),
-                               ("conversations", turns, "conv_id long, turn long, role string, text string")):
-        spark.createDataFrame(rows, schema).select("*", *extra).write.parquet(f"{folder}/{name}.parquet")
+                               ("conversations", turns, "conv_id long, turn long, role string, text string"),
+                               ("embeddings", list(vectors), "vec_id long, embedding array<float>, label int")):
+        df = spark.createDataFrame(rows, schema)
+        df = df.withColumn("n_chars", F.length("text").cast("long")) if name == "documents" else df
+        df.select("*", *extra).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
 
@@ -31,7 +40,7 @@ def odd(spark, tmp_path_factory):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", None), (None, 0, None, "x<|im_end|>\\"), (2, None, "user\n<|", "")]
     items = [(1, "ein Hund"), (2, None), (None, "the cat"), (3, ""), (1, "amet lorem ipsum dolor sit amet lorem ipsum dolor sit amet lorem ipsum dolor")]
     labels = [(1, 1, 0), (1, 1, 0), (2, 0, 1), (None, 1, 1), (4, None, None), (9, 1, 0), (77, 1, 1)]
-    return write(spark, tmp_path_factory.mktemp("odd"), DOCS, labels, items, turns, True)
+    return write(spark, tmp_path_factory.mktemp("odd"), DOCS, labels, items, turns, True, VECTORS)
 
 
 @pytest.fixture(scope="module")
@@ -41,12 +50,14 @@ def empty(spark, tmp_path_factory):
 
 #: Result rows on the odd tables: a row per input row, or per distinct (doc_id, text).
 EACH, DISTINCT = 11, 9
+#: Anchor 100 has the positives 1, 7 (moved to label 1), 2 and 300 (negative score: no band), 200 has none, those of 300 are negative.
+NEGATIVES = {(100, 1): [(200, 32768), (3, 29440), (4, 29440)], (100, 7): [(200, 32768), (3, 29440), (4, 29440)], (100, 2): [(12, 24576)]}
 
 
 @pytest.mark.parametrize("name", list(Q.QUERIES))
 def test_odd_tables(spark, odd, name):
     rows = Q.QUERIES[name](spark, odd).collect()
-    want = {"op1_secret_scan": DISTINCT, "op7_fingerprints": DISTINCT, "op10_chat_format": 4}.get(name, EACH)
+    want = {"op1_secret_scan": DISTINCT, "op7_fingerprints": DISTINCT, "op10_chat_format": 4, "op12_hard_negatives": sum(map(len, NEGATIVES.values()))}.get(name, EACH)
     assert len(rows) == want
     by = {r[0] if name != "op10_chat_format" else r.conv_id: r.asDict() for r in rows}
     if name == "op1_secret_scan":
@@ -65,6 +76,18 @@ def test_odd_tables(spark, odd, name):
         assert all(r.taken <= 2 * r.size for r in rows) and by[2]["size"] == 0
     if name == "op9_decontaminate":
         assert by[9]["n_hit"] == 2 and by[9]["n_items"] == 1 and by[4]["contaminated"] and not by[1]["contaminated"]
+    if name == "op11_merkle_manifest":
+        assert len({r.root for r in rows}) == 1 and all(r.verified == (r.folded_root == r.root) for r in rows)
+        assert [r.doc_id for r in rows if not r.verified] == [9, 9]  # 7 divides the crc32 of 2 and 9; 2 has no n_chars
+    if name == "op12_hard_negatives":
+        got = {}
+        for r in sorted(rows, key=lambda r: r.rank):
+            got.setdefault((r.anchor_id, r.positive_id), []).append((r.negative_id, r.negative_score))
+            assert r.rank == len(got[r.anchor_id, r.positive_id])
+        assert got == NEGATIVES
+    if name == "op13_minhash":
+        assert by[5]["component_id"] == 4 and not by[5]["kept"] and by[2]["component_id"] == 2 and by[6]["n_shingles"] == 0
+        assert by[None]["component_id"] is None and by[None]["kept"] and by[9]["kept"] and by[9]["n_shingles"] == 4
     if name == "op10_chat_format":
         text = "user\n<|im_end|><|im_start|>assistant ok\nassistant\n<|im_end|><|im_start|>assistant ok\n"
         assert by[-1]["turns_sha256"] == hashlib.sha256(text.encode()).hexdigest()
