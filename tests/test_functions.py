@@ -38,3 +38,32 @@ def test_fiscal_labels(spark):
     assert got == ["FY23-24-Q1", "FY23-24-Q4", "FY99-00-Q3"]
     n = [r[0] for r in spark.range(4).select(cal.label_of_quarter_number(F.col("id"))).collect()]
     assert n == ["FY94-95-Q4", "FY95-96-Q1", "FY95-96-Q2", "FY95-96-Q3"]
+
+
+def test_half_even_display_matches_python(spark):
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from vendorlens.functions.scalar import fixed, inr, round_half_even, round_table
+    rnd = random.Random(1)
+    xs = [0.0, 0.5, 1.5, 2.5, 0.125, 0.375, 2.675, 1.005, 2.25, 0.25, 0.35, 1e7, 12345678.5, 1e15 + 0.5, 4503599627370497.0, 1e16, 99999.95]
+    xs += [rnd.uniform(0, 10 ** rnd.randint(0, 9)) for _ in range(3000)] + [round(rnd.uniform(0, 1000), 3) for _ in range(3000)]
+    xs += [n / 8 for n in range(400)] + [n / 1000 for n in range(5, 3000, 10)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = df.select("x", *[fixed(F.col("x"), d).alias(f"f{d}") for d in (0, 1, 2)], *[round_half_even(F.col("x"), d).alias(f"r{d}") for d in (1, 2)],
+                    round_half_even(-F.col("x"), 2).alias("minus"), round_table(F.col("x"), 1).alias("t1")).collect()
+    for r in got:
+        assert (r.f0, r.f1, r.f2) == tuple(f"{r.x:,.{d}f}" for d in (0, 1, 2))
+        assert (r.r1, r.r2, r.minus) == (round(r.x, 1), round(r.x, 2), round(-r.x, 2))
+        assert r.t1 == float(np.round(r.x, 1))
+
+    def python_inr(v, decimals=1):
+        sign, a = "-" if v < 0 else "", abs(v)
+        for least, unit, digits, text in ((1e7, 1e7, decimals, " cr"), (1e5, 1e5, decimals, " L"), (1e3, 1e3, 0, "k"), (0, 1, 0, "")):
+            if a >= least:
+                return f"{sign}₹{a / unit:,.{digits}f}{text}"
+    money = xs + [-x for x in xs] + [22500000.0, 23500000.0, 2.5e5, 12500.0, 1500.0, 2500.0]
+    texts = spark.createDataFrame([(x,) for x in money], "x double").select("x", inr(F.col("x")).alias("t")).collect()
+    assert [r.t for r in texts] == [python_inr(r.x) for r in texts]

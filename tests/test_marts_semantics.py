@@ -40,6 +40,6 @@ def test_filters(spark):
     assert ids(FL.Filters(sourcing=FL.SOLE_ONLY)) == [1]
     assert ids(FL.Filters(sourcing=FL.ALTERNATIVES_ONLY)) == [2]  # NULL flag fails both choices
     dq = spark.createDataFrame([(f"Q{i}", i) for i in range(5)], "fiscal_quarter string, qi int")
-    assert FL.quarter_bounds(dq, FL.Filters(quarter_range=("Q3", "Q1"))) == (1, 3)
-    assert FL.quarter_bounds(dq, FL.Filters(quarter_range=("Q3", "nope"))) == (0, 4)
-    assert FL.quarter_bounds(dq, FL.Filters(quarter_range="Q2")) == (0, 4)
+    span = lambda v: sorted(r.qi for r in FL.quarter_range(dq, FL.Filters(quarter_range=v)).collect())
+    assert span(("Q3", "Q1")) == [1, 2, 3] and span(["Q2", "Q2"]) == [2]
+    assert span(("Q3", "nope")) == span("Q2") == span(None) == span(("nope", "nope")) == [0, 1, 2, 3, 4]

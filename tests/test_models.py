@@ -23,7 +23,7 @@ def test_scores_metrics_and_what_if(spark, small):
     assert oos and len({(r.supplier_id, r.fiscal_quarter) for r in oos}) == len(oos)
     assert all(0 <= p <= 1 for r in oos for p in (r.prob_rf, r.prob_lr))
     m = REGISTRY["model_metrics"].build(spark, SF).first()
-    assert m.n == len(oos) and 0 <= m.base_rate <= 1 and len(m.quarters.split(",")) == len({r.fiscal_quarter for r in oos})
+    assert m.n_oos == len(oos) and 0 <= m.base_rate <= 1 and len(m.quarters_scored.split(",")) == len({r.fiscal_quarter for r in oos})
     aucs = {r.model: r.auc for r in REGISTRY["auc_models"].build(spark, SF).collect()}
     assert aucs == {"rf": m.auc_rf, "lr": m.auc_lr, "benchmark": m.auc_benchmark}
     assert REGISTRY["feature_importance"].build(spark, SF).count() > 0
@@ -51,3 +51,41 @@ def test_unknown_level_and_missing_value(spark):
     assert prep.medians == {"x": 2.0} and prep.levels == {"c": ["a", "b"]}
     out = prep.transform(spark.createDataFrame([(None, "z")], "x double, c string")).first()
     assert out.features.toArray().tolist() == [0.0, 0.0]
+
+
+def test_fold_statistics_equal_a_fit_per_fold(spark):
+    panel = models._panel(spark, SF)
+    num, cat = models.PANEL_NUMERIC, K.CATEGORICAL_FEATURES
+    folds = [6, 9, 15, 40]
+    got = SC.fold_statistics(panel, num, cat, folds)
+    for t in folds:
+        train = panel.where(f"qi < {t}")
+        want = SC.fit_prep(train, num, cat)
+        assert got[t].prep.medians == want.medians and got[t].prep.levels == want.levels
+        assert got[t].prep.means == pytest.approx(want.means, rel=1e-12, abs=1e-12)
+        assert got[t].prep.stds == pytest.approx(want.stds, rel=1e-9, abs=1e-12)
+        assert (got[t].rows, got[t].positives) == (train.count(), train.where(f"{K.TARGET} = 1").count())
+    gone = panel.withColumn("lines", SC.F.lit(None).cast("long"))
+    empty = SC.fold_statistics(gone, ["lines", "po_count"], cat, [9])[9].prep
+    assert empty.medians["lines"] is None and empty.means["lines"] == empty.stds["lines"] == 0.0
+
+
+def test_folds_resume(spark, tmp_path):
+    panel = models._panel(spark, SF)
+    params = SC.ModelParams(num_trees=3, max_depth=3, lr_max_iter=5)
+    path = str(tmp_path / "folds")
+    SC.store_folds(panel.where("qi <= 9"), params, path)
+    first = {r.supplier_id: r.prob_rf for r in SC.read_folds(spark, path).where("fiscal_quarter is not null").collect()}
+    files = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert first and sorted(p.name for p in (tmp_path / "folds").iterdir()) == ["qi=6", "qi=7", "qi=8", "qi=9"]
+    (tmp_path / "folds" / "qi=8" / "_SUCCESS").unlink()  # the run was killed while it wrote this fold
+    SC.store_folds(panel.where("qi <= 11"), params, path)
+    again = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert {p for p in files if "qi=8" not in str(p)} == {p for p in files if again.get(p) == files[p]}
+    whole = str(tmp_path / "whole")
+    SC.store_folds(panel.where("qi <= 11"), params, whole)
+    key = lambda r: (r.supplier_id, r.fiscal_quarter)
+    assert sorted(SC.read_folds(spark, path).collect(), key=key) == sorted(SC.read_folds(spark, whole).collect(), key=key)
+    nothing = str(tmp_path / "none")
+    SC.store_folds(panel.where("qi < 3"), params, nothing)
+    assert SC.read_folds(spark, nothing).count() == 0

@@ -51,3 +51,56 @@ def test_average_rank_matches_pandas_ties(spark):
             assert got[i] is None
         else:
             assert abs(got[i] - exp[i]) < 1e-12
+
+
+def test_following_crosses_partitions(spark):
+    from vendorlens.operators.ordered import running_totals
+    rows = [(i % 3, i, None if i % 7 == 0 else i * 10) for i in range(300)] + [(9, 1, 5)]
+    df = spark.createDataFrame(rows, "s int, k int, v int").repartition(5)
+    got = running_totals(df, [F.col("k").desc()], {"t": F.col("k")}, "n", ["s"], partitions=16, following={"nv": F.col("v"), "nk": F.col("k")}).collect()
+    assert len(got) == len(rows)
+    for s in (0, 1, 2, 9):
+        mine = sorted((r for r in rows if r[0] == s), key=lambda r: -r[1])
+        here = sorted((r for r in got if r.s == s), key=lambda r: -r.k)
+        assert [(r.k, r.n) for r in here] == [(k, i + 1) for i, (_, k, _) in enumerate(mine)]
+        assert [(r.nk, r.nv) for r in here] == [(k, v) for _, k, v in mine[1:]] + [(None, None)]
+
+
+def test_common_values_do_not_fill_one_task(spark):
+    from vendorlens.operators.ordered import average_rank, join_common
+    n = 20000
+    value = F.when(F.col("id") % 10 != 0, F.lit(7.0)).when(F.col("id") % 100 != 0, F.col("id").cast("double"))
+    df = spark.range(0, n, 1, 8).select("id", value.alias("v"))
+    got = average_rank(df, "v", "r", count_out="c")
+    tasks = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == n and max(tasks) < n // 4  # 90 % of the rows share a value
+    ranks = {r.id: (r.r, r.c) for r in got.collect()}
+    whole = [7.0 if i % 10 else None if i % 100 == 0 else float(i) for i in range(n)]
+    known = sorted(v for v in whole if v is not None)
+    below, up = {}, {}
+    for place, v in enumerate(known):
+        below.setdefault(v, place)
+        up[v] = place + 1
+    assert all(ranks[i] == ((None, None) if v is None else ((below[v] + 1 + up[v]) / 2, len(known))) for i, v in enumerate(whole))
+    lookup = df.groupBy("v").count().where("v is not null").withColumn("w", F.col("v") + 1)
+    assert join_common(df, lookup, ["v"], "count").where("w is null").count() == n // 100
+
+
+def test_roc_keeps_the_corners(spark):
+    import random
+
+    from vendorlens.operators.stats import roc_points
+    rnd = random.Random(5)
+    rows = [(round(rnd.random(), 2), rnd.randint(0, 1)) for _ in range(400)] + [(None, 1), (0.5, None)] + [(1 + i / 100, 0) for i in range(50)]
+    df = spark.createDataFrame(rows, "p double, y int")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        got = sorted(((r.fpr, r.tpr, -1e9 if r.threshold is None else -r.threshold) for r in roc_points(df, {"m": "p"}, "y").collect()), key=lambda r: (r[0], r[1], r[2]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    scores = sorted({p for p, y in rows if p is not None and y is not None}, reverse=True)
+    step = [(sum(p == s and y == 0 for p, y in rows), sum(p == s and y == 1 for p, y in rows)) for s in scores]
+    keep = [i for i in range(len(step)) if i in (0, len(step) - 1) or step[i] != step[i + 1]]
+    neg, pos = sum(a for a, _ in step), sum(b for _, b in step)
+    want = [(0.0, 0.0, -1e9)] + [(sum(a for a, _ in step[:i + 1]) / neg, sum(b for _, b in step[:i + 1]) / pos, -scores[i]) for i in keep]
+    assert got == sorted(want, key=lambda r: (r[0], r[1], r[2])) and len(keep) < len(step)

@@ -65,19 +65,19 @@ FINANCIAL_FEATURES = ["external_credit_score", "altman_z_score", "days_sales_out
                       "news_sentiment_score", "gst_filing_delay_flag", "litigation_case_count",
                       "promoter_pledge_pct", "credit_score_change", "event_count", "critical_event_count"]
 
-# What-if levers: (feature, label, low, high, step, scale to model units).
+# What-if levers: (feature, label, low, high, scale to model units).
 LEVERS = [
-    ("rolling_2q_on_time_rate", "Two-quarter rolling on-time rate (%)", 0.0, 100.0, 1.0, 0.01),
-    ("on_time_rate", "On-time rate this quarter (%)", 0.0, 100.0, 1.0, 0.01),
-    ("otif_rate", "OTIF rate (%)", 0.0, 100.0, 1.0, 0.01),
-    ("avg_delay_days", "Average delay (days)", 0.0, 30.0, 0.5, 1.0),
-    ("reject_rate_pct", "Rejection rate (%)", 0.0, 10.0, 0.1, 1.0),
-    ("invoice_error_rate", "Invoice error rate (%)", 0.0, 100.0, 1.0, 0.01),
-    ("external_credit_score", "External credit score", 1.0, 100.0, 1.0, 1.0),
-    ("altman_z_score", "Altman Z score", -1.0, 7.0, 0.1, 1.0),
-    ("days_sales_outstanding", "Days sales outstanding", 10.0, 220.0, 5.0, 1.0),
-    ("promoter_pledge_pct", "Promoter pledge (%)", 0.0, 95.0, 1.0, 1.0),
-    ("event_count", "Incidents logged this quarter", 0.0, 12.0, 1.0, 1.0),
-    ("po_count_qoq_growth_pct", "Order volume change QoQ (%)", -80.0, 200.0, 5.0, 1.0),
+    ("rolling_2q_on_time_rate", "Two-quarter rolling on-time rate (%)", 0.0, 100.0, 0.01),
+    ("on_time_rate", "On-time rate this quarter (%)", 0.0, 100.0, 0.01),
+    ("otif_rate", "OTIF rate (%)", 0.0, 100.0, 0.01),
+    ("avg_delay_days", "Average delay (days)", 0.0, 30.0, 1.0),
+    ("reject_rate_pct", "Rejection rate (%)", 0.0, 10.0, 1.0),
+    ("invoice_error_rate", "Invoice error rate (%)", 0.0, 100.0, 0.01),
+    ("external_credit_score", "External credit score", 1.0, 100.0, 1.0),
+    ("altman_z_score", "Altman Z score", -1.0, 7.0, 1.0),
+    ("days_sales_outstanding", "Days sales outstanding", 10.0, 220.0, 1.0),
+    ("promoter_pledge_pct", "Promoter pledge (%)", 0.0, 95.0, 1.0),
+    ("event_count", "Incidents logged this quarter", 0.0, 12.0, 1.0),
+    ("po_count_qoq_growth_pct", "Order volume change QoQ (%)", -80.0, 200.0, 1.0),
 ]
 LEVER_POINTS = 9

@@ -43,12 +43,6 @@ def label_of_quarter_number(n: Column) -> Column:
     return quarter_label(fy, fq)
 
 
-def label_sort_key(label: Column) -> Column:
-    """The label-only order key (characters 3-7, then the last one). It breaks at a century wrap,
-    so the axis below orders by date-derived year and quarter instead."""
-    return F.concat(F.substring(label, 3, 5), F.substring(label, -1, 1))
-
-
 def dim_quarter(po: DataFrame) -> DataFrame:
     """The ordered quarter axis: every fiscal quarter carrying a purchase order, with a dense
     0-based index ``qi``. The distinct set is bounded by the calendar span (tens of rows), so the

@@ -30,12 +30,14 @@ def _as_sort(c) -> Column:
 
 def running_totals(df: DataFrame, order_by: Sequence, sums: dict[str, Column] | None = None,
                    row_number: str | None = None, segment_by: Sequence[str] = (),
-                   partitions: int | None = None) -> DataFrame:
+                   partitions: int | None = None, following: dict[str, Column] | None = None) -> DataFrame:
     """Append exact running sums (ROWS frame, unbounded preceding to current row) and an optional
     1-based row number, ordered by ``order_by`` within each ``segment_by`` group (global when empty).
 
     ``order_by`` must make the order total (append a unique key); ``sums`` maps output names to
-    Column expressions of ``df`` to be accumulated.
+    Column expressions of ``df`` to be accumulated. ``following`` maps output names to expressions whose value
+    in the segment's next row is appended, NULL in its last row; where a segment goes on in a later partition,
+    that partition's first row is handed to the last row before it.
     """
     sums = dict(sums or {})
     spark = df.sparkSession
@@ -45,7 +47,8 @@ def running_totals(df: DataFrame, order_by: Sequence, sums: dict[str, Column] |
     seg = list(segment_by)
 
     vals = {f"__rt_v{i}": expr for i, expr in enumerate(sums.values())}
-    staged = df.select("*", *[e.alias(k) for k, e in vals.items()])
+    ahead = {f"__rt_f{i}": expr for i, expr in enumerate((following or {}).values())}
+    staged = df.select("*", *[e.alias(k) for k, e in (vals | ahead).items()])
     # Plain reliable checkpoint: the staged rows are usually cheap to recompute relative to their
     # size (e.g. a weight-sweep fan-out), so they are not held in memory while being written.
     ranged = (staged.repartitionByRange(n, *[F.col(s) for s in seg], *order_cols)
@@ -71,10 +74,41 @@ def running_totals(df: DataFrame, order_by: Sequence, sums: dict[str, Column] |
         exprs.append((F.coalesce("__rt_n_off", F.lit(0)) + F.row_number().over(local)).alias(row_number))
     for (name, _), k in zip(sums.items(), vals):
         exprs.append((F.coalesce(F.col(k + "_off"), F.lit(0)) + F.sum(k).over(local)).alias(name))
+    if ahead:
+        order = Window.partitionBy(_PID, *seg).orderBy(*order_cols)
+        first = ranged.withColumn("__rt_r", F.row_number().over(order)).where("__rt_r = 1")
+        later = Window.partitionBy(*seg).orderBy(_PID)
+        # a segment goes on in a later partition at most once per partition
+        border = first.select(_PID, *seg, F.lead(F.struct(*ahead)).over(later).alias("__rt_border")).where(
+            "__rt_border is not null").withColumnsRenamed({c: f"__rt_b{i}" for i, c in enumerate([_PID, *seg])})
+        out = out.join(F.broadcast(border), [out[c].eqNullSafe(border[f"__rt_b{i}"]) for i, c in enumerate([_PID, *seg])], "left")
+        inside = F.lead(F.lit(True)).over(order)
+        exprs += [F.when(inside, F.lead(k).over(order)).otherwise(F.col(f"__rt_border.{k}")).alias(name)
+                  for name, k in zip(following, ahead)]
     keep = [c for c in df.columns]
     return out.select(*keep, *exprs)
 
 
+def join_common(df: DataFrame, lookup: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
+    """``df`` left-joined with ``lookup`` on ``keys``, of which ``lookup`` has each combination once, with the
+    number of its rows in ``df`` as ``count``. Combinations with more than a task's even share of the rows are
+    broadcast (there are fewer of them than tasks), the others shuffled, and rows with a NULL key go past both:
+    no task gets all rows of a common value."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = lookup.select(F.sum(count)).scalar()
+    values = [c for c in lookup.columns if c not in keys]
+    heavy = F.broadcast(lookup.where(F.col(count) * tasks > total))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    common = df.join(heavy, list(keys))
+    rare = df.where(known).join(heavy.select(*keys), list(keys), "left_anti").join(
+        lookup.where(F.col(count) * tasks <= total), list(keys), "left")
+    null = df.where(~known).select("*", *[F.lit(None).cast(lookup.schema[c].dataType).alias(c) for c in values])
+    out = [*df.columns, *values]
+    return common.select(*out).unionByName(rare.select(*out)).unionByName(null.select(*out))
+
+
 def quantiles_of(acc: DataFrame, probs: dict[str, float], segment_by: Sequence[str], value: str = "value",
                  count: str = "c", cum: str = "cum") -> DataFrame:
     """Exact linearly interpolated quantiles, one column per entry of ``probs``, of every segment of ``acc``: one
@@ -114,18 +148,16 @@ def average_rank(df: DataFrame, value: str, out: str, segment_by: Sequence[str]
     their positions; NULL values get a NULL rank. Optionally adds the non-null count per segment.
 
     Works on the distinct values (one row per value and segment), so a heavily repeated value is
-    one row, then joins the ranks back on (segment, value).
+    one row, then joins the ranks back on (segment, value); common values by broadcast (``join_common``).
     """
     seg = list(segment_by)
     v = F.col(value)
     distinct = df.where(v.isNotNull()).groupBy(*seg, value).agg(F.count(F.lit(1)).alias("__ar_c"))
     key = v.desc() if descending else v.asc()
     acc = running_totals(distinct, [key], {"__ar_cum": F.col("__ar_c")}, segment_by=seg)
-    ranks = acc.select(*seg, value, (F.col("__ar_cum") - (F.col("__ar_c") - 1) / 2.0).alias(out),
-                       *([] if count_out is None else [F.col("__ar_c")]))
+    ranks = acc.select(*seg, value, "__ar_c", (F.col("__ar_cum") - (F.col("__ar_c") - 1) / 2.0).alias(out))
     if count_out is not None:
         totals = distinct.groupBy(*seg).agg(F.sum("__ar_c").alias(count_out))
-        ranks = ranks.drop("__ar_c")
         ranks = ranks.join(totals, seg, "inner") if seg else ranks.withColumn(
             count_out, distinct.select(F.sum("__ar_c")).scalar())
-    return df.join(ranks, [*seg, value], "left")
+    return join_common(df, ranks, [*seg, value], "__ar_c").drop("__ar_c")

@@ -1,5 +1,5 @@
 """The shared cross-filter: attribute filters → a supplier-id set applied by semi-join, and a
-quarter range applied as an index ``BETWEEN`` (P2–P8)."""
+quarter range applied as a semi-join with the axis rows it covers (P2–P8)."""
 from __future__ import annotations
 
 from dataclasses import dataclass, field
@@ -46,19 +46,22 @@ def supplier_ids(sup: DataFrame, f: Filters) -> DataFrame:
     return sup.where(supplier_predicate(f)).select("supplier_id")
 
 
-def quarter_bounds(dq: DataFrame, f: Filters) -> tuple[int, int]:
-    """Index bounds of the selected range; swapped when reversed; the whole axis when the
-    range is absent, malformed or names an unknown label. Looks up at most two axis rows."""
-    hi_all = dq.agg(F.max("qi")).first()[0]
-    full = (0, int(hi_all) if hi_all is not None else -1)
+def quarter_range(dq: DataFrame, f: Filters) -> DataFrame:
+    """The axis rows of the selected range; swapped when reversed; the whole axis when the range is absent,
+    malformed or names an unknown label. The bounds are scalar subqueries, so nothing runs on the driver."""
     v = f.quarter_range
     if not isinstance(v, (tuple, list)) or len(v) != 2:
-        return full
-    found = {r["fiscal_quarter"]: r["qi"] for r in dq.where(F.col("fiscal_quarter").isin(list(v))).collect()}
-    if v[0] not in found or v[1] not in found:
-        return full
-    a, b = found[v[0]], found[v[1]]
-    return (a, b) if a <= b else (b, a)
+        return dq
+    named = dq.where(F.col("fiscal_quarter").isin(list(v)))
+    known = named.select(F.count_distinct("fiscal_quarter") == len(set(v))).scalar()
+    lo, hi = named.select(F.min("qi")).scalar(), named.select(F.max("qi")).scalar()
+    return dq.where((F.col("qi") >= F.when(known, lo).otherwise(F.lit(-1))) & (~known | (F.col("qi") <= hi)))
+
+
+def in_range(rows: DataFrame, dq: DataFrame, f: Filters) -> DataFrame:
+    """The rows whose quarter index lies in the selected range. The range (at most the axis, tens of rows) is
+    broadcast; where the rows are files partitioned by ``qi``, it prunes them before they are read."""
+    return rows.join(F.broadcast(quarter_range(dq, f).select("qi")), "qi", "left_semi")
 
 
 def fs(sup: DataFrame, f: Filters) -> DataFrame:
@@ -68,20 +71,17 @@ def fs(sup: DataFrame, f: Filters) -> DataFrame:
 
 def fsq(sq: DataFrame, sup: DataFrame, dq: DataFrame, f: Filters) -> DataFrame:
     """Filtered supplier-quarter rows (attributes and time)."""
-    lo, hi = quarter_bounds(dq, f)
-    return sq.join(supplier_ids(sup, f), "supplier_id", "left_semi").where(F.col("qi").between(lo, hi))
+    return in_range(sq, dq, f).join(supplier_ids(sup, f), "supplier_id", "left_semi")
 
 
 def fscored(scored: DataFrame, sup: DataFrame, dq: DataFrame, f: Filters, prob: str,
             only_scored_quarters: bool = True) -> DataFrame:
     """P7."""
-    lo, hi = quarter_bounds(dq, f)
-    d = scored.join(supplier_ids(sup, f), "supplier_id", "left_semi").where(F.col("qi").between(lo, hi))
+    d = in_range(scored, dq, f).join(supplier_ids(sup, f), "supplier_id", "left_semi")
     return d.where(F.col(prob).isNotNull()) if only_scored_quarters else d
 
 
 def fevents(events: DataFrame, sup: DataFrame, dq: DataFrame, f: Filters) -> DataFrame:
     """Events of the selected suppliers and quarters; an unknown quarter has no index and drops."""
-    lo, hi = quarter_bounds(dq, f)
-    e = events.join(F.broadcast(dq), "fiscal_quarter", "left")
-    return e.join(supplier_ids(sup, f), "supplier_id", "left_semi").where(F.col("qi").between(lo, hi))
+    e = events.join(F.broadcast(quarter_range(dq, f)), "fiscal_quarter")
+    return e.join(supplier_ids(sup, f), "supplier_id", "left_semi")

@@ -16,6 +16,9 @@ from vendorlens.functions.scalar import abc_class, safe_div
 from vendorlens.operators.ordered import running_totals
 from vendorlens.sources.adapter import Inputs
 
+#: Sums and counts of the flags, which the quarter mart keeps for coarser rollups.
+ROLLUP = {"on_time_flag": ("on_time_sum", "on_time_n"), "otif": ("otif_sum", "otif_n")}
+ROLLUP_COLS = [c for names in ROLLUP.values() for c in names]
 SUPPLIER_ATTRS = ["supplier_id", "supplier_name", "supplier_tier", "business_size",
                   "primary_category", "region", "state"]
 RISK_LATEST_COLS = ["external_credit_score", "credit_rating", "altman_z_score", "days_sales_outstanding",
@@ -27,10 +30,10 @@ def quarter_axis(inp: Inputs) -> DataFrame:
     """``dim_quarter(fiscal_quarter, qi)`` of the orders (tens of rows)."""
     po = inp.po
     if "fiscal_year" not in po.columns:
-        # Label-only inputs: order by the label key.
-        po = po.select("fiscal_quarter",
-                       F.substring("fiscal_quarter", 3, 2).cast("int").alias("fiscal_year"),
-                       F.substring("fiscal_quarter", -1, 1).cast("int").alias("fiscal_qtr"))
+        # Label-only inputs: two-digit years from 69 on belong to the last century.
+        year = F.substring("fiscal_quarter", 3, 2).try_cast("int")
+        po = po.select("fiscal_quarter", (year + F.when(year >= 69, 1900).otherwise(2000)).alias("fiscal_year"),
+                       F.substring("fiscal_quarter", -1, 1).try_cast("int").alias("fiscal_qtr"))
     return cal.dim_quarter(po)
 
 
@@ -45,9 +48,12 @@ def _keyed(df: DataFrame, *keys: str) -> DataFrame:
 
 # ---------------------------------------------------------------- supplier grain
 def receipt_enriched(inp: Inputs) -> DataFrame:
-    """Receipt lines with their order's quarter, value and priority; OTIF flag."""
-    po = inp.po.select("purchase_order_id", "fiscal_quarter", "po_value_inr", "order_priority")
-    rec = inp.receipt.join(po, "purchase_order_id", "inner")
+    """Receipt lines with their order's quarter, value and priority; OTIF flag. Facts that were dealt together
+    need no join."""
+    rec = inp.order_receipt
+    if rec is None:
+        po = inp.po.select("purchase_order_id", "fiscal_quarter", "po_value_inr", "order_priority")
+        rec = inp.receipt.join(po, "purchase_order_id", "inner")
     return rec.withColumn("otif", F.col("on_time_flag") * F.col("in_full_flag"))
 
 
@@ -160,13 +166,16 @@ def delivery_by_supplier_quarter(rec: DataFrame) -> DataFrame:
         F.avg("delay_days").alias("avg_delay_days"),
         F.coalesce(F.sum("stockout_triggered_flag"), F.lit(0)).cast("long").alias("stockouts"),
         (safe_div(F.coalesce(F.sum("rejected_quantity"), F.lit(0.0)),
-                  F.coalesce(F.sum("received_quantity"), F.lit(0.0))) * 100).alias("reject_rate_pct"))
+                  F.coalesce(F.sum("received_quantity"), F.lit(0.0))) * 100).alias("reject_rate_pct"),
+        *[f(c).cast("long").alias(n) for c, names in ROLLUP.items() for f, n in zip((F.sum, F.count), names)])
 
 
-def invoice_by_order_quarter(invoice: DataFrame, po: DataFrame) -> DataFrame:
+def invoice_by_order_quarter(inp: Inputs) -> DataFrame:
     """An invoice is booked to the quarter of the order it bills, not its own date."""
-    inv = invoice.drop("fiscal_quarter").join(po.select("purchase_order_id", "fiscal_quarter"),
-                                               "purchase_order_id", "inner")
+    inv = inp.order_invoice
+    if inv is None:
+        inv = inp.invoice.drop("fiscal_quarter").join(inp.po.select("purchase_order_id", "fiscal_quarter"),
+                                                      "purchase_order_id", "inner")
     return _keyed(inv, "supplier_id", "fiscal_quarter").groupBy("supplier_id", "fiscal_quarter").agg(
         F.avg("invoice_error_flag").alias("invoice_error_rate"),
         F.avg("dispute_raised_flag").alias("dispute_rate"))
@@ -185,7 +194,7 @@ def supplier_quarter(inp: Inputs, dq: DataFrame | None = None) -> DataFrame:
     keys = ["supplier_id", "fiscal_quarter"]
     rec = receipt_enriched(inp)
     sq = (delivery_by_supplier_quarter(rec)
-          .join(invoice_by_order_quarter(inp.invoice, inp.po), keys, "full")
+          .join(invoice_by_order_quarter(inp), keys, "full")
           .join(spend_by_supplier_quarter(inp.po), keys, "full")
           .join(inp.risk, keys, "left")
           .join(F.broadcast(dq), "fiscal_quarter", "inner"))
@@ -194,26 +203,20 @@ def supplier_quarter(inp: Inputs, dq: DataFrame | None = None) -> DataFrame:
     risk_cols = [c for c in inp.risk.columns if c not in keys]
     return out.select("supplier_id", "fiscal_quarter", "lines", "on_time_rate", "in_full_rate", "otif_rate",
                       "avg_delay_days", "stockouts", "reject_rate_pct", "invoice_error_rate", "dispute_rate", "spend_inr",
-                      "po_count", *risk_cols, "qi", *SUPPLIER_ATTRS[1:])
+                      "po_count", *risk_cols, "qi", *SUPPLIER_ATTRS[1:], *ROLLUP_COLS)
 
 
-def category_quarter(inp: Inputs) -> DataFrame:
-    """Category × quarter spend and delivery rollups."""
-    cat = inp.supplier.select("supplier_id", "primary_category")
+def category_quarter(sq: DataFrame) -> DataFrame:
+    """Category × quarter spend and delivery rollups of the quarter mart; no fact is read again. Rates are
+    of all lines (sums and counts), not means of rates."""
     keys = ["primary_category", "fiscal_quarter"]
-    # facts are summed per supplier and quarter before they meet the suppliers
-    po = _keyed(inp.po, "supplier_id", "fiscal_quarter").groupBy("supplier_id", "fiscal_quarter").agg(
-        F.sum("po_value_inr").alias("spend"), F.count("purchase_order_id").alias("orders"))
-    cq = _keyed(po.join(cat, "supplier_id"), *keys).groupBy(*keys).agg(
-        F.coalesce(F.sum("spend"), F.lit(0).cast("decimal(28,2)")).alias("spend_inr"), F.sum("orders").alias("po_count"))
-    sums = {"on_time_flag": "on_time_rate", "otif": "otif_rate"}
-    rec = _keyed(receipt_enriched(inp), "supplier_id", "fiscal_quarter").groupBy("supplier_id", "fiscal_quarter").agg(
-        *[f(c).alias(f"{c}_{n}") for c in sums for f, n in ((F.sum, "sum"), (F.count, "n"))],
-        F.sum("stockout_triggered_flag").alias("stockouts"))
-    cq2 = _keyed(rec.join(cat, "supplier_id"), *keys).groupBy(*keys).agg(
-        *[safe_div(F.sum(f"{c}_sum").cast("double"), F.sum(f"{c}_n").cast("double")).alias(out) for c, out in sums.items()],
-        F.coalesce(F.sum("stockouts"), F.lit(0)).cast("long").alias("stockouts"))
-    return cq.join(cq2, keys, "left")
+    rates = [safe_div(F.sum(total).cast("double"), F.sum(n).cast("double")).alias(out)
+             for (total, n), out in zip(ROLLUP.values(), ("on_time_rate", "otif_rate"))]
+    cq = _keyed(sq, *keys).groupBy(*keys).agg(
+        F.count("po_count").alias("__ordered"),
+        F.coalesce(F.sum("spend_inr"), F.lit(0)).cast("decimal(28,2)").alias("spend_inr"), F.sum("po_count").alias("po_count"),
+        *rates, F.sum("stockouts").cast("long").alias("stockouts"))
+    return cq.where("__ordered > 0").drop("__ordered")
 
 
 def events_enriched(inp: Inputs) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendorlens import constants as K
-from vendorlens.functions.scalar import weighted_mean
+from vendorlens.functions.scalar import weighted_mean, round_table
 from vendorlens.operators.ordered import quantiles
 
 
@@ -87,6 +87,11 @@ def worst_performers(sup: DataFrame, n: int = 12) -> DataFrame:
                     "avg_delay_days", (F.col("total_spend_inr").cast("double") / 1e7).alias("spend_cr")))
 
 
+def displayed(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    """``df`` with the columns that a table shows rounded, half to even."""
+    return df.withColumns({c: round_table(F.col(c), n) for c, n in digits.items()})
+
+
 def delay_quartiles_by_tier(sq: DataFrame) -> DataFrame:
     """Box statistics of quarterly average delay per tier (linear quantiles)."""
     d = F.col("avg_delay_days")

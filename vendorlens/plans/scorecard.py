@@ -2,16 +2,17 @@
 
 Percentile ranks are *relative to the passed supplier set*. All six metric ranks come from one
 range-partitioned running count over the distinct (metric, value) pairs, so ties collapse to one
-row and neither a large supplier set nor a repeated value lands on one task.
+row; the ranks of common values return by broadcast. Neither a large supplier set nor a repeated value lands on one task.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendorlens import constants as K
 from vendorlens.functions.scalar import grade as grade_of
-from vendorlens.operators.ordered import running_totals
+from vendorlens.operators.ordered import average_rank, running_totals
+from vendorlens.session import materialize
 
 # FIXED VALUES — scored metrics and direction (True = higher is better).
 METRICS = [("otif_rate", True), ("avg_delay_days", False), ("reject_rate_pct", False),
@@ -23,17 +24,9 @@ def pct_rank_metrics(sup: DataFrame, segment_by: list[str] | None = None) -> Dat
     """``pr_<metric>`` = average-tie rank ÷ non-NULL count × 100 (lower-is-better metrics use
     ``(1 − r) × 100``); a NULL value keeps a NULL percentile. One row per supplier."""
     seg = list(segment_by or [])
-    long = None
-    for m, _ in METRICS:
-        part = sup.select(*seg, "supplier_id", F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-        long = part if long is None else long.unionByName(part)
-    keys = [*seg, "metric"]
-    vals = long.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
-    acc = running_totals(vals, [F.col("value").asc()], {"cum": F.col("c")}, segment_by=keys)
-    nn = vals.groupBy(*keys).agg(F.sum("c").alias("nn"))
-    ranks = acc.join(F.broadcast(nn), keys, "inner").select(
-        *keys, "value", ((F.col("cum") - (F.col("c") - 1) / 2.0) / F.col("nn")).alias("r"))
-    j = long.join(ranks, [*keys, "value"], "left")
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m, _ in METRICS])
+    long = sup.select(*seg, "supplier_id", F.inline(pairs))
+    j = average_rank(long, "value", "rank", [*seg, "metric"], count_out="nn").withColumn("r", F.col("rank") / F.col("nn"))
     hib = F.create_map(*[x for m, h in METRICS for x in (F.lit(m), F.lit(h))])[F.col("metric")]
     pct = F.when(hib, F.col("r")).otherwise(1 - F.col("r")) * 100
     wide = (j.select(*seg, "supplier_id", "metric", pct.alias("p"))
@@ -79,16 +72,12 @@ def rank_moves(sc: DataFrame, base: DataFrame) -> DataFrame:
     return sc.join(b, "supplier_id", "inner").withColumn("rank_move", F.col("base_rank") - F.col("rank"))
 
 
-def k_extremes(n) -> F.Column:
-    """k = max(3, min(30, n // 10))."""
-    return F.greatest(F.lit(3), F.least(F.lit(30), F.floor(n / 10)))
+MOST_EXTREMES = 30
 
 
-def _avg_rank(df: DataFrame, value: str, out: str, seg: list[str]) -> DataFrame:
-    vals = df.where(F.col(value).isNotNull()).groupBy(*seg, value).agg(F.count(F.lit(1)).alias("__c"))
-    acc = running_totals(vals, [F.col(value).asc()], {"__cum": F.col("__c")}, segment_by=seg)
-    r = acc.select(*seg, value, (F.col("__cum") - (F.col("__c") - 1) / 2.0).alias(out))
-    return df.join(r, [*seg, value], "left")
+def k_extremes(n) -> F.Column:
+    """k = max(3, min(30, n // 10))."""
+    return F.greatest(F.lit(3), F.least(F.lit(MOST_EXTREMES), F.floor(n / 10)))
 
 
 def stability(moves: DataFrame) -> DataFrame:
@@ -97,7 +86,7 @@ def stability(moves: DataFrame) -> DataFrame:
     n = moves.select(F.count(F.lit(1))).scalar()
     k = k_extremes(n)
     both = moves.where(F.col("composite_score").isNotNull() & F.col("base_composite").isNotNull())
-    ranked = _avg_rank(_avg_rank(both, "composite_score", "r_now", []), "base_composite", "r_base", [])
+    ranked = average_rank(average_rank(both, "composite_score", "r_now"), "base_composite", "r_base")
     rho = ranked.select(F.corr("r_now", "r_base")).scalar()
     return moves.agg(
         F.count_if((F.col("rank") > n - k) & (F.col("base_rank") > n - k)).alias("bottom_retained"),
@@ -159,32 +148,48 @@ def weight_sets(spark, n: int) -> DataFrame:
 def weight_sweep(sup: DataFrame, n_sets: int = 800) -> DataFrame:
     """For each weight set, Spearman ρ against the base weights and bottom-k retention.
 
-    Pillars are computed once; every supplier row is repeated once per weight set with a
-    generator (``explode`` of the set ids), ranks run segmented by ``weight_id``."""
+    Pillars and base ranks are computed once; every supplier row is repeated once per weight set with a
+    generator (``explode`` of the set ids). One range-partitioned numbering by (set, score) gives the ranks: ties
+    share the mean of their numbers, and ρ follows from sums per tie, so nothing is joined back. The bottom k of a
+    set are a top-k query, which Spark cuts to k rows per task and set before it shuffles."""
     p = pillars(sup)
     bw = _normalised(*K.BASE_WEIGHTS.values())
     p = p.withColumn("base_composite", composite(*bw))
     base = running_totals(p, [F.col("base_composite").desc_nulls_last(), F.col("supplier_id").asc()],
                           row_number="base_rank")
     # the base ranks do not depend on the set
-    base = _avg_rank(base, "base_composite", "r_base", [])
+    base = materialize(average_rank(base, "base_composite", "r_base").select(
+        "supplier_id", "base_composite", "base_rank", "r_base", *PILLARS))
     spark = sup.sparkSession
     ws = weight_sets(spark, n_sets)
-    rows = base.select("supplier_id", "base_composite", "base_rank", "r_base", *PILLARS,
-                       F.explode(F.sequence(F.lit(1), F.lit(n_sets))).alias("weight_id"))
+    rows = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_sets))).alias("weight_id"))
     rows = rows.join(F.broadcast(ws), "weight_id", "inner")
     tot = F.greatest(F.col("w_delivery") + F.col("w_quality") + F.col("w_invoice") + F.col("w_financial"), F.lit(1e-9))
-    rows = rows.withColumn("composite_score", composite(F.col("w_delivery") / tot, F.col("w_quality") / tot,
-                                                        F.col("w_invoice") / tot, F.col("w_financial") / tot))
-    ranked = running_totals(rows, [F.col("composite_score").desc_nulls_last(), F.col("supplier_id").asc()],
-                            row_number="rank", segment_by=["weight_id"])
+    rows = rows.select("weight_id", "supplier_id", "base_composite", "base_rank", "r_base", composite(
+        F.col("w_delivery") / tot, F.col("w_quality") / tot, F.col("w_invoice") / tot, F.col("w_financial") / tot).alias("composite_score"))
+    both = rows.where(F.col("composite_score").isNotNull() & F.col("base_composite").isNotNull())
+    ranked = running_totals(both.select("weight_id", "composite_score", "supplier_id", "r_base"),
+                            [F.col("composite_score").asc(), F.col("supplier_id").asc()], row_number="place", segment_by=["weight_id"])
+    ties = ranked.groupBy("weight_id", "composite_score").agg(
+        F.count(F.lit(1)).alias("c"), F.avg("place").alias("r"), F.sum("r_base").alias("b"), F.sum(F.col("r_base") ** 2).alias("bb"))
+    c, x, y = F.sum("c"), F.sum(F.col("c") * F.col("r")), F.sum("b")
+    rho = ties.groupBy("weight_id").agg(F.try_divide(
+        F.sum(F.col("r") * F.col("b")) - x * y / c,
+        F.sqrt((F.sum(F.col("c") * F.col("r") ** 2) - x * x / c) * (F.sum("bb") - y * y / c))).alias("rank_corr"))
     n = sup.select(F.count(F.lit(1))).scalar()
     k = k_extremes(n)
-    both = ranked.where(F.col("composite_score").isNotNull() & F.col("base_composite").isNotNull())
-    both = _avg_rank(both, "composite_score", "r_now", ["weight_id"])
-    rho = both.groupBy("weight_id").agg(F.corr("r_now", "r_base").alias("rank_corr"))
-    ret = ranked.groupBy("weight_id").agg(
-        F.count_if((F.col("rank") > n - k) & (F.col("base_rank") > n - k)).alias("bottom_retained"))
+    worst = Window.partitionBy("weight_id").orderBy(F.col("composite_score").asc_nulls_first(), F.col("supplier_id").desc())
+    bottom = rows.select("weight_id", "composite_score", "supplier_id", "base_rank", F.row_number().over(worst).alias("from_end")).where(
+        F.col("from_end") <= MOST_EXTREMES)
+    ret = bottom.groupBy("weight_id").agg(
+        F.count_if((F.col("from_end") <= k) & (F.col("base_rank") > n - k)).alias("bottom_retained"))
     return (ws.join(rho, "weight_id", "left").join(ret, "weight_id", "left")
             .withColumn("k", k.cast("long"))
             .withColumn("bottom_retention", F.col("bottom_retained") / F.col("k")))
+
+
+def sweep_summary(sweep: DataFrame) -> DataFrame:
+    """Mean and least rank correlation and bottom-k retention over the weight sets."""
+    return sweep.agg(F.count(F.lit(1)).alias("weight_sets"), F.avg("rank_corr").alias("mean_rank_corr"),
+                     F.min("rank_corr").alias("min_rank_corr"), F.avg("bottom_retention").alias("mean_bottom_retention"),
+                     F.min("bottom_retention").alias("min_bottom_retention"))

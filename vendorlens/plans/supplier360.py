@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vendorlens import constants as K
 from vendorlens.functions.scalar import risk_band
-from vendorlens.operators.ordered import quantiles_of, running_totals
+from vendorlens.operators.ordered import join_common, quantiles_of, running_totals
 
 # FIXED VALUES — the peer metrics and whether higher is better.
 PEER_METRICS = [("otif_rate", "OTIF rate", True), ("on_time_rate", "On-time rate", True),
@@ -88,19 +88,17 @@ def peer_percentiles(sup: DataFrame) -> DataFrame:
     """For each supplier and metric, the share of category peers strictly worse (×100; every
     peer, NULLs included, in the denominator; 0 when the supplier's own value is NULL) and the peer
     median. "Strictly worse" counts come from running totals over the distinct values of each
-    (category, metric) — a range-partitioned scan, so a large category is split across tasks."""
-    stacked = None
-    for key, label, hib in PEER_METRICS:
-        part = sup.select("supplier_id", "primary_category", F.lit(key).alias("metric"),
-                          F.lit(label).alias("metric_label"), F.lit(hib).alias("higher_is_better"),
-                          F.col(key).cast("double").alias("value"))
-        stacked = part if stacked is None else stacked.unionByName(part)
+    (category, metric) — a range-partitioned scan, so a large category is split across tasks; those of common
+    values return by broadcast."""
+    metrics = F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(label).alias("metric_label"), F.lit(hib).alias("higher_is_better"),
+                                 F.col(k).cast("double").alias("value")) for k, label, hib in PEER_METRICS])
+    stacked = sup.select("supplier_id", "primary_category", F.inline(metrics))
     seg = ["primary_category", "metric"]
     vals = stacked.where(F.col("value").isNotNull()).groupBy(*seg, "value").agg(F.count(F.lit(1)).alias("c"))
     acc = running_totals(vals, [F.col("value").asc()], {"cum": F.col("c")}, segment_by=seg)
     peers = stacked.groupBy(*seg).agg(F.count(F.lit(1)).alias("peers"), F.count("value").alias("non_null"))
     peers = peers.join(F.broadcast(quantiles_of(acc, {"peer_median": 0.5}, seg)), seg, "left")
-    j = stacked.join(acc, [*seg, "value"], "left").join(F.broadcast(peers), seg, "inner")  # one row per category and metric
+    j = join_common(stacked, acc, [*seg, "value"], "c").join(F.broadcast(peers), seg, "inner")  # one row per category and metric
     below = F.col("cum") - F.col("c")
     above = F.col("non_null") - F.col("cum")
     worse = F.when(F.col("value").isNull(), F.lit(0)).when(F.col("higher_is_better"), below).otherwise(above)

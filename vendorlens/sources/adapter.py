@@ -4,12 +4,16 @@ Every column is a deterministic built-in expression of the raw tables, so DuckDB
 same values (see ``oraclesql``). Only ``region`` and ``nation`` are broadcast: their row counts are
 fixed by the schema (5 and 25). Supplier-sized and line-sized sides are left to the planner (AQE
 switches to a broadcast join at run time only when the measured size is under the threshold).
+
+Orders, receipts and invoices are the same order lines seen three ways. ``order_lines`` deals them once, on the
+numeric order key: lines meet their order and the value of the order's part with their supplier in one
+partitioning. ``plans.stored`` keeps that table, so no mart joins facts again.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vendorlens import constants as K
@@ -36,6 +40,9 @@ class Inputs:
     invoice: DataFrame
     risk: DataFrame
     event: DataFrame
+    #: receipts and invoices with what their order says, where the facts were dealt together
+    order_receipt: DataFrame | None = None
+    order_invoice: DataFrame | None = None
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,20 +101,25 @@ def x_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row(1, 0.0).unionByName(row(2, 2.0).where(sid % 2 == 0))
 
 
-def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their order date; lineitem-sized, joined on the order key (shuffle)."""
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order line with its order's date and priority, the value of the order's part with the line's supplier
+    (``po_value_inr``, exact DECIMAL) and whether it is the first line of that part. ``lineitem`` and ``orders``
+    are shuffled once, by order key; the sums per part reuse that partitioning."""
     li = raw(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate")
-    o = raw(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    j = li.join(o, li.l_orderkey == o.o_orderkey)
-    return j.withColumn(
-        "dd", F.abs(F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate")))
-    ).withColumn("purchase_order_id", order_id())
+    o = raw(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    part = Window.partitionBy("l_orderkey", "l_suppkey")
+    return li.join(o, li.l_orderkey == o.o_orderkey).drop("o_orderkey").withColumns({
+        "dd": F.abs(F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate"))),
+        "fiscal_quarter": cal.fiscal_quarter_label(F.col("o_orderdate")),
+        "order_priority": F.when(F.col("o_orderpriority") == URGENT_PRIORITY, F.lit(K.EMERGENCY)).otherwise(F.lit(ROUTINE)),
+        "po_value_inr": F.sum(F.col("l_extendedprice").cast(K_MONEY)).over(part).cast(K_MONEY),
+        "first_line": F.row_number().over(part.orderBy("l_linenumber")) == 1})
 
 
 def order_id():
-    """The order of one supplier: both keys, so it is unique whatever their size."""
+    """The order of one supplier: both keys, so it is unique whatever their size. Shown, never joined on."""
     return F.concat_ws("-", "l_orderkey", "l_suppkey")
 
 
@@ -116,31 +128,22 @@ def line_id():
     return F.concat_ws("-", "l_orderkey", "l_linenumber")
 
 
-def x_po(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One order per (order, supplier): lines are summed as DECIMAL(18,2) so totals are exact."""
-    lines = (raw(spark, sf_dir, "lineitem")
-             .groupBy("l_orderkey", "l_suppkey")
-             .agg(F.sum(F.col("l_extendedprice").cast(K_MONEY)).cast(K_MONEY).alias("po_value_inr")))
-    o = raw(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    j = lines.join(o, lines.l_orderkey == o.o_orderkey)
-    return j.select(
+def x_po(lines: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """One order per (order, supplier)."""
+    return lines.where("first_line").select(
         order_id().alias("purchase_order_id"),
         F.col("l_suppkey").alias("supplier_id"),
-        cal.fiscal_quarter_label(F.col("o_orderdate")).alias("fiscal_quarter"),
-        "po_value_inr",
-        F.when(F.col("o_orderpriority") == URGENT_PRIORITY, F.lit(K.EMERGENCY))
-         .otherwise(F.lit(ROUTINE)).alias("order_priority"),
+        "fiscal_quarter", "po_value_inr", "order_priority",
         cal.fiscal_year(F.col("o_orderdate")).alias("fiscal_year"),
-        cal.fiscal_quarter_of_year(F.col("o_orderdate")).alias("fiscal_qtr"))
-
+        cal.fiscal_quarter_of_year(F.col("o_orderdate")).alias("fiscal_qtr"), *more)
 
 
-def x_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = _order_lines(spark, sf_dir)
+def x_receipt(lines: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """One receipt per line, with the columns ``order`` of its order."""
     delay = F.greatest(F.lit(0), F.col("dd") % 12 - 6 - F.col("l_suppkey") % 5)
-    return j.select(
+    return lines.select(
         line_id().alias("goods_receipt_id"),
-        "purchase_order_id",
+        order_id().alias("purchase_order_id"),
         F.col("l_suppkey").alias("supplier_id"),
         (delay == 0).cast("int").alias("on_time_flag"),
         ((F.col("l_returnflag") != "R") | (F.col("l_linestatus") == "F")).cast("int").alias("in_full_flag"),
@@ -148,24 +151,25 @@ def x_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
         delay.cast("double").alias("delay_days"),
         F.when(F.col("l_returnflag") == "R", F.floor(F.col("l_quantity") / 10)).otherwise(F.lit(0))
          .cast("double").alias("rejected_quantity"),
-        F.col("l_quantity").cast("double").alias("received_quantity"))
+        F.col("l_quantity").cast("double").alias("received_quantity"), *order)
 
 
-def x_invoice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = _order_lines(spark, sf_dir)
+def x_invoice(lines: DataFrame, quarter: Column | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """One invoice per line, in the quarter of its own date or in ``quarter``."""
     err = F.col("l_discount") >= 0.09
-    return j.select(
+    quarter = cal.fiscal_quarter_label(F.col("l_shipdate")) if quarter is None else quarter
+    return lines.select(
         line_id().alias("invoice_id"),
         F.col("l_suppkey").alias("supplier_id"),
-        "purchase_order_id",
-        cal.fiscal_quarter_label(F.col("l_shipdate")).alias("fiscal_quarter"),
+        order_id().alias("purchase_order_id"),
+        quarter.alias("fiscal_quarter"),
         err.cast("int").alias("invoice_error_flag"),
         (err & (F.col("l_tax") >= 0.04)).cast("int").alias("dispute_raised_flag"),
         F.when(~err, F.lit(K.NO_ERROR_TYPE))
          .otherwise(_case(F.col("l_returnflag"), ERROR_TYPE_BY_RETURNFLAG, K.NO_ERROR_TYPE))
          .alias("invoice_error_type"),
         (30 + F.col("dd") % 31).cast("double").alias("days_to_payment"),
-        (F.col("l_extendedprice") * (F.col("l_tax") - F.col("l_discount"))).alias("invoice_variance_inr"))
+        (F.col("l_extendedprice") * (F.col("l_tax") - F.col("l_discount"))).alias("invoice_variance_inr"), *order)
 
 
 def x_risk(spark: SparkSession, sf_dir: str, po: DataFrame) -> DataFrame:
@@ -211,17 +215,38 @@ def x_event(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(resolved, (eid % 20).cast("double")).alias("resolution_days"))
 
 
-def load_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    """The eight inputs as plans over the raw tables. Nothing is cached: filters and column selections reach
-    the Parquet scans, and the marts that many queries share are stored once (``plans.stored``)."""
-    po = x_po(spark, sf_dir)
+def load_inputs(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> Inputs:
+    """The eight inputs as plans over the raw tables and ``lines`` (``order_lines``, stored or not). Nothing is
+    cached: filters and column selections reach the Parquet scans, and the marts that many queries share are
+    stored once (``plans.stored``)."""
+    lines = order_lines(spark, sf_dir) if lines is None else lines
+    po = x_po(lines)
     return Inputs(
         supplier=x_supplier(spark, sf_dir),
         item=x_item(spark, sf_dir),
         contract=x_contract(spark, sf_dir),
         po=po,
-        receipt=x_receipt(spark, sf_dir),
-        invoice=x_invoice(spark, sf_dir),
+        receipt=x_receipt(lines),
+        invoice=x_invoice(lines),
         risk=x_risk(spark, sf_dir, po),
         event=x_event(spark, sf_dir),
+        order_receipt=x_receipt(lines, ("fiscal_quarter", "po_value_inr", "order_priority")),
+        order_invoice=x_invoice(lines, F.col("fiscal_quarter")),
     )
+
+
+def file_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    """The inputs as the declared file schemas have them, with whole-number ids: order key and supplier (or line) side
+    by side in 64 bits, 31 of them for the second; larger keys raise an overflow error."""
+    number = {"purchase_order_id": ("l_orderkey", "l_suppkey"), "goods_receipt_id": ("l_orderkey", "l_linenumber"),
+              "invoice_id": ("l_orderkey", "l_linenumber")}
+    ids = {c: F.col(a).cast("long") * F.lit(1 << 31) + F.col(b) for c, (a, b) in number.items()}
+    lines = order_lines(spark, sf_dir).withColumns({f"n_{c}": e for c, e in ids.items()})
+    po = x_po(lines, ("n_purchase_order_id",))
+    po = po.withColumn("purchase_order_id", F.col("n_purchase_order_id"))
+    receipt = x_receipt(lines, ("n_purchase_order_id", "n_goods_receipt_id"))
+    receipt = receipt.withColumns({c: F.col(f"n_{c}") for c in ("purchase_order_id", "goods_receipt_id")})
+    invoice = x_invoice(lines, order=("n_purchase_order_id", "n_invoice_id"))
+    invoice = invoice.withColumns({c: F.col(f"n_{c}") for c in ("purchase_order_id", "invoice_id")})
+    every = load_inputs(spark, sf_dir, lines)
+    return Inputs(every.supplier, every.item, every.contract, po, receipt, invoice, every.risk, every.event)

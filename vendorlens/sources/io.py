@@ -1,6 +1,8 @@
 """Readers and writers: CSV/Parquet inputs with declared schemas, derived-table sinks."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,22 +29,54 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+# FIXED VALUES — cells that count as missing, in columns of any type.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+           "NULL", "NaN", "None", "n/a", "nan", "null"]
+#: Columns in which a token is a value: an invoice without error has the error type ``None``.
+VALUES = {"invoice_error_type": ["None"]}
+
+
+def _cells(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The cells as text, missing ones as ''; columns are found by position, as declared."""
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    rows = spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    return rows.select(*[F.coalesce(F.col(f"`{f.name}`"), F.lit("")).alias(f.name) for f in schema.fields])
+
+
+def _missing(field: T.StructField):
+    return F.col(f"`{field.name}`").isin([t for t in MISSING if t not in VALUES.get(field.name, [])])
+
+
+def _value(field: T.StructField):
+    """The cell as its declared type: NULL where it is missing or does not fit."""
+    cell = F.when(~_missing(field), F.col(f"`{field.name}`"))
+    return cell if isinstance(field.dataType, T.StringType) else cell.try_cast(field.dataType)
+
+
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header and a declared schema. Empty cells and 'NaN' numbers read as NULL; 'None' in a string
-    column is a value (an invoice without error). A cell that does not fit its type reads as NULL too;
-    ``rejected_rows`` counts the rows that hold one."""
-    df = (spark.read.schema(schema).option("header", True).option("nanValue", "NaN")
-          .option("mode", "PERMISSIVE").csv(path))
-    return nan_to_null(df)
+    """CSV with a header and a declared schema. Cells that hold one of ``MISSING`` read as NULL, but for those that
+    ``VALUES`` names; a cell that does not fit its type reads as NULL too (``cell_counts`` tells both apart)."""
+    return _cells(spark, path, schema).select(*[_value(f).alias(f.name) for f in schema.fields])
+
+
+def cell_counts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(column, rows, missing, rejected): per column of a CSV table the cells that hold a missing-value token and those
+    that do not fit the declared type, in one pass."""
+    cells = _cells(spark, path, schema)
+    sums = []
+    for i, f in enumerate(schema.fields):
+        sums += [F.count_if(_missing(f)).alias(f"m{i}"), F.count_if(~_missing(f) & _value(f).isNull()).alias(f"r{i}")]
+    counted = cells.agg(F.count(F.lit(1)).alias("rows"), *sums)
+    return counted.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("column"), F.col("rows"), F.col(f"m{i}").alias("missing"),
+                                                      F.col(f"r{i}").alias("rejected")) for i, f in enumerate(schema.fields)])))
 
 
 def rejected_rows(spark: SparkSession, path: str, schema: T.StructType) -> int:
     """Rows of a CSV table with a cell that does not fit the declared schema."""
-    every = T.StructType([*schema.fields, T.StructField("_rejected", T.StringType())])
-    rows = (spark.read.schema(every).option("header", True).option("nanValue", "NaN").option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_rejected").csv(path))
-    # every column is read, else the reader would only parse and judge the ones it needs
-    return rows.agg(F.count_if(F.col("_rejected").isNotNull()).alias("n"), F.bit_xor(F.xxhash64(*schema.names))).first()["n"]
+    bad = F.lit(False)
+    for f in schema.fields:
+        bad = bad | (~_missing(f) & _value(f).isNull())
+    return _cells(spark, path, schema).where(bad).count()
 
 
 def read_panel(spark: SparkSession, folder: str, fmt: str = "csv") -> DataFrame:
@@ -68,8 +102,7 @@ def read_inputs(spark: SparkSession, folder: str, fmt: str = "csv") -> Inputs:
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
-    """Overwrite a derived table. Panel-grain tables are partitioned by quarter so a quarter-range
-    filter prunes files."""
+    """Overwrite a derived table, in folders by ``partition_by``, so that a filter on it prunes files."""
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -81,6 +114,34 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
         w.parquet(path)
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has ended."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def write_whole(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet beside ``path`` and rename it into place. A reader finds all of it or nothing, and of
+    two applications that do the same work the first one's result stays."""
+    spark, fs_path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    at, _, name = path.rpartition("/")
+    beside, target = f"{at}/_{name.replace('=', '-')}-{uuid.uuid4().hex}", fs_path(path)
+    df.write.parquet(beside)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target) and not written(spark, path):
+        fs.delete(target, True)  # a write that never ended
+    if fs.exists(target) or not fs.rename(fs_path(beside), target):
+        remove(spark, beside)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what was written at ``path``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_inputs(inputs: Inputs, folder: str, fmt: str = "parquet") -> None:
+    """Write the eight inputs as ``read_inputs`` reads them, with the declared columns."""
     for attr, name in _FILES.items():
-        write_table(getattr(inputs, attr), f"{folder.rstrip('/')}/{name}.{fmt}", fmt=fmt)
+        columns = schemas.INPUTS[name].names
+        write_table(getattr(inputs, attr).select(*columns), f"{folder.rstrip('/')}/{name}.{fmt}", fmt=fmt)

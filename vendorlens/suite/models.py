@@ -2,8 +2,8 @@
 
 SQL-checked: folds, class weights, preparation statistics, category levels, AUC and ROC of the
 benchmark score. ML keys (random forest, logistic regression, importances, what-if) are
-rows-only and use the library defaults (400 trees, depth 30, up to 3000 iterations). The out-of-sample scores
-and the final forest are fitted once per application and stored.
+rows-only and use the library defaults (400 trees, depth 30, up to 3000 iterations). The out-of-sample scores are
+stored fold by fold and the final forest when it is fitted; a later run goes on from there.
 """
 from __future__ import annotations
 
@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from oraclesql.ctes import cte, with_ctes
 from vendorlens import constants as K
 from vendorlens.operators import stats as ST
+from vendorlens.plans import exports as X
 from vendorlens.plans import panel as P
 from vendorlens.plans import portfolio as G
 from vendorlens.plans import scoring as SC
 from vendorlens.plans import stored
 from vendorlens.registry import register
+from vendorlens.sources.io import written
 from vendorlens.suite.risk import PROB, fscored
 
 # Numeric panel features in schema order (M1); a test checks this against the panel schema.
@@ -116,25 +118,33 @@ def auc_benchmark(spark, sf):
 
 @register("roc_curve", with_ctes("""
 SELECT 'benchmark' AS model, score AS threshold, fp / n_neg AS fpr, tp / n_pos AS tpr FROM (
-  SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS n_pos, sum(neg) OVER () AS n_neg
+  SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS n_pos, sum(neg) OVER () AS n_neg,
+    row_number() OVER (ORDER BY score DESC) = 1 OR lead(pos) OVER (ORDER BY score DESC) IS NULL
+      OR lead(pos) OVER (ORDER BY score DESC) <> pos OR lead(neg) OVER (ORDER BY score DESC) <> neg AS corner
   FROM (SELECT prob_benchmark AS score, count_if(target_delivery_failure_next_q = 1) AS pos,
           count_if(target_delivery_failure_next_q = 0) AS neg
         FROM m_fsc WHERE prob_benchmark IS NOT NULL AND target_delivery_failure_next_q IS NOT NULL GROUP BY 1) s
   WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) t
-WHERE n_pos > 0 AND n_neg > 0
+WHERE n_pos > 0 AND n_neg > 0 AND corner
 UNION ALL
 SELECT 'benchmark', NULL, 0.0, 0.0 FROM m_fsc
 WHERE prob_benchmark IS NOT NULL AND target_delivery_failure_next_q IS NOT NULL
 HAVING count_if(target_delivery_failure_next_q = 1) > 0 AND count_if(target_delivery_failure_next_q = 0) > 0""",
                                    "m_fsc"))
 def roc_curve(spark, sf):
-    """ROC points of the benchmark (all distinct scores, plus the origin)."""
+    """ROC curve of the benchmark: its corners and the origin."""
     return ST.roc_points(fscored(spark, sf), {"benchmark": PROB}, K.TARGET)
 
 
 # ---------------------------------------------------------------- ML keys (rows-only checks)
+def _named(kind: str) -> str:
+    return f"{kind}-" + "-".join(str(v) for v in (KEY_PARAMS.num_trees, KEY_PARAMS.max_depth, KEY_PARAMS.min_leaf, KEY_PARAMS.seed,
+                                                  KEY_PARAMS.lr_c, KEY_PARAMS.lr_max_iter))
+
+
 def _oos(spark, sf):
-    return stored.once(spark, sf, "oos", lambda: SC.oos_scores(spark, _panel(spark, sf), KEY_PARAMS))
+    path = stored.resumed_at(spark, sf, _named("oos"), lambda at: SC.store_folds(_panel(spark, sf), KEY_PARAMS, at))
+    return SC.read_folds(spark, path)
 
 
 def _oos_panel(spark, sf):
@@ -145,8 +155,10 @@ def _oos_panel(spark, sf):
 
 
 def _final(spark, sf):
-    path = stored.once_at(spark, sf, "forest", lambda at: SC.save_model(*SC.final_model(_panel(spark, sf), KEY_PARAMS), at))
-    return SC.load_model(spark, path)
+    def fit(at):
+        if not written(spark, f"{at}/prep"):  # written last
+            SC.save_model(*SC.final_model(_panel(spark, sf), KEY_PARAMS), at)
+    return SC.load_model(spark, stored.resumed_at(spark, sf, _named("forest"), fit))
 
 
 @register("oos_scores")
@@ -169,10 +181,10 @@ def lr_scores(spark, sf):
 
 @register("model_metrics")
 def model_metrics(spark, sf):
-    """AUCs, scored rows, base rate and scored quarters as one record."""
-    out = SC.metrics_record(_oos_panel(spark, sf), {"rf": "prob_rf", "lr": "prob_lr", "benchmark": PROB})
-    return out.select("n", "base_rate", F.array_join("quarters", ",").alias("quarters"),
-                      *[F.col("auc")[m].alias(f"auc_{m}") for m in ("rf", "lr", "benchmark")])
+    """AUCs, scored rows, base rate and scored quarters, written as a JSON record and read back."""
+    path = stored.once_at(spark, sf, _named("metrics"), lambda at: X.write_metrics(SC.metrics_record(
+        _oos_panel(spark, sf), {"rf": "prob_rf", "lr": "prob_lr", "benchmark": PROB}), at))
+    return X.read_metrics(spark, path).withColumn("quarters_scored", F.array_join("quarters_scored", ","))
 
 
 @register("auc_models")
@@ -208,6 +220,13 @@ def lever_sensitivity(spark, sf):
     return SC.lever_sensitivity(_latest_rows(spark, sf), prep, model)
 
 
+@register("lever_sensitivity_adjusted")
+def lever_sensitivity_adjusted(spark, sf):
+    """L1 around the adjusted row: the levers swing while the others stand where the scenario put them."""
+    prep, model = _final(spark, sf)
+    return SC.lever_sensitivity(SC.adjusted_rows(_latest_rows(spark, sf), prep, SCENARIO), prep, model)
+
+
 @register("scenario_rescore")
 def scenario_rescore(spark, sf):
     """L2: base vs scenario probability (+10 pp on-time, +5 credit) for every latest-quarter supplier."""

@@ -9,8 +9,8 @@ from vendorlens.plans import marts as M
 from vendorlens.plans import portfolio as G
 from vendorlens.plans import stored
 from vendorlens.plans import reports as R
+from vendorlens.plans import supplier360 as B
 from vendorlens.registry import register
-from vendorlens.sources.adapter import load_inputs
 from vendorlens.suite.risk import PROB, fscored
 
 # Example selections exercised by the filter keys.
@@ -78,7 +78,7 @@ WHERE e.supplier_id IN (SELECT supplier_id FROM m_sup WHERE abc_class IN ('A', '
                         AND business_size IN ('Large', 'Medium'))""", "x_event", "m_dq", "m_sup"))
 def events_filtered(spark, sf):
     """Events of the selection; events in quarters outside the axis drop out."""
-    kept = FL.fevents(load_inputs(spark, sf).event, stored.suppliers(spark, sf), stored.axis(spark, sf), SEL_EVENTS)
+    kept = FL.fevents(stored.inputs(spark, sf).event, stored.suppliers(spark, sf), stored.axis(spark, sf), SEL_EVENTS)
     return kept.select("event_id", "supplier_id", "fiscal_quarter", "qi", "severity")
 
 
@@ -170,6 +170,30 @@ def worst_performers(spark, sf):
     return R.worst_performers(stored.suppliers(spark, sf))
 
 
+def _shown(x: str, digits: int) -> str:
+    return f"round_even(({x}) * {10 ** digits}.0::DOUBLE, 0) / {10 ** digits}.0::DOUBLE"
+
+
+@register("worst_performers_display", with_ctes(f"""
+SELECT supplier_id, supplier_name, {_shown('otif_rate * 100', 1)} AS otif_pct, avg_delay_days,
+  {_shown('CAST(total_spend_inr AS DOUBLE) / 1e7', 1)} AS spend_cr
+FROM m_sup WHERE otif_rate IS NOT NULL ORDER BY otif_rate, spend_rank LIMIT 12""", "m_sup"))
+def worst_performers_display(spark, sf):
+    """The table of the lowest OTIF rates as it is shown, rates and crore to one decimal."""
+    return R.displayed(R.worst_performers(stored.suppliers(spark, sf)), {"otif_pct": 1, "spend_cr": 1})
+
+
+@register("quarter_detail_display", with_ctes(f"""
+SELECT supplier_id, fiscal_quarter, qi, {_shown('on_time_rate * 100', 1)} AS on_time_pct, {_shown('in_full_rate * 100', 1)} AS in_full_pct,
+  {_shown('otif_rate * 100', 1)} AS otif_pct, {_shown('invoice_error_rate * 100', 1)} AS invoice_error_pct,
+  {_shown('CAST(spend_inr AS DOUBLE) / 1e7', 2)} AS spend_cr FROM m_sq""", "m_sq"))
+def quarter_detail_display(spark, sf):
+    """Every supplier's quarters as the page shows them, rates to one decimal, crore to two."""
+    pct = ("on_time_pct", "in_full_pct", "otif_pct", "invoice_error_pct")
+    rows = B.quarter_detail(stored.quarters(spark, sf).withColumn("spend_inr", F.col("spend_inr").cast("double")))
+    return R.displayed(rows, dict.fromkeys(pct, 1) | {"spend_cr": 2}).select("supplier_id", "fiscal_quarter", "qi", *pct, "spend_cr")
+
+
 @register("delay_quartiles_by_tier", with_ctes("""
 SELECT supplier_tier, count(avg_delay_days) AS n, min(avg_delay_days) AS min,
   quantile_cont(avg_delay_days, 0.25) AS q1, quantile_cont(avg_delay_days, 0.5) AS median,
@@ -197,7 +221,7 @@ WHERE supplier_id IN (SELECT supplier_id FROM m_sup) AND invoice_error_type <> '
 GROUP BY invoice_error_type""", "x_invoice", "m_sup"))
 def invoice_error_totals(spark, sf):
     """A19."""
-    inp, sup = load_inputs(spark, sf), stored.suppliers(spark, sf)
+    inp, sup = stored.inputs(spark, sf), stored.suppliers(spark, sf)
     return R.invoice_error_totals(M.invoice_errors(inp), FL.supplier_ids(sup, FL.Filters()))
 
 

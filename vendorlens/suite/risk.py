@@ -11,13 +11,12 @@ from oraclesql.ctes import cte, with_ctes
 from vendorlens import constants as K
 from vendorlens.functions.scalar import risk_band
 from vendorlens.plans import economics as E
-from vendorlens.plans import marts as M
+from vendorlens.plans import exports as X
 from vendorlens.plans import stored
 from vendorlens.plans import panel as P
 from vendorlens.plans import portfolio as G
 from vendorlens.plans import supplier360 as B
 from vendorlens.registry import register
-from vendorlens.sources.adapter import load_inputs
 
 PROB = "prob_benchmark"
 CHOSEN_THRESHOLD = 0.5
@@ -297,7 +296,7 @@ SELECT supplier_id, event_id, event_date, fiscal_quarter, event_type, severity,
 FROM x_event""", "x_event"))
 def incident_log(spark, sf):
     """Incidents newest first (no quarter filter, as in the 360 view)."""
-    return B.incident_log(load_inputs(spark, sf).event)
+    return B.incident_log(stored.inputs(spark, sf).event)
 
 
 @register("severity_counts", with_ctes("""
@@ -307,14 +306,14 @@ LEFT JOIN (SELECT supplier_id, severity, count(*) AS n FROM x_event GROUP BY 1,
   ON s.supplier_id = c.supplier_id AND d.severity = c.severity""", "m_sup", "x_event"))
 def severity_counts(spark, sf):
     """Incidents per supplier and severity, zeros included."""
-    return B.severity_counts(stored.suppliers(spark, sf), load_inputs(spark, sf).event)
+    return B.severity_counts(stored.suppliers(spark, sf), stored.inputs(spark, sf).event)
 
 
 @register("events_quarter_severity", with_ctes("""
 SELECT supplier_id, fiscal_quarter, severity, count(*) AS n FROM x_event GROUP BY 1, 2, 3""", "x_event"))
 def events_quarter_severity(spark, sf):
     """A24."""
-    return B.events_quarter_severity(load_inputs(spark, sf).event)
+    return B.events_quarter_severity(stored.inputs(spark, sf).event)
 
 
 _PEER_UNION = " UNION ALL ".join(
@@ -345,3 +344,33 @@ def supplier_history(spark, sf):
     s = stored.scored_panel(spark, sf)
     return s.select("supplier_id", "fiscal_quarter", "qi", (F.col("on_time_rate") * 100).alias("on_time_pct"),
                     "external_credit_score", (F.col(PROB) * 100).alias("risk_pct"))
+
+
+def _shown(x: str, digits: int) -> str:
+    return f"round_even(({x}) * {10 ** digits}.0::DOUBLE, 0) / {10 ** digits}.0::DOUBLE"
+
+
+@register("watchlist_export", with_ctes(f"""
+SELECT supplier_name, supplier_tier, primary_category, prob_benchmark AS failure_probability,
+  CASE WHEN prob_benchmark >= 0.7 THEN 'Critical' WHEN prob_benchmark >= 0.45 THEN 'High'
+       WHEN prob_benchmark >= 0.2 THEN 'Moderate' ELSE 'Low' END AS risk_band,
+  spend_share_of_quarter_pct, is_sole_source, num_alternate_suppliers, {_shown('on_time_rate * 100', 1)} AS on_time_rate,
+  external_credit_score, {_shown('CAST(total_spend_inr AS DOUBLE) / 1e7', 2)} AS total_spend_inr
+FROM m_fsc WHERE qi = (SELECT max(qi) FROM m_fsc) AND prob_benchmark >= {CHOSEN_THRESHOLD!r}""", "m_fsc"))
+def watchlist_export(spark, sf):
+    """The watchlist at the chosen threshold as the exported CSV file holds it."""
+    flagged = E.prioritised(fscored(spark, sf), PROB).where(F.col(PROB) >= CHOSEN_THRESHOLD)
+    table = X.watchlist_table(flagged, PROB)
+    path = stored.once_at(spark, sf, "watchlist-csv", lambda at: X.export(table, X.WATCHLIST, at))
+    return X.exported(spark, path, table)
+
+
+@register("segment_export", with_ctes(f"""
+SELECT supplier_name, supplier_tier, primary_category, region, prob_benchmark AS failure_probability, spend_share_of_quarter_pct,
+  is_sole_source, num_alternate_suppliers, {_shown('on_time_rate * 100', 1)} AS on_time_rate, external_credit_score
+FROM m_quadrant WHERE quadrant = 'Leverage'""", "m_quadrant"))
+def segment_export(spark, sf):
+    """One quadrant's suppliers as the exported CSV file holds them."""
+    table = X.segment_table(G.kraljic_quadrants(fscored(spark, sf), PROB), PROB, "Leverage")
+    path = stored.once_at(spark, sf, "segment-csv", lambda at: X.export(table, X.SEGMENT, at))
+    return X.exported(spark, path, table)

@@ -5,12 +5,11 @@ from pyspark.sql import functions as F
 
 from oraclesql.ctes import cte, with_ctes
 from vendorlens import constants as K
-from vendorlens.plans import marts as M
+from vendorlens.plans import exports as X
 from vendorlens.plans import stored
 from vendorlens.plans import scorecard as S
 from vendorlens.registry import register
 from vendorlens.session import materialize
-from vendorlens.sources.adapter import load_inputs
 
 ALT_WEIGHTS = (10.0, 10.0, 70.0, 10.0)  # invoice accuracy dominant: the "different story" case
 SEARCH_GRADES = ["B — Maintain", "C — Develop"]
@@ -180,7 +179,7 @@ FROM (SELECT b.supplier_id, b.composite_score AS base_composite, b.rank AS base_
                              FROM m_ws) w ON true) t""")
 
 
-@register("weight_sweep", with_ctes("""
+cte("m_sweep", ["m_ws", "m_sweep_rows"], """
 SELECT w.*, r.rank_corr, t.bottom_retained, t.k, t.bottom_retained / t.k AS bottom_retention
 FROM m_ws w
 LEFT JOIN (SELECT weight_id, corr(r_now, r_base) AS rank_corr FROM (
@@ -194,7 +193,34 @@ LEFT JOIN (SELECT weight_id, corr(r_now, r_base) AS rank_corr FROM (
 LEFT JOIN (SELECT weight_id, count_if(rank > n - k AND base_rank > n - k) AS bottom_retained, k FROM (
     SELECT *, CAST(greatest(3, least(30, floor(n / 10))) AS BIGINT) AS k FROM (
       SELECT *, count(*) OVER (PARTITION BY weight_id) AS n FROM m_sweep_rows) a) b GROUP BY weight_id, k) t
-  ON w.weight_id = t.weight_id""", "m_ws", "m_sweep_rows"))
+  ON w.weight_id = t.weight_id""")
+
+
+@register("weight_sweep", with_ctes("SELECT * FROM m_sweep", "m_sweep"))
 def weight_sweep(spark, sf):
     """800 deterministic weight sets, rank correlation and bottom-k retention against the base."""
     return S.weight_sweep(_sup(spark, sf), SWEEP_SETS)
+
+
+@register("weight_sweep_summary", with_ctes("""
+SELECT count(*) AS weight_sets, avg(rank_corr) AS mean_rank_corr, min(rank_corr) AS min_rank_corr,
+  avg(bottom_retention) AS mean_bottom_retention, min(bottom_retention) AS min_bottom_retention FROM m_sweep""", "m_sweep"))
+def weight_sweep_summary(spark, sf):
+    """The sweep in one row."""
+    return S.sweep_summary(S.weight_sweep(_sup(spark, sf), SWEEP_SETS))
+
+
+def _shown(x: str, digits: int) -> str:
+    return f"round_even(({x}) * {10 ** digits}.0::DOUBLE, 0) / {10 ** digits}.0::DOUBLE"
+
+
+@register("scorecard_export", with_ctes(f"""
+SELECT rank, supplier_name, supplier_tier, primary_category, abc_class, composite_score, delivery_score, quality_score,
+  invoice_score, financial_score, {_shown('otif_rate * 100', 1)} AS otif_rate, {_shown('invoice_accuracy * 100', 1)} AS invoice_accuracy,
+  external_credit_score, {_shown('CAST(total_spend_inr AS DOUBLE) / 1e7', 2)} AS total_spend_inr, rank_move, grade
+FROM m_moves""", "m_moves"))
+def scorecard_export(spark, sf):
+    """The ranking as the exported CSV file holds it."""
+    table = X.scorecard_table(_moves(spark, sf))
+    path = stored.once_at(spark, sf, "scorecard-csv", lambda at: X.export(table, X.SCORECARD, at))
+    return X.exported(spark, path, table)
