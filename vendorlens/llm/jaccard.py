@@ -15,11 +15,11 @@
 4. The links' connected components are the groups.
 
 Copies are never expanded. Hot cells, pivots and classes meet only in sums, or in joins whose skewed
-partitions Spark splits. Tables are broadcast below ``BROADCAST_ROWS`` rows, after counting.
+partitions Spark splits. Tables are broadcast only below ``tables.SMALL_BYTES``, as measured over their rows.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; a text of fewer than
 ``k`` words has its word sequence as its only shingle; repeated rows get a result each; a null doc_id never
-names a group (the group's least id that is not null does, else null).
+names a group (the group's least id that is not null does; a group without any links with nothing and has none).
 """
 from __future__ import annotations
 
@@ -31,26 +31,21 @@ from pyspark.sql import types as T
 
 from vendorlens.llm.components import components
 from vendorlens.llm.shingles import RING_BITS, cells, shingle_sets
-from vendorlens.llm.tables import release, stored
+from vendorlens.llm.tables import release, small, stored
 from vendorlens.llm.textarrays import mix64, per_text
 
-BROADCAST_ROWS = 500_000
 TRIMS = 2  # rounds of dropping sets that share too few cells
 U64 = np.uint64
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _classes(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """One hash per set, whatever the order of its members."""
     total = np.r_[np.zeros(1, U64), np.cumsum(mix64(h + U64(0x2545F491)), dtype=U64)]
     return mix64(total[cut[1:]] - total[cut[:-1]] + mix64(np.diff(cut).astype(U64)))
 
 
-def _signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, ``n`` (shingles), ``cls`` (null without shingles), ``cells`` and ``needs`` (ring, need)."""
+def _signatures(docs: DataFrame, k: int, num: int, den: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep``, ``n`` (shingles), ``cls`` (null without shingles), ``cells`` and ``needs`` (ring, need)."""
     def make():
         def fn(texts):
             ns, classes, lists, needs = [], [], [], []
@@ -66,9 +61,9 @@ def _signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             return [pa.array(np.concatenate(ns).astype(np.int64)), *map(pa.concat_arrays, (classes, lists, needs))]
         return fn
     need = T.StructType([T.StructField("ring", T.LongType()), T.StructField("need", T.LongType())])
-    out = per_text(docs, ["doc_id"], [("n", T.LongType()), ("cls", T.LongType()), ("cells", T.ArrayType(T.LongType())),
+    out = per_text(docs, ["doc_id", *keep], [("n", T.LongType()), ("cls", T.LongType()), ("cells", T.ArrayType(T.LongType())),
                                       ("needs", T.ArrayType(need))], make)
-    return out.select("doc.doc_id", "n", "cls", "cells", "needs")
+    return out.select("doc.doc_id", *[f"doc.{c}" for c in keep], "n", "cls", "cells", "needs")
 
 
 def _lists(row: np.ndarray, n: int, values) -> pa.ListArray:
@@ -88,7 +83,7 @@ def _sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
                 sets += [h[a:b].tobytes() for a, b in zip(cut, cut[1:])]
             return [pa.array(np.concatenate(classes)), pa.array(sets, pa.binary())]
         return fn
-    wanted = _small(members.select(F.col("rep").alias("doc_id"), F.col("cls").alias("wanted")))
+    wanted = small(members.select(F.col("rep").alias("doc_id"), F.col("cls").alias("wanted")))
     rows = docs.select("doc_id", "text").join(wanted, "doc_id")
     out = per_text(rows, ["wanted"], [("cls", T.LongType()), ("set", T.BinaryType())], make)
     return out.where("cls = doc.wanted").select("cls", "set").dropDuplicates(["cls"])
@@ -159,10 +154,10 @@ def _members(signed: DataFrame, classes: DataFrame) -> DataFrame:
     copies = signed.join(classes.where("c > 1"), "cls").where("doc_id is null or doc_id <> rep").select("doc_id", "cls").distinct()
     copies = stored(copies)
     same = signed["doc_id"].eqNullSafe(F.col("copy")) & (signed["cls"] == F.col("copied"))
-    once = signed.join(_small(copies.select(F.col("doc_id").alias("copy"), F.col("cls").alias("copied"))), same, "left_anti")
+    once = signed.join(small(copies.select(F.col("doc_id").alias("copy"), F.col("cls").alias("copied"))), same, "left_anti")
     dealt = once.select("cls", F.explode("cells").alias("cell"))
     shared = stored(dealt.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"))
-    members = stored(dealt.join(_small(shared), "cell").distinct().withColumn("ring", F.col("cell").bitwiseAND((1 << RING_BITS) - 1)))
+    members = stored(dealt.join(small(shared), "cell").distinct().withColumn("ring", F.col("cell").bitwiseAND((1 << RING_BITS) - 1)))
     release(copies, shared)
     needs = signed.select("cls", F.inline("needs")).distinct()
     for _ in range(TRIMS):
@@ -203,14 +198,15 @@ def _links(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int, num:
     return links, (regions, known, sets, *read)
 
 
-def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): ``n_shingles``, ``cls`` (the set's class, null without shingles) and
-    ``component_id``, the least doc_id reachable by links; sets link at Jaccard similarity >= num / den."""
-    signed = stored(_signatures(docs, k, num, den))
+def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): ``n_shingles``, ``cls`` (the set's class, null without shingles), ``root``
+    (the class that names the group) and ``component_id``, the least doc_id reachable by links; sets link at Jaccard
+    similarity >= num / den. Columns ``keep`` of ``docs`` stay."""
+    signed = stored(_signatures(docs, k, num, den, keep))
     kept = signed.where("cls is not null")
     classes = stored(kept.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")))
     members = _members(kept, classes)
-    slim = stored(signed.select("doc_id", "n", "cls"))
+    slim = stored(signed.select("doc_id", *keep, "n", "cls"))
     release(signed)
     kept, signed = slim.where("cls is not null"), slim
     links, read = _links(docs, members, classes, k, num, den)
@@ -218,14 +214,25 @@ def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     release(members, *read)
     named = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "root").select("cls", "component_id")
-    out = kept.select("doc_id", "n", "cls").join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), "cls", "component_id")
-    bare = signed.where("cls is null").select("doc_id", F.col("n").alias("n_shingles"), "cls", F.col("doc_id").alias("component_id"))
+    named = named.join(least, "root").select("cls", "root", "component_id")
+    out = kept.select("doc_id", *keep, "n", "cls").join(named, "cls").select(
+        "doc_id", *keep, F.col("n").alias("n_shingles"), "cls", "root", "component_id")
+    bare = signed.where("cls is null").select("doc_id", *keep, F.col("n").alias("n_shingles"), "cls", F.col("cls").alias("root"),
+                                              F.col("doc_id").alias("component_id"))
     return out.unionByName(bare)
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with the least doc_id of each group; rows that repeat a doc_id are one document, and rows
-    without id stay."""
-    ids = groups(docs.where("doc_id is not null"), k, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(ids, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """``docs`` with one document of each group: the row with the least doc_id, of different texts under that id the one
+    with the least hash, of rows equal in both the least in its other columns. Texts that share an id without being
+    near copies are documents of their own; so is each text without shingles; rows without id stay."""
+    hashed = docs.withColumn("__text", F.xxhash64("text"))
+    rows = stored(groups(hashed.where("doc_id is not null").select("doc_id", "text", "__text"), k, num, den, ("__text",)))
+    texts = rows.groupBy("doc_id", "__text").agg(F.count("*").alias("c"), F.first("root").alias("root"))
+    first = texts.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "__text", "c")).alias("k")).select("k.*")
+    lead = stored(first.unionByName(texts.where("root is null").select("doc_id", "__text", "c")))
+    key = ["doc_id", "__text"]
+    once = hashed.join(small(lead.where("c = 1").select(*key)), key, "left_semi").select(*docs.columns)
+    again = hashed.join(small(lead.where("c > 1").select(*key)), key, "left_semi").groupBy(*key).agg(
+        F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
+    return once.unionByName(again).unionByName(docs.where("doc_id is null"))

@@ -9,8 +9,8 @@ from its start, round again, up to the target. A source's weight schedule over t
 is its cumulative demand; its inverse turns a place on the line into a training position in [0, 1), and
 the documents are range-sorted by position.
 
-A source may hold any share of the rows: running sums go over (source, hash bin), so that no window holds
-more than a 4096th of a source, and the bins' sums are pre-aggregated.
+A source may hold any share of the rows: running sums go over (source, hash bin of the id), 4096 bins a source, and the
+bins' sums are pre-aggregated. Rows that share one id, or have none, share a bin.
 
 Defined results: a null text has no words; a document without words takes nothing and has no position;
 a null source is the last source; repeated rows are separate documents; the order hashes the id, ties by
@@ -73,8 +73,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, c
         carry: Sequence[str] = ()) -> DataFrame:
     """One row per document (doc_id, source, size, source_size, target, taken, position, position_2), sorted
     by ``position``: when its first words come. ``position_2`` is its place in the second round, if any.
-    ``cap`` of at most 2 rounds; ``carry`` names further columns to keep, in front."""
-    sized = docs.select(*carry, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
+    ``cap`` of at most 2 rounds; ``carry`` names further columns to keep, in front; one that is named like a result
+    comes as ``doc_<name>``."""
+    if cap > 2:
+        raise ValueError("the mix goes round the documents twice at most")
+    carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None)
+    sized = docs.select(carried.alias("__doc"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
                         F.md5(id_text().cast("binary")).alias("order"))
     sized = sized.withColumn("bin", F.substring("order", 1, 3))
     bins = sized.select("source", "bin", "size").groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
@@ -97,6 +101,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, c
         return F.round(F.when(taken > 0, due), 9)
 
     rows = rows.withColumn("first", part(F.lit(0))).withColumn("again", part(F.col("source_size")))
-    return rows.select(*carry, "doc_id", "source", "size", "source_size", "target", (F.col("first") + F.col("again")).alias("taken"),
+    taken_names = ("size", "source_size", "target", "taken", "position", "position_2")
+    kept = [F.col(f"__doc.`{c}`").alias(f"doc_{c}" if c in taken_names else c) for c in carry]
+    return rows.select(*kept, "doc_id", "source", "size", "source_size", "target", (F.col("first") + F.col("again")).alias("taken"),
                        when_due(F.col("first"), F.lit(0)).alias("position"),
                        when_due(F.col("again"), F.col("source_size")).alias("position_2")).orderBy(F.asc_nulls_last("position"), "doc_id")
