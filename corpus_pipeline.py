@@ -45,8 +45,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in training order with what the mix takes of each."""
-    return mixing.mix(docs, carry=["text", "lang"])
+    """The documents in training order, with all their columns and what the mix takes of each."""
+    return mixing.mix(docs, carry=[c for c in docs.columns if c not in ("doc_id", "source")])
 
 
 STAGES = [
