@@ -27,7 +27,7 @@ def train(docs: DataFrame, labels: DataFrame, grade, allowed, grades: int, max_r
 def score(spark: SparkSession, docs: DataFrame, model: Ordinal, keep: list[str], select_from: int = 1) -> DataFrame:
     """Struct ``doc`` with the kept columns, ``expected_grade``, ``tails`` (P(grade > k) for ascending k) and
     ``tail_prob`` = P(grade >= select_from)."""
-    held = spark.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
+    held = spark.sparkContext.broadcast(model)  # the weights that the sample supports
 
     def make():
         m: Ordinal = held.value

@@ -49,7 +49,7 @@ def train(docs: DataFrame, labels: DataFrame, grade, allowed, terms=IDENTITY_TER
 
 def score(spark: SparkSession, docs: DataFrame, model: Ordinal, keep: list[str]) -> DataFrame:
     """Struct ``doc`` with the kept columns, ``score`` in [0, 1] and ``predicted`` (score >= 0.5)."""
-    held = spark.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
+    held = spark.sparkContext.broadcast(model)  # the weights that the sample supports
 
     def make():
         m: Ordinal = held.value
