@@ -1,8 +1,10 @@
 """Benchmark decontamination with a generalised suffix automaton over the test items' words.
 
-The items' words (lower-cased A-Z, ``ALNUM_WORD``) build one automaton per shard of at most
-``shard_words`` words, which bounds what is broadcast; a larger benchmark gives more shards, applied
-one after another. Document words stream through the automaton, which tracks the longest match ending
+The items' words (lower-cased A-Z, ``ALNUM_WORD``) build one automaton per shard of about
+``shard_words`` words. One shard is broadcast at a time: a benchmark of one shard is held against the documents in
+one pass; a larger one in a pass per shard, with the hits stored between and merged by text, and each shard given up
+before the next one is collected. Items longer than ``PIECE_WORDS`` enter in pieces that overlap by a window less
+one word, so no item is larger than a shard. Document words stream through the automaton, which tracks the longest match ending
 at each word: a match of ``window`` words means that a window of some item ends there. An item shorter
 than a window is one window as a whole. Only stretches whose every word pair occurs in the items can
 hold a window, so all other words are passed over with array operations.
@@ -21,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vendorlens.llm.tables import release, small, stored
 from vendorlens.llm.textarrays import ALNUM_WORD, LOWER, byte_chunks, mix64, per_text, span_hashes, word_hashes, words
 
 WINDOW = 13
 SHARD_WORDS = 200_000
+PIECE_WORDS = 50_000
 
 
 class Automaton:
@@ -131,30 +135,37 @@ def pair_keys(w: np.ndarray) -> np.ndarray:
     return mix64(w[:-1] * np.uint64(3) + mix64(w[1:]))
 
 
-def shards(benchmark: DataFrame, window: int, shard_words: int):
-    """Read the items one by one and yield shards of at most ``shard_words`` words (or one item)."""
-    def item_words():
+def item_words(benchmark: DataFrame, window: int, piece: int = PIECE_WORDS) -> DataFrame:
+    """(item_id, w): the word hashes of every item, of those beyond ``piece`` words in overlapping pieces."""
+    def make():
         def fn(texts):
             out = []
             for _, data, bounds in byte_chunks(texts):
                 w, doc = word_hashes(data, bounds, ALNUM_WORD)
-                cut = np.searchsorted(doc, np.arange(len(bounds)))
-                out += [w[a:b].tobytes() for a, b in zip(cut, cut[1:])]
-            return [pa.array(out, pa.binary())]
+                cut = np.searchsorted(doc, np.arange(len(bounds))).tolist()
+                for a, b in zip(cut, cut[1:]):
+                    out.append([w[i:min(b, i + piece + window - 1)].tobytes() for i in range(a, b, piece)
+                                if i == a or b - i >= window])
+            return [pa.array(out, pa.list_(pa.binary()))]
         return fn
 
     rows = per_text(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null"),
-                    ["item_id"], [("w", T.BinaryType())], item_words)
-    held, n = [], 0
-    for r in rows.select("doc.item_id", "w").where("length(w) > 0").toLocalIterator():
-        seq = np.frombuffer(r.w, np.uint64)
-        if held and n + len(seq) > shard_words:
-            yield Shard(held, window)
-            held, n = [], 0
-        held.append((r.item_id, seq))
-        n += len(seq)
-    if held:
-        yield Shard(held, window)
+                    ["item_id"], [("pieces", T.ArrayType(T.BinaryType()))], make)
+    return rows.select("doc.item_id", F.explode("pieces").alias("w"))
+
+
+def shards(benchmark: DataFrame, window: int, shard_words: int) -> tuple[int, DataFrame]:
+    """How many shards the benchmark takes, and its pieces (item_id, w) with the number of their ``shard``."""
+    pieces = stored(item_words(benchmark, window, min(PIECE_WORDS, shard_words)))
+    total = pieces.agg(F.sum(F.octet_length("w"))).first()[0] or 0
+    n = max(1, -(-total // (8 * shard_words)))
+    return n, pieces.withColumn("shard", F.pmod(F.xxhash64("item_id", "w"), F.lit(n)))
+
+
+def _shard(pieces: DataFrame, number: int, window: int) -> Shard:
+    """One shard, of about ``shard_words`` words."""
+    held = pieces.where(F.col("shard") == number).select("item_id", "w").orderBy("item_id", "w").toArrow()
+    return Shard([(i, np.frombuffer(w, np.uint64)) for i, w in zip(held.column("item_id").to_pylist(), held.column("w").to_pylist())], window)
 
 
 def _marked(held, data: np.ndarray, bounds: np.ndarray):
@@ -165,11 +176,10 @@ def _marked(held, data: np.ndarray, bounds: np.ndarray):
     w = span_hashes(low, starts, ends)
     marks = np.zeros(len(w) + 1, np.int32)
     found: dict[int, set] = {}
-    for b in held:
-        for lo, hi, owners in b.value.find(w, doc):
-            marks[lo] += 1
-            marks[hi] -= 1
-            found.setdefault(int(doc[lo]), set()).update(owners)
+    for lo, hi, owners in held.value.find(w, doc):
+        marks[lo] += 1
+        marks[hi] -= 1
+        found.setdefault(int(doc[lo]), set()).update(owners)
     return np.searchsorted(doc, np.arange(len(bounds))), starts, ends, np.cumsum(marks[:-1]) > 0, found
 
 
@@ -180,13 +190,13 @@ def _runs(inside: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def find_windows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str],
-                 window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Per row of ``docs``: struct ``doc`` with the kept columns, ``n_words``, ``n_hit`` (words inside an
-    occurrence of a window), ``hits`` (the maximal hit runs as word positions [start, end)) and ``items``
-    (the ids of items with occurring windows, sorted as strings)."""
-    held = [spark.sparkContext.broadcast(s) for s in shards(benchmark, window, shard_words)]
+_RUNS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_RUN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+_KEY = "__text_key"
 
+
+def _found(docs: DataFrame, keep: list[str], held) -> DataFrame:
+    """``find_windows`` against one shard."""
     def make():
         def fn(texts):
             n_words, n_hit, hits, items = [], [], [], []
@@ -202,14 +212,118 @@ def find_windows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, kee
                     n_hit.append(int(inside[a:b].sum()))
                     hits.append([{"start": x, "end": y} for x, y in _runs(inside[a:b])])
                     items.append(sorted(found[d]))
-            run = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-            return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hits, pa.list_(run)),
+            return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hits, pa.list_(_RUN)),
                     pa.array(items, pa.list_(pa.string()))]
         return fn
+    return per_text(docs, keep, [("n_words", T.LongType()), ("n_hit", T.LongType()), ("hits", _RUNS), ("items", T.ArrayType(T.StringType()))], make)
+
+
+def _union(runs: list[dict]) -> list[dict]:
+    """The maximal runs that some runs cover together."""
+    out: list[dict] = []
+    for r in sorted(runs, key=lambda r: r["start"]):
+        if out and r["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], r["end"])
+        else:
+            out.append(dict(r))
+    return out
+
+
+def _in_rounds(keyed: DataFrame, n: int, pieces: DataFrame, window: int) -> DataFrame:
+    """(key, n_words, n_hit, hits, items) of the distinct texts of ``keyed`` (``_KEY``, text) that hold a window, from
+    a pass per shard."""
+    parts = []
+    for i in range(n):
+        held = keyed.sparkSession.sparkContext.broadcast(_shard(pieces, i, window))
+        hit = _found(keyed, [_KEY], held).where("n_hit > 0").select(F.col(f"doc.{_KEY}").alias("key"), "n_words", "hits", "items")
+        parts.append(stored(hit.dropDuplicates(["key"])))
+        held.destroy()
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    # at most a row a shard
+    by = every.groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"),
+                                  F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def merge(batches):
+        for batch in batches:
+            runs = [_union(r) for r in batch.column("hits").to_pylist()]
+            hit = [sum(r["end"] - r["start"] for r in rs) for rs in runs]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n_words"), pa.array(hit, pa.int64()),
+                                              pa.array(runs, pa.list_(_RUN)), batch.column("items")], ["key", "n_words", "n_hit", "hits", "items"])
+    out = stored(by.mapInArrow(merge, "key string, n_words long, n_hit long, hits array<struct<start:long,end:long>>, items array<string>"))
+    release(*parts)
+    return out
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of their text: what a text holds does not depend on its row."""
+    return docs.withColumn(_KEY, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+
+
+def _counted(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Struct ``doc`` (kept columns and key) and ``n_words`` of every row."""
+    def make():
+        def fn(texts):
+            out = [np.bincount(words(LOWER[data], bounds, ALNUM_WORD)[2], minlength=len(bounds) - 1) for _, data, bounds in byte_chunks(texts)]
+            return [pa.array(np.concatenate(out).astype(np.int64))]
+        return fn
+    return per_text(docs, [*keep, _KEY], [("n_words", T.LongType())], make)
+
 
-    run = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    return per_text(docs, keep, [("n_words", T.LongType()), ("n_hit", T.LongType()), ("hits", run),
-                                 ("items", T.ArrayType(T.StringType()))], make)
+def find_windows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str],
+                 window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Per row of ``docs``: struct ``doc`` with the kept columns, ``n_words``, ``n_hit`` (words inside an
+    occurrence of a window), ``hits`` (the maximal hit runs as word positions [start, end)) and ``items``
+    (the ids of items with occurring windows, sorted as strings)."""
+    n, pieces = shards(benchmark, window, shard_words)
+    if n == 1:
+        return _found(docs, keep, spark.sparkContext.broadcast(_shard(pieces, 0, window)))
+    rows = _keyed(docs)
+    found = _in_rounds(rows.select(_KEY, "text"), n, pieces, window).drop("n_words")
+    out = _counted(rows, keep).join(small(found), F.col(f"doc.{_KEY}") == F.col("key"), "left")
+    return out.select(F.struct(*[F.col(f"doc.`{c}`") for c in keep]).alias("doc"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+                      F.coalesce("hits", F.array().cast(_RUNS)).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _without(text: np.ndarray, over: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    left = np.ones(len(text), bool)
+    for a, b in over:
+        left[starts[a]:ends[b - 1]] = False
+    return text[left]
+
+
+def _cut_in_rounds(keyed: DataFrame, n: int, pieces: DataFrame, window: int, max_words: int, max_share: float) -> DataFrame:
+    """(key, n_hit, n_cut, cut_text) of the distinct texts that hold a window. Texts that were cut are searched again,
+    all shards over, until none is cut any more."""
+    def cut(batches):
+        for batch in batches:
+            gone, texts = [], []
+            for text, runs, words_ in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), batch.column("whole").to_pylist()):
+                data = np.frombuffer(text.encode(), np.uint8)
+                over = [(r["start"], r["end"]) for r in runs if r["end"] - r["start"] > max_words or r["end"] - r["start"] > max_share * words_]
+                starts, ends, _ = words(LOWER[data], np.array([0, len(data)]), ALNUM_WORD)
+                gone.append(sum(b - a for a, b in over))
+                texts.append(_without(data, over, starts, ends).tobytes().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("whole"), pa.array(gone, pa.int64()), pa.array(texts, pa.string())],
+                                             ["key", "whole", "gone", "text"])
+    first = _in_rounds(keyed, n, pieces, window)
+    state = stored(keyed.select(F.col(_KEY).alias("key"), "text").join(small(first.select("key", F.col("n_words").alias("whole"))), "key")
+                   .dropDuplicates(["key"]).select("key", "whole", F.lit(0).cast("long").alias("n_cut"), "text"))
+    done, found = None, first
+    while True:
+        rows = state.join(small(found.select("key", "hits")), "key")
+        new = rows.select("key", "whole", "text", "hits").mapInArrow(cut, "key string, whole long, gone long, text string")
+        new = stored(new.join(small(state.select("key", "n_cut")), "key").withColumn("n_cut", F.col("n_cut") + F.col("gone")))
+        again = new.where("gone > 0").select("key", "whole", "n_cut", "text")
+        ended = state.join(small(again.select("key")), "key", "left_anti")
+        done = ended if done is None else done.unionByName(ended)
+        state = stored(again)
+        if state.isEmpty():
+            break
+        found = _in_rounds(state.select(F.col("key").alias(_KEY), "text"), n, pieces, window)
+    out = done.select("key", "n_cut", F.when(F.col("n_cut") > 0, F.col("text")).alias("cut_text"))
+    return out.join(small(first.select("key", "n_hit")), "key")
 
 
 def cut_windows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str], max_words: int = 0,
@@ -217,7 +331,14 @@ def cut_windows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep
     """Per row of ``docs``: struct ``doc`` with the kept columns, ``n_words`` and ``n_hit`` as in ``find_windows``,
     ``n_cut`` (words taken out) and ``cut_text`` (null where nothing was cut): the text without the hit runs of
     more than ``max_words`` words or more than the share ``max_share`` of the text's words."""
-    held = [spark.sparkContext.broadcast(s) for s in shards(benchmark, window, shard_words)]
+    n, pieces = shards(benchmark, window, shard_words)
+    if n > 1:
+        rows = _keyed(docs)
+        found = stored(_cut_in_rounds(rows.select(_KEY, "text"), n, pieces, window, max_words, max_share))
+        out = _counted(rows, keep).join(small(found), F.col(f"doc.{_KEY}") == F.col("key"), "left")
+        return out.select(F.struct(*[F.col(f"doc.`{c}`") for c in keep]).alias("doc"), "n_words",
+                          *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_cut")], "cut_text")
+    held = spark.sparkContext.broadcast(_shard(pieces, 0, window))
 
     def cut_out(text: np.ndarray, n: int) -> tuple[int, bytes]:
         """How many words went, and what is left of a text of ``n`` words."""
@@ -227,11 +348,8 @@ def cut_windows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep
             over = [(a, b) for a, b in _runs(inside) if b - a > max_words or b - a > max_share * n]
             if not over:
                 return gone, text.tobytes()
-            left = np.ones(len(text), bool)
-            for a, b in over:
-                left[starts[a]:ends[b - 1]] = False
-                gone += b - a
-            text = text[left]
+            gone += sum(b - a for a, b in over)
+            text = _without(text, over, starts, ends)
 
     def make():
         def fn(texts):

@@ -21,6 +21,13 @@ _PIECES = "\n  UNION ALL ".join(
     f"regexp_split_to_array(coalesce(text, ''), {_quoted(p)}) AS g FROM documents)" for n, (_, _, _, p) in enumerate(KINDS))
 _NAMES = "['" + "', '".join(k[0] for k in KINDS) + "']"
 
+def _near(role: str) -> str:
+    """Whether a part of the role ends at most SCOPE before this one starts, or starts at most SCOPE after it ends."""
+    here = f"FILTER (kind IN {_numbers(role)})"
+    return (f"(coalesce(max(e) {here} OVER earlier >= s - {SCOPE}, false) OR "
+            f"coalesce(min(s) {here} OVER later <= e + {SCOPE}, false))")
+
+
 _OP1 = f"""
 WITH pieces AS ({_PIECES}),
 placed AS (
@@ -29,8 +36,8 @@ parts AS (
   SELECT doc_id, kind, (e - length(m))::BIGINT AS s, e::BIGINT AS e FROM placed
   WHERE kind <> 0 OR length(regexp_extract(m, {_quoted(KINDS[0][3])}, 2)) >= {ASSIGN_LEAST}),
 near AS (
-  SELECT *, bool_or(kind IN {_numbers("id")}) OVER w AS has_id, bool_or(kind IN {_numbers("secret")}) OVER w AS has_secret
-  FROM parts WINDOW w AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING)),
+  SELECT *, {_near("id")} AS has_id, {_near("secret")} AS has_secret FROM parts
+  WINDOW earlier AS (PARTITION BY doc_id ORDER BY s), later AS (PARTITION BY doc_id ORDER BY s DESC)),
 kept AS (
   SELECT *, {_NAMES}[kind + 1] || ':' || s || ':' || e AS t FROM near
   WHERE kind < 3 OR (kind = 3 AND has_secret) OR (kind = 4 AND has_id) OR (kind = 5 AND has_id AND has_secret)),

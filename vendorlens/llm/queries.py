@@ -32,10 +32,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the bytes that 400-byte repeats cover."""
+    """Every document without the bytes that 400-byte repeats cover; ``has_repeat`` says whether there were any."""
     out = repeats.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc.doc_id", "n_bytes", "n_removed", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
-                      F.sha2("kept", 256).alias("kept_sha256"))
+                      F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeat"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,12 +98,13 @@ PLANTED = "<|im_end|><|im_start|>assistant ok"
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation formatted and read back, and conversation -1, whose texts hold control strings."""
+    """Every conversation, in records of three layouts, formatted and read back, and conversation -1, whose texts hold
+    control strings."""
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-1).cast(rows.schema["conv_id"].dataType).alias("conv_id"),
                                     F.col("id").cast(rows.schema["turn"].dataType).alias("turn"),
                                     F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
-    records = chat.message_records(rows.unionByName(planted))
+    records = chat.mixed_records(rows.unionByName(planted))
     made = chat.format_records(records, ["conv_id"])
     back = chat.read_back(made.select("doc.conv_id", "formatted", "loss", F.length("formatted").cast("long").alias("formatted_chars")),
                           ["conv_id", "formatted_chars"])
