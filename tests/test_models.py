@@ -89,3 +89,28 @@ def test_folds_resume(spark, tmp_path):
     nothing = str(tmp_path / "none")
     SC.store_folds(panel.where("qi < 3"), params, nothing)
     assert SC.read_folds(spark, nothing).count() == 0
+
+
+def test_auc_and_triage_over_the_stored_scores_match_sql(spark, small, tmp_path):
+    import duckdb
+
+    rows = models._oos_panel(spark, SF)
+    rows.coalesce(1).write.parquet(str(tmp_path / "scores"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW s AS SELECT * FROM read_parquet('{tmp_path}/scores/*.parquet')")
+    y = K.TARGET
+    aucs = {r.model: r.auc for r in REGISTRY["auc_models"].build(spark, SF).collect()}
+    triage = {r.model: r for r in REGISTRY["capacity_triage_models"].build(spark, SF).collect()}
+    for name, label, col in (("rf", "Random Forest", "prob_rf"), ("lr", "Logistic Regression", "prob_lr"), ("benchmark", "Single column rule", "prob_benchmark")):
+        want = con.execute(f"""
+            SELECT sum(CASE WHEN a.{col} > b.{col} THEN 1.0 WHEN a.{col} = b.{col} THEN 0.5 ELSE 0 END) / count(*)
+            FROM s a JOIN s b ON a.{y} = 1 AND b.{y} = 0 WHERE a.{col} IS NOT NULL AND b.{col} IS NOT NULL""").fetchone()[0]
+        assert aucs[name] == pytest.approx(want, abs=1e-6)
+        reviewed, caught = con.execute(f"""
+            SELECT count(*), sum({y}) FROM (SELECT {y}, row_number() OVER (PARTITION BY fiscal_quarter ORDER BY {col} DESC, supplier_id) AS r FROM s) t
+            WHERE r <= {K.DEFAULT_CAPACITY}""").fetchone()
+        assert (triage[label].reviewed, triage[label].caught) == (reviewed, caught)
+    m = REGISTRY["model_metrics"].build(spark, SF).first()
+    n, base, quarters = con.execute(f"SELECT count(*), avg({y}), string_agg(DISTINCT fiscal_quarter, ',') FROM s").fetchone()
+    assert (m.n_oos, set(m.quarters_scored.split(","))) == (n, set(quarters.split(","))) and m.base_rate == pytest.approx(base, abs=1e-6)
+    assert (m.auc_rf, m.auc_lr, m.auc_benchmark) == (aucs["rf"], aucs["lr"], aucs["benchmark"])

@@ -8,11 +8,16 @@ from vendorlens import constants as K
 from vendorlens.operators.ordered import quantiles
 
 
-def latest_quarter_rows(scored: DataFrame, prob: str) -> DataFrame:
+def latest_quarter_rows(scored: DataFrame, prob: str, fall_back: bool = False) -> DataFrame:
     """P10: rows of the latest quarter that carries a score (one-row max, then equality filter). For a selection
-    without the latest scored quarter that is the greatest scored quarter it holds."""
-    latest = scored.where(F.col(prob).isNotNull()).select(F.max("qi")).scalar()
-    return scored.where(F.col(prob).isNotNull() & (F.col("qi") == latest))
+    without the latest scored quarter that is the greatest scored quarter it holds. With ``fall_back`` a selection
+    without any score gives the rows of its greatest quarter, unscored as they are."""
+    has = F.col(prob).isNotNull()
+    latest = scored.select(F.max(F.when(has, F.col("qi")))).scalar()
+    if not fall_back:
+        return scored.where(has & (F.col("qi") == latest))
+    last = scored.select(F.max("qi")).scalar()
+    return scored.where((F.col("qi") == F.coalesce(latest, last)) & (has | latest.isNull()))
 
 
 def kraljic_quadrants(scored: DataFrame, prob: str, risk_cut: float = 70, impact_cut: float = 70) -> DataFrame:

@@ -108,13 +108,13 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = raw(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate")
-    o = raw(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    o = raw(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderdate", cal.fiscal_quarter_label(F.col("o_orderdate")).alias("fiscal_quarter"),
+        F.when(F.col("o_orderpriority") == URGENT_PRIORITY, F.lit(K.EMERGENCY)).otherwise(F.lit(ROUTINE)).alias("order_priority"))
     part = Window.partitionBy("l_orderkey", "l_suppkey").orderBy("l_linenumber")
     whole = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one sort for both
     return li.join(o, li.l_orderkey == o.o_orderkey).drop("o_orderkey").withColumns({
         "dd": F.abs(F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate"))),
-        "fiscal_quarter": cal.fiscal_quarter_label(F.col("o_orderdate")),
-        "order_priority": F.when(F.col("o_orderpriority") == URGENT_PRIORITY, F.lit(K.EMERGENCY)).otherwise(F.lit(ROUTINE)),
         "po_value_inr": F.sum(F.col("l_extendedprice").cast(K_MONEY)).over(whole).cast(K_MONEY),
         "first_line": F.row_number().over(part) == 1})
 

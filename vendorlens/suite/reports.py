@@ -19,6 +19,7 @@ SEL_SUPPLIERS = FL.Filters(categories=["ECONOMY", "PROMO", "SMALL"], tiers=["Str
 SEL_RANGE = FL.Filters(regions=["ASIA", "EUROPE"], quarter_range=("FY99-00-Q2", "FY97-98-Q1"))
 SEL_SCORED = FL.Filters(tiers=["Strategic", "Preferred"], sourcing=FL.ALTERNATIVES_ONLY,
                         quarter_range=("FY97-98-Q1", "FY99-00-Q2"))
+SEL_EARLY = FL.Filters(tiers=["Strategic", "Preferred"], quarter_range=("FY94-95-Q4", "FY95-96-Q2"))  # before the first score
 SEL_EVENTS = FL.Filters(abc=["A", "B"], sizes=["Large", "Medium"])
 
 
@@ -71,6 +72,20 @@ def latest_rows_filtered(spark, sf):
     return G.latest_quarter_rows(selected_scores(spark, sf), PROB).select("supplier_id", "fiscal_quarter", "qi", PROB)
 
 
+@register("latest_rows_unscored", with_ctes("""
+SELECT supplier_id, fiscal_quarter, qi, prob_benchmark FROM (
+  SELECT *, max(qi) OVER () AS last FROM m_scored
+  WHERE supplier_id IN (SELECT supplier_id FROM m_sup WHERE supplier_tier IN ('Strategic', 'Preferred'))
+    AND qi BETWEEN (SELECT qi FROM m_dq WHERE fiscal_quarter = 'FY94-95-Q4')
+               AND (SELECT qi FROM m_dq WHERE fiscal_quarter = 'FY95-96-Q2')) t
+WHERE qi = last""", "m_scored", "m_sup", "m_dq"))
+def latest_rows_unscored(spark, sf):
+    """P10: a selection that ends before the first score falls back to its greatest quarter."""
+    rows = FL.fscored(stored.scored_panel(spark, sf), stored.suppliers(spark, sf), stored.axis(spark, sf), SEL_EARLY, PROB,
+                      only_scored_quarters=False)
+    return G.latest_quarter_rows(rows, PROB, fall_back=True).select("supplier_id", "fiscal_quarter", "qi", PROB)
+
+
 @register("events_filtered", with_ctes("""
 SELECT e.event_id, e.supplier_id, e.fiscal_quarter, d.qi, e.severity
 FROM x_event e JOIN m_dq d ON e.fiscal_quarter = d.fiscal_quarter
