@@ -176,6 +176,25 @@ def test_one_permutation_is_shifted():
     assert (1 - 0.8 ** rows) ** bands < minhash.MISS and bands * 0.16 ** rows < minhash.STRANGE
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_shared_cells_are_dealt_whole(spark, monkeypatch, limit):
+    from vendorlens.llm import jaccard
+    monkeypatch.setattr(jaccard, "is_small", lambda df: limit > 0)
+    rnd = random.Random(9)
+    pool = [rnd.getrandbits(64) - (1 << 63) for _ in range(500)]
+    rows = [(i, rnd.sample(pool, rnd.randint(0, 12)) + [rnd.getrandbits(63) for _ in range(20)]) for i in range(200)] + [(200, None), (201, [])]
+    df = spark.createDataFrame(rows, "cls long, cells array<long>").repartition(3)
+    count = {}
+    for _, cells in rows:
+        for c in cells or []:
+            count[c] = count.get(c, 0) + 1
+    shared = spark.createDataFrame([(c, n) for c, n in count.items() if n > 1], "cell long, size long")
+    got, held = jaccard.deal_shared(df, shared)
+    assert (held is None) == (limit > 0)
+    assert sorted(map(tuple, got.select("cls", "cell", "size").collect())) == sorted(
+        (i, c, count[c]) for i, cells in rows for c in cells or [] if count[c] > 1)
+
+
 def test_broadcasts_are_measured_in_bytes(spark):
     rows = spark.range(1000).select("id", F.lit("x" * 500).alias("text"))
     assert "broadcast" in small(rows)._jdf.queryExecution().toString() and "broadcast" not in small(rows, 1 << 18)._jdf.queryExecution().toString()

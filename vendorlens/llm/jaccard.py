@@ -31,10 +31,11 @@ from pyspark.sql import types as T
 
 from vendorlens.llm.components import components
 from vendorlens.llm.shingles import RING_BITS, cells, shingle_sets
-from vendorlens.llm.tables import release, small, stored
+from vendorlens.llm.tables import is_small, release, small, stored
 from vendorlens.llm.textarrays import mix64, per_text
 
 TRIMS = 2  # rounds of dropping sets that share too few cells
+FILTER_BITS = 26  # of the bitmap of shared cells, 8 MB
 U64 = np.uint64
 
 
@@ -131,6 +132,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.mapInArrow(run, "a long, b long")
 
 
+def deal_shared(rows: DataFrame, shared: DataFrame):
+    """(cls, cell, size): the cells of ``rows`` (cls, cells) that are among ``shared`` (cell, size), and the broadcast
+    that reading them needs (or None). A small table of shared cells is broadcast itself. Of a larger one a bitmap of
+    fixed size, 2 ** FILTER_BITS bits, goes ahead: cells whose bit is not set are shared by nobody and are not
+    shuffled; those that pass by chance fall out in the join."""
+    if is_small(shared):
+        return rows.select("cls", F.explode("cells").alias("cell")).join(F.broadcast(shared), "cell"), None
+    place = F.shiftrightunsigned("cell", RING_BITS).bitwiseAND((1 << FILTER_BITS) - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    words = shared.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), U64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U64)
+    held = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def passing(batches):
+        bits = held.value
+        for batch in batches:
+            cells = batch.column("cells")
+            values = cells.flatten()
+            at = (values.to_numpy(zero_copy_only=False).view(U64) >> U64(RING_BITS)) & U64((1 << FILTER_BITS) - 1)
+            keep = (bits[at >> U64(6)] >> (at & U64(63))) & U64(1) == U64(1)
+            ends = np.r_[0, np.cumsum(keep)][cells.offsets.to_numpy() - cells.offsets[0].as_py()]
+            left = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values.filter(pa.array(keep)))
+            out = pa.RecordBatch.from_arrays([batch.column("cls"), left], ["cls", "cells"])
+            yield out.filter(pa.array(np.diff(ends) > 0))
+    likely = rows.select("cls", "cells").where("cells is not null").mapInArrow(passing, "cls long, cells array<long>")
+    return likely.select("cls", F.explode("cells").alias("cell")).join(shared, "cell"), held
+
+
 def _regions(members: DataFrame) -> DataFrame:
     """(pivot, cls): every member of a shared cell with the cell's pivot."""
     score = members.groupBy("cls").agg(F.sum("size").alias("score"))
@@ -155,9 +185,12 @@ def _members(signed: DataFrame, classes: DataFrame) -> DataFrame:
     copies = stored(copies)
     same = signed["doc_id"].eqNullSafe(F.col("copy")) & (signed["cls"] == F.col("copied"))
     once = signed.join(small(copies.select(F.col("doc_id").alias("copy"), F.col("cls").alias("copied"))), same, "left_anti")
-    dealt = once.select("cls", F.explode("cells").alias("cell"))
-    shared = stored(dealt.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"))
-    members = stored(dealt.join(small(shared), "cell").distinct().withColumn("ring", F.col("cell").bitwiseAND((1 << RING_BITS) - 1)))
+    once = once.select("cls", "cells")
+    shared = stored(once.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"))
+    dealt, held = deal_shared(once, shared)
+    members = stored(dealt.distinct().withColumn("ring", F.col("cell").bitwiseAND((1 << RING_BITS) - 1)))
+    if held:
+        held.destroy()
     release(copies, shared)
     needs = signed.select("cls", F.inline("needs")).distinct()
     for _ in range(TRIMS):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vendorlens.llm.components import components
-from vendorlens.llm.jaccard import region_links
+from vendorlens.llm.jaccard import deal_shared, region_links
 from vendorlens.llm.shingles import shingle_sets
 from vendorlens.llm.tables import release, small, stored
 from vendorlens.llm.textarrays import mix64, per_text
@@ -134,9 +134,12 @@ def _sets(docs: DataFrame, known: DataFrame, k: int) -> DataFrame:
 
 def _regions(classes: DataFrame) -> DataFrame:
     """(pivot, cls): the members of shared cells with the cell's pivot, the member that shares most (ties: least id)."""
-    dealt = classes.select(F.col("rep").alias("cls"), F.explode("cells").alias("cell"))
-    shared = stored(dealt.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"))
-    members = stored(dealt.join(small(shared), "cell"))
+    rows = classes.select(F.col("rep").alias("cls"), "cells")
+    shared = stored(rows.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"))
+    dealt, held = deal_shared(rows, shared)
+    members = stored(dealt)
+    if held:
+        held.destroy()
     score = members.groupBy("cls").agg(F.sum("size").alias("score"))
     best = members.join(score, "cls").groupBy("cell").agg(F.max(F.struct("score", -F.col("cls")))["col2"].alias("least"))
     found = stored(members.select("cell", "cls").join(best, "cell").select((-F.col("least")).alias("pivot"), "cls")

@@ -24,16 +24,20 @@ def stored(df: DataFrame) -> DataFrame:
 SMALL_BYTES = 16 << 20
 
 
-def small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
-    """``df``, to be broadcast if its rows, measured over all of them, take at most ``limit`` bytes; beyond that
-    Spark joins it by shuffling."""
+def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
+    """Whether the rows of ``df``, measured over all of them, take at most ``limit`` bytes."""
     def width(field: T.StructField):
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             return F.coalesce(F.octet_length(c), F.lit(0)) + 16
         return F.coalesce(F.size(c), F.lit(0)) * 8 + 16 if isinstance(field.dataType, T.ArrayType) else F.lit(16)
     measured = df.agg(F.sum(sum((width(f) for f in df.schema.fields), F.lit(16)))).first()[0]
-    return F.broadcast(df) if (measured or 0) <= limit else df
+    return (measured or 0) <= limit
+
+
+def small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
+    """``df``, to be broadcast if it is small; beyond that Spark joins it by shuffling."""
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def release(*tables: DataFrame) -> None:
