@@ -104,3 +104,20 @@ def test_roc_keeps_the_corners(spark):
     neg, pos = sum(a for a, _ in step), sum(b for _, b in step)
     want = [(0.0, 0.0, -1e9)] + [(sum(a for a, _ in step[:i + 1]) / neg, sum(b for _, b in step[:i + 1]) / pos, -scores[i]) for i in keep]
     assert got == sorted(want, key=lambda r: (r[0], r[1], r[2])) and len(keep) < len(step)
+
+
+def test_the_registered_curve_has_every_distinct_score(spark):
+    from vendorlens import constants as K
+    from vendorlens.registry import REGISTRY
+    from vendorlens.suite.risk import PROB, fscored
+    sf = "/root/testdata/sf0.001"
+    scores = fscored(spark, sf).where(f"{PROB} is not null and {K.TARGET} is not null").select(PROB).distinct().count()
+    got = REGISTRY["roc_curve"].build(spark, sf).collect()
+    assert len(got) == scores + 1 and sum(r.threshold is None for r in got) == 1
+
+
+def test_points_on_straight_lines_stay_without_corners(spark):
+    from vendorlens.operators.stats import roc_points
+    df = spark.createDataFrame([(0.9, 1), (0.8, 1), (0.7, 1), (0.6, 0), (0.5, 0), (None, 1)], "p double, y int")
+    assert {r.threshold for r in roc_points(df, {"m": "p"}, "y", corners=False).collect()} == {None, 0.9, 0.8, 0.7, 0.6, 0.5}
+    assert {r.threshold for r in roc_points(df, {"m": "p"}, "y").collect()} == {None, 0.9, 0.7, 0.5}
