@@ -9,7 +9,7 @@ from vendorlens.plans import filters as FL
 from vendorlens.plans import marts as M
 from vendorlens.plans import stored
 from vendorlens.registry import REGISTRY
-from vendorlens.sources.adapter import load_inputs, order_lines
+from vendorlens.sources.adapter import by_supplier, line_tasks, load_inputs, order_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +84,63 @@ def test_selected_rows_are_those_in_the_range(spark):
     got = FL.fsq(stored.quarters(spark, SF), sup, dq, FL.Filters(quarter_range=(labels[7], labels[4])))
     want = stored.quarters(spark, SF).where("qi between 4 and 7").join(sup.select("supplier_id"), "supplier_id", "left_semi")
     assert got.count() == want.count() > 0 and {r.qi for r in got.select("qi").distinct().collect()} == {4, 5, 6, 7}
+
+
+def test_large_inputs_get_more_tasks_and_equal_lines(spark, monkeypatch):
+    from vendorlens import session
+    few = order_lines(spark, SF)
+    monkeypatch.setattr(session, "FILE_BYTES_PER_TASK", 4096)
+    n = line_tasks(spark, SF)
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = order_lines(spark, SF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plan(order_lines(spark, SF)).count("Exchange") == 2 and f", {n})" in plan(order_lines(spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert many.exceptAll(few).count() == few.exceptAll(many).count() == 0
+
+
+def test_stored_lines_are_together_by_supplier(spark):
+    from pyspark.sql import functions as F
+    assert "rebalance_partitions_by_col" in plan(by_supplier(order_lines(spark, SF), 40)).lower()
+    files = stored.lines(spark, SF).select("l_suppkey", F.input_file_name().alias("file")).distinct()
+    assert files.groupBy("l_suppkey").count().where("count > 1").count() == 0
+    kept, built = stored.lines(spark, SF), order_lines(spark, SF)
+    assert kept.exceptAll(built).count() == built.exceptAll(kept).count() == 0
+
+
+def test_delivery_percentiles_of_odd_delays(spark):
+    rows = [(1, 10 * i, 1, 1, 1, d, 0, 1.0, 2.0) for i, d in enumerate([0.0, 0.0, 3.5, None, 7.0, 0.0])]
+    rows += [(2, 1, None, None, None, None, None, None, None), (None, 2, 1, 1, 1, 5.0, 0, 1.0, 1.0)]
+    rec = spark.createDataFrame(rows, "supplier_id long, goods_receipt_id long, on_time_flag int, in_full_flag int, otif int, "
+                                      "delay_days double, stockout_triggered_flag int, rejected_quantity double, received_quantity double")
+    got = {r.supplier_id: r for r in M.delivery_by_supplier(rec).collect()}
+    assert set(got) == {1, 2} and got[1].lines == 6 and got[2].lines == 1
+    assert got[1].avg_delay_days == pytest.approx(2.1) and got[1].max_delay_days == 7.0 and got[1].stockouts == 0
+    assert got[1].p90_delay_days == pytest.approx(3.5 + 0.6 * 3.5) and got[1].reject_rate_pct == pytest.approx(50.0)
+    assert got[2].p90_delay_days is None and got[2].on_time_rate is None and got[2].reject_rate_pct is None
+
+
+def test_csv_inputs_are_compressed_and_read_alike(spark, tmp_path):
+    from vendorlens.sources import io
+    from vendorlens.sources.adapter import file_inputs
+    io.write_inputs(file_inputs(spark, SF, stored.lines(spark, SF)), str(tmp_path), "csv")
+    files = [p for p in tmp_path.rglob("part-*")]
+    assert files and all(p.name.endswith(".csv.gz") for p in files)
+    read = io.read_inputs(spark, str(tmp_path), "csv")
+    assert read.receipt.count() == order_lines(spark, SF).count()
+    read.tasks = 50
+    assert M.receipt_enriched(read).count() == read.receipt.count() and ", 50)" in plan(M.receipt_enriched(read))
+
+
+def test_the_sweep_is_spread_and_unchanged(spark, monkeypatch):
+    from vendorlens.plans import scorecard as S
+    sup = stored.suppliers(spark, SF)
+    few = S.weight_sweep(sup, 20).collect()
+    monkeypatch.setattr(S, "SWEEP_ROWS_PER_TASK", 10)
+    assert S.tasks_for(spark, sup.count() * 20, 10) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = S.weight_sweep(sup, 20).collect()
+    key = lambda r: r.weight_id
+    for a, b in zip(sorted(few, key=key), sorted(many, key=key), strict=True):
+        assert a.rank_corr == pytest.approx(b.rank_corr, abs=1e-9) and a.bottom_retained == b.bottom_retained
