@@ -28,7 +28,8 @@ def quarter_list(spark, sf):
 @register("supplier_summary_from_files", with_ctes("SELECT * FROM m_sup", "m_sup"))
 def supplier_summary_from_files(spark, sf):
     """The supplier mart from the eight CSV input files, which the test tables are written to first."""
-    folder = stored.once_at(spark, sf, "inputs-csv", lambda at: io.write_inputs(file_inputs(spark, sf), at, "csv"))
+    folder = stored.once_at(spark, sf, "inputs-csv", lambda at: io.write_inputs(
+        file_inputs(spark, sf, stored.lines(spark, sf)), at, "csv"))
     return M.supplier_summary(io.read_inputs(spark, folder, "csv"))
 
 
