@@ -21,6 +21,7 @@ def plan(df):
 def test_a_changed_file_gives_a_new_mart(spark, tmp_path):
     folder = str(tmp_path / "sf")
     shutil.copytree(SF, folder)
+    (tmp_path / "sf").chmod(0o755)  # the test tables' folder is read-only, and its mode is copied
     before = stored.axis(spark, folder)
     path = stored.once_at(spark, folder, "axis", lambda at: pytest.fail("stored already"))
     assert before.count() == stored.axis(spark, folder).count()
