@@ -91,6 +91,19 @@ def test_folds_resume(spark, tmp_path):
     assert SC.read_folds(spark, nothing).count() == 0
 
 
+def test_regression_scores_need_no_forest(spark, small, tmp_path, monkeypatch):
+    panel = models._panel(spark, SF).where("qi <= 8")
+    both, alone = str(tmp_path / "both"), str(tmp_path / "alone")
+    SC.store_folds(panel, models.KEY_PARAMS, both)
+    monkeypatch.setattr(SC.RandomForestClassifier, "fit", lambda *_: pytest.fail("a forest is fitted"))
+    models.stored.forget(SF)
+    assert REGISTRY["lr_scores"].build(spark, SF).where("prob_lr is null").count() == 0
+    SC.store_folds(panel, models.KEY_PARAMS, alone, kinds=("lr",))
+    read = lambda df: {(r.supplier_id, r.fiscal_quarter): r.prob_lr for r in df.collect()}
+    want, got = read(SC.read_folds(spark, both)), read(SC.read_folds(spark, alone, kinds=("lr",)))
+    assert want and got == pytest.approx(want, abs=1e-9)
+
+
 def test_auc_and_triage_over_the_stored_scores_match_sql(spark, small, tmp_path):
     import duckdb
 
