@@ -116,6 +116,16 @@ def test_sketch_differences(spark):
     assert fingerprints.differences(df, attempts=1).count() == len(pairs)
 
 
+def test_texts_with_nothing_in_common_peel_at_once(spark, monkeypatch):
+    rnd, sizes = random.Random(6), []
+    pairs = [(i, [rnd.getrandbits(62) for _ in range(350)], [rnd.getrandbits(62) for _ in range(350)]) for i in range(20)]
+    attempt = fingerprints._attempt
+    monkeypatch.setattr(fingerprints, "_attempt", lambda todo: sizes.append(todo.count()) or attempt(todo))
+    got = fingerprints.differences(spark.createDataFrame(pairs, "key long, a array<long>, b array<long>"), lists=False).collect()
+    assert len(got) == 20 and {(r.n_a, r.only_a, r.n_b, r.only_b) for r in got} == {(350,) * 4}
+    assert sizes == [20]
+
+
 def test_fingerprints_follow_the_text(spark):
     rows = corpus(2, 20)
     got = {r.key.id: r for r in fingerprints.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -33,6 +33,7 @@ from vendorlens.operators.ordered import running_totals
 TABLES = 3
 CELLS = 24
 GROWTH = 4
+ROOM = 4
 ROUNDS = 4
 LONGEST = 512
 
@@ -120,11 +121,13 @@ def _attempt(pairs: DataFrame) -> DataFrame:
 
 def differences(pairs: DataFrame, attempts: int = 6, lists: bool = True) -> DataFrame:
     """Per pair (key, a, b): ``key``, ``n_a``, ``n_b``, and the digests that only one side has, ``only_a``
-    and ``only_b``, recovered from subtracted sketches; without ``lists`` how many they are."""
+    and ``only_b``, recovered from subtracted sketches; without ``lists`` how many they are. Sketches start with
+    ``ROOM`` cells or more per digest of both sides, so that texts with nothing in common peel at once; only cells
+    that digests fall into are rows, so the room costs no more of them."""
     only = ["only_a", "only_b"] if lists else [F.size(c).cast("long").alias(c) for c in ("only_a", "only_b")]
     sizes = [F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b")]
-    half = (F.size("a") + F.size("b")) / 2
-    grown = F.pow(F.lit(float(GROWTH)), F.greatest(F.lit(0.0), F.ceil(F.log(float(GROWTH), F.greatest(half / CELLS, F.lit(1.0))))))
+    wanted = (F.size("a") + F.size("b")) * ROOM
+    grown = F.pow(F.lit(float(GROWTH)), F.greatest(F.lit(0.0), F.ceil(F.log(float(GROWTH), F.greatest(wanted / CELLS, F.lit(1.0))))))
     todo = pairs.select("key", "a", "b", (CELLS * grown).cast("long").alias("m"))
     done = []
     for _ in range(attempts):
