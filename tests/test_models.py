@@ -127,3 +127,64 @@ def test_auc_and_triage_over_the_stored_scores_match_sql(spark, small, tmp_path)
     n, base, quarters = con.execute(f"SELECT count(*), avg({y}), string_agg(DISTINCT fiscal_quarter, ',') FROM s").fetchone()
     assert (m.n_oos, set(m.quarters_scored.split(","))) == (n, set(quarters.split(","))) and m.base_rate == pytest.approx(base, abs=1e-6)
     assert (m.auc_rf, m.auc_lr, m.auc_benchmark) == (aucs["rf"], aucs["lr"], aucs["benchmark"])
+
+
+def _labelled(spark, n=120):
+    rows = [(i, "FY1", 1 + i % 4, float(i % 17), float(i * 7 % 23), "ab"[i % 2], int(i % 17 > 8) if i % 5 else i % 2) for i in range(n)]
+    return spark.createDataFrame(rows, f"supplier_id long, fiscal_quarter string, qi int, x double, z double, c string, {K.TARGET} int")
+
+
+def test_a_forest_in_parts_has_all_trees_and_their_mean_vote(spark, tmp_path):
+    full = SC.ModelParams()
+    assert [p.num_trees for p in full.parts(26_000)] == [50] * 8 and len({p.seed for p in full.parts(26_000)}) == 8
+    assert full.parts(2_600) == [full]  # a forest over few rows is fitted as before
+    assert [p.num_trees for p in SC.ModelParams(num_trees=5, row_trees_per_part=1).parts(100)] == [1] * 5
+    params = SC.ModelParams(num_trees=7, max_depth=4, most_parts=3, row_trees_per_part=1)
+    rows = _labelled(spark)
+    prep = SC.fit_prep(rows, ["x", "z"], ["c"])
+    fold = SC.Fold(prep, 120, rows.where(f"{K.TARGET} = 1").count())
+    train = SC.training_rows(rows, fold, params)
+    forest = SC.fit_forest(train, fold.rows, params)
+    trees = [t for m in forest.parts for t in m.trees]
+    assert [m.getNumTrees for m in forest.parts] == [3, 2, 2] and forest.num_trees == len(trees) == 7
+    got = {r.supplier_id: r.prob for r in forest.score(train).collect()}
+    want = dict.fromkeys(got, 0.0)
+    for t in trees:
+        for r in t.transform(train).select("supplier_id", "probability").collect():
+            want[r.supplier_id] += r.probability[1] / 7
+    assert len(got) == 120 and got == pytest.approx(want, abs=1e-12)
+    means = sum(t.featureImportances.toArray() for t in trees if t.numNodes > 1) / sum(t.numNodes > 1 for t in trees)
+    assert forest.importances == pytest.approx(means.tolist(), abs=1e-12)
+    SC.save_model(prep, forest, str(tmp_path / "m"))
+    prep2, forest2 = SC.load_model(spark, str(tmp_path / "m"))
+    again = SC.fit_forest(train, fold.rows, params)
+    for other in (forest2, again):
+        assert {r.supplier_id: r.prob for r in other.score(train).collect()} == got
+    assert prep2 == prep
+
+
+def test_a_sweep_and_a_scenario_score_their_rows_once(spark, monkeypatch):
+    rows = _labelled(spark).withColumn("supplier_id", SC.F.expr("nullif(supplier_id, 3)"))
+    prep = SC.fit_prep(rows, ["x", "z"], ["c"])
+    params = SC.ModelParams(num_trees=3, max_depth=3)
+    fold = SC.Fold(prep, 120, rows.where(f"{K.TARGET} = 1").count())
+    forest = SC.fit_forest(SC.training_rows(rows, fold, params), 120, params)
+    levers = [("x", "X", 0.0, 16.0, 1.0), ("z", "Z", 0.0, 22.0, 1.0)]
+    out = SC.lever_sensitivity(rows.coalesce(1), prep, forest, levers)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate") == 1
+    got = out.collect()
+    assert len(got) == 240
+    by = {}
+    for r in got:
+        by.setdefault(r.supplier_id, []).append((r.swing, r.lever, r.strongest_lever))
+    assert all({s for _, _, s in v} == {max(v)[1] if k is not None else None} for k, v in by.items())
+    assert SC.lever_tasks(spark.range(10)) == 1 and SC.lever_tasks(spark.range(1 << 20)) == 1024
+    asked = []
+    score = SC.Forest.score
+    monkeypatch.setattr(SC.Forest, "score", lambda self, df: asked.append(1) or score(self, df))
+    sim = SC.scenario_rescore(rows, prep, forest, {"x": 2.0}, levers).collect()
+    assert len(asked) == 1 and len(sim) == 119
+    base = {r.supplier_id: r.prob for r in score(forest, prep.transform(rows)).collect()}
+    new = {r.supplier_id: r.prob for r in score(forest, prep.transform(SC.adjusted_rows(rows, prep, {"x": 2.0}, levers))).collect()}
+    assert all(r.base_prob == pytest.approx(base[r.supplier_id]) and r.new_prob == pytest.approx(new[r.supplier_id]) for r in sim)
