@@ -139,6 +139,8 @@ def test_a_forest_in_parts_has_all_trees_and_their_mean_vote(spark, tmp_path):
     assert [p.num_trees for p in full.parts(26_000)] == [50] * 8 and len({p.seed for p in full.parts(26_000)}) == 8
     assert full.parts(2_600) == [full]  # a forest over few rows is fitted as before
     assert [p.num_trees for p in SC.ModelParams(num_trees=5, row_trees_per_part=1).parts(100)] == [1] * 5
+    folds = lambda *rows: {t: SC.Fold(None, n, 1) for t, n in enumerate(rows)}
+    assert [SC.folds_at_once(x, full) for x in (folds(), folds(2_600), folds(600, 26_000))] == [12, 12, 3]
     params = SC.ModelParams(num_trees=7, max_depth=4, most_parts=3, row_trees_per_part=1)
     rows = _labelled(spark)
     prep = SC.fit_prep(rows, ["x", "z"], ["c"])
