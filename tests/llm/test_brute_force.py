@@ -41,6 +41,41 @@ def test_repeats(spark, hot):
         assert got[i] == bytes(b for j, b in enumerate(t) if j not in gone)
 
 
+def test_shared_passages(spark):
+    rnd = random.Random(5)
+    words = [f"{rnd.choice('abcdeé')}{rnd.choice('xyz')}{i}" for i in range(300)]
+    short = "\n".join(words[:51])  # over 50 words, under 400 bytes
+    assert len(short.encode()) < repeats.LENGTH
+    own = [" ".join(f"o{d}w{i}" for i in range(rnd.randint(0, 90))) for d in range(40)]
+    texts = [f"{own[0]} {short} {own[1]}", f"{own[2]}\t{short.upper()}  {own[3]}", " ".join(words[:50]), f"{short} {own[4]} {short}", None, "",
+             " ".join(words[100:180]), " ".join(words[120:200]), " ".join(words[130:300]), "one two " * 60 + own[5], "one two " * 60, f"solo{short} {own[6]}",
+             " ".join(words[240:300] + words[100:160]), " ".join(f"t{i % 70}" for i in range(140)), own[7], own[7], *own[8:]]
+    rows = list(enumerate(texts)) + [(14, own[7])]
+    split = [[w.lower() if w.isascii() else "".join(c.lower() if c < "\x80" else c for c in w) for w in (t or "").split()] for t in texts]
+    places = {}
+    for d, ws in enumerate(split):
+        for j in range(len(ws) - 50):
+            places.setdefault(tuple(ws[j:j + 51]), set()).add(d)
+    want = {}
+    for d, ws in enumerate(split):
+        want[d] = len({j + i for j in range(len(ws) - 50) if len(places[tuple(ws[j:j + 51])]) > 1 for i in range(51)})
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc.doc_id, r.shared_words or 0) for r in repeats.remove_repeats(df, passage=repeats.PASSAGE).collect()]
+    assert sorted(got) == sorted((d, want[d]) for d, _ in rows)
+    assert want[0] == 51 and want[3] == 102 and want[2] == want[13] == 0
+
+
+def test_passages_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 1 << 8)
+    text = " ".join(f"v{i}" for i in range(1200))
+    found = []
+    for row, offset, part, bounds in repeats._pieces(repeats.word_chunks(pa.array([text])), 51):
+        doc, first, windows, _, _ = repeats.segments(part, bounds, 51, 16)
+        assert row == 0 and not doc.any()
+        found += [w for a, n in zip((first + offset).tolist(), windows.tolist()) for w in range(a, a + n)]
+    assert found == list(range(1150))  # every window of 51 words once, those across the edges of pieces too
+
+
 def test_run_index():
     rnd = random.Random(3)
     strings = [bytes(rnd.choice(b"ab\x00") for _ in range(rnd.randint(1, 60))) for _ in range(30)]

@@ -17,6 +17,10 @@ over the corpus would have to be built in one place, so equal strings are first
 Hashes of windows and segments have 64 bits besides the anchor's 64. Texts are keyed by a 64-bit hash of id
 and text.
 
+``shared_passages`` does the same with words instead of bytes, for passages that stand in two texts but may be too
+short to be removed. Its segments are short lists of words, so windows are counted by hash instead of indexed; a
+segment that stands in two texts counts once, with the least and the greatest key of its texts.
+
 Defined results: a null text is empty; texts shorter than ``LENGTH`` keep everything; rows that repeat a
 text, with or without the id, are repeats of each other; each row gets a result.
 """
@@ -30,22 +34,25 @@ from pyspark.sql import types as T
 
 from vendorlens.llm.runindex import RunIndex
 from vendorlens.llm.tables import release, stored
-from vendorlens.llm.textarrays import BYTE_VALUE, POWERS, POWERS2, byte_chunks, mix64
+from vendorlens.llm.textarrays import BYTE_VALUE, POWERS, POWERS2, SPACE_WORD, byte_chunks, mix64, word_hashes
 
 LENGTH = 400
 GRAM = 128
 BLOCK = 1 << 18
 HOT = 1000
 PIECE = 1 << 20
+PASSAGE = 51
+WORD_GRAM = 16
 BROADCAST_ROWS = 500_000
 U64 = np.uint64
 _LOW = U64((1 << 24) - 1)
 
 
 def _totals(data: np.ndarray, powers):
-    up, down = powers.upto(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_VALUE[data] * up[:len(data)], out=total[1:])
+    values = BYTE_VALUE[data] if data.dtype == np.uint8 else data
+    up, down = powers.upto(len(values) + 1)
+    total = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * up[:len(values)], out=total[1:])
     return total, down
 
 
@@ -62,7 +69,8 @@ def _least(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Segments of the texts in a piece: (text number, first window, windows, anchor hash, segment hash)."""
+    """Segments of the texts in a piece of bytes or word hashes: (text number, first window, windows, anchor hash,
+    segment hash)."""
     n = len(data)
     if n < length:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, U64, U64))
@@ -87,10 +95,17 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: i
     return doc, first - bounds[doc], end - first, h[anchor[first]], seg
 
 
-def _pieces(texts, length: int):
-    """Like ``byte_chunks``, with the first row and the offset in the text; a very long text comes in pieces
-    that overlap by ``length`` - 1."""
+def word_chunks(texts):
+    """Like ``byte_chunks``, with a hash a word instead of bytes."""
     for row, data, bounds in byte_chunks(texts):
+        hashes, doc = word_hashes(data, bounds, SPACE_WORD)
+        yield row, hashes, np.searchsorted(doc, np.arange(len(bounds)))
+
+
+def _pieces(chunks, length: int):
+    """The chunks, with the first row and the offset in the text; a very long text comes in pieces
+    that overlap by ``length`` - 1."""
+    for row, data, bounds in chunks:
         if len(data) <= PIECE:
             yield row, 0, data, bounds
             continue
@@ -103,13 +118,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), "doc_id", "text")
 
 
-def _all_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _all_segments(docs: DataFrame, length: int, gram: int, chunks=byte_chunks) -> DataFrame:
     names = ["key", "anchor", "seg", "start", "windows"]
 
     def run(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for row, offset, data, bounds in _pieces(batch.column(1), length):
+            for row, offset, data, bounds in _pieces(chunks(batch.column(1)), length):
                 doc, first, windows, anchor, seg = segments(data, bounds, length, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[row + doc]), pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)),
                                                   pa.array(first + offset), pa.array(windows)], names)
@@ -124,7 +139,7 @@ def _small(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
 
 def _with_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(key, text, places) of the texts that have places; rows that repeat id and text come once."""
-    lists = places.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("places"))
+    lists = places.groupBy("key").agg(F.collect_list(F.struct(*[c for c in places.columns if c != "key"])).alias("places"))
     return docs.join(_small(lists, places), "key").select("key", "text", "places").dropDuplicates(["key"])
 
 
@@ -218,8 +233,49 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bl
     return runs, (some, kinds, parts, cut)
 
 
+def _passage_windows(rows: DataFrame, length: int) -> DataFrame:
+    """(anchor, seg, lo, hi, offset, window hash) of the windows of each place."""
+    names = ["anchor", "seg", "lo", "hi", "offset", "window"]
+
+    def run(batches):
+        for batch in batches:
+            places = batch.column(2).to_pylist()
+            for row, data, bounds in word_chunks(batch.column(1)):
+                total, down = _totals(data, POWERS2)
+                out = []
+                for i in range(len(bounds) - 1):
+                    for p in places[row + i]:
+                        at = np.arange(p["windows"]) + (bounds[i] + p["start"])
+                        h = mix64((total[at + length] - total[at]) * down[at])
+                        out.append([np.full(len(at), p[c]) for c in names[:4]] + [np.arange(len(at)), h.view(np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def shared_passages(docs: DataFrame, length: int = PASSAGE, gram: int = WORD_GRAM) -> DataFrame:
+    """(key, words): how many words of a text of ``docs`` (key, text) lie in passages of ``length`` words that also
+    stand in a text with another key. Words are as for shingles: lower-cased (A-Z), between white space."""
+    every = stored(_all_segments(docs, length, gram, word_chunks))
+    ends = F.min("key").alias("lo"), F.max("key").alias("hi")
+    anchors = stored(every.groupBy("anchor").agg(*ends).where("lo < hi").select("anchor"))
+    some = stored(every.join(_small(anchors), "anchor"))
+    release(every, anchors)
+    kinds = stored(some.groupBy("anchor", "seg").agg(*ends, F.min(F.struct("key", "start", "windows")).alias("one")))
+    whole = some.join(kinds.where("lo < hi").select("anchor", "seg"), ["anchor", "seg"]).select("key", "start", "windows")
+    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    parts = stored(kinds.join(mixed, "anchor").select("anchor", "seg", "lo", "hi", "one.key", "one.start", "one.windows"))
+    windows = stored(_passage_windows(_with_texts(docs, parts), length))
+    twice = windows.groupBy("anchor", "window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("anchor", "window")
+    inside = windows.where("lo = hi").join(twice, ["anchor", "window"]).select("anchor", "seg", "offset")
+    single = some.join(inside, ["anchor", "seg"]).select("key", (F.col("start") + F.col("offset")).alias("start"), F.lit(1).cast("long").alias("windows"))
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    out = stored(spans(whole.unionByName(single), length).select("key", covered.alias("words")))
+    release(some, kinds, parts, windows)
+    return out
+
+
 def spans(runs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, spans): the maximal byte runs [start, end) that the windows cover."""
+    """(key, spans): the maximal runs [start, end) that the windows cover."""
     order = Window.partitionBy("key").orderBy("start", "end")
     each = runs.select("key", "start", (F.col("start") + F.col("windows") - 1 + length).alias("end")).groupBy("key", "start").agg(F.max("end").alias("end"))
     each = each.withColumn("reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
@@ -228,14 +284,18 @@ def spans(runs: DataFrame, length: int = LENGTH) -> DataFrame:
     return merged.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, hot: int = HOT, passage: int = 0) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): struct ``doc`` with doc_id, ``n_bytes``, ``spans`` (the removed byte
-    runs, maximal), ``n_removed`` and ``kept`` (the remaining bytes)."""
+    runs, maximal), ``n_removed``, ``kept`` (the remaining bytes) and, if ``passage`` is given, ``shared_words``: the
+    words in passages of so many words that also stand in a row with another id or text (``shared_passages``)."""
     keyed = _keyed(docs)
     runs, read = repeated_windows(keyed, length, gram, block, hot)
     found = stored(spans(runs, length))
     release(*read)
-    rows = keyed.join(_small(found, found.select(F.explode("spans"))), "key", "left").select("doc_id", "text", "spans")
+    if passage:
+        found = stored(found.join(shared_passages(keyed, passage), "key", "full").withColumnRenamed("words", "shared_words"))
+    more = found.columns[2:]
+    rows = keyed.join(_small(found, found.select(F.explode_outer("spans"))), "key", "left").select("doc_id", "text", "spans", *more)
 
     def run(batches):
         for batch in batches:
@@ -254,9 +314,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
                     kept.append(b"".join(parts))
                     cut.append(len(text) - len(kept[-1]))
                 inner = pa.StructArray.from_arrays([part.field("doc_id")], ["doc_id"])
-                yield pa.RecordBatch.from_arrays([inner, pa.array(n, pa.int64()), pa.array(cut, pa.int64()), part.field("spans"), pa.array(kept, pa.binary())],
-                                                 ["doc", "n_bytes", "n_removed", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([inner, pa.array(n, pa.int64()), pa.array(cut, pa.int64()), part.field("spans"), pa.array(kept, pa.binary()),
+                                                  *map(part.field, more)], ["doc", "n_bytes", "n_removed", "spans", "kept", *more])
 
     out = T.StructType([T.StructField("doc", T.StructType([rows.schema["doc_id"]])), T.StructField("n_bytes", T.LongType()),
-                        T.StructField("n_removed", T.LongType()), rows.schema["spans"], T.StructField("kept", T.BinaryType())])
-    return rows.select(F.struct("doc_id", "text", "spans").alias("doc")).mapInArrow(run, out)
+                        T.StructField("n_removed", T.LongType()), rows.schema["spans"], T.StructField("kept", T.BinaryType()),
+                        *(rows.schema[c] for c in more)])
+    return rows.select(F.struct("doc_id", "text", "spans", *more).alias("doc")).mapInArrow(run, out)
